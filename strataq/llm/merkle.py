@@ -20,20 +20,23 @@ from strataq.common import materialise, salted_join, small
 #: Before a field: any run of separators that is followed by a short name and a colon.
 _FIELD_START = r"[\s,，;；|｜/、。·\\]+(?=[^\s\d,，;；|｜/、。:：·\\][^\n,，;；|｜。:：]{0,15}[:：])"
 _FIELD = r"(?s)^[\s]*[^\s\d,，;；|｜/、。:：·\\][^\n,，;；|｜。:：]{0,15}[:：][^。！？!?]{0,120}$"
-_DROP = r"[\p{P}\p{Z}\p{Cc}\p{Cf}|+<=>~^`$&&[^\u0001-\u0003]]+"
+_MARK = r"[\p{P}\p{Z}\p{Cc}\p{Cf}|+<=>~^`$&&[^\u0001-\u0003]]+"
+#: A text that doesn't begin with a name and a colon is no card; the test is cheap.
+_CARD_HEAD = r"^\s*[^\s\d,，;；|｜/、。:：·\\][^\n,，;；|｜。:：]{0,15}[:：]"
 
 
 def leaf(text: Column) -> Column:
     """Letters, digits, marks and symbols of a leaf in lower case; decimal points and hyphens inside numbers stay."""
-    t = F.regexp_replace(F.lower(text), r"(?<=\d)\.(?=\d)", "\u0001")
-    t = F.regexp_replace(t, r"(?<=\d)-(?=\d)", "\u0002")
-    t = F.regexp_replace(t, r"(?<=\d)[\p{P}\p{Z}\p{Cc}\p{Cf}|&&[^\u0001-\u0003]]+(?=\d)", "\u0003")
-    return F.regexp_replace(t, _DROP, "")
+    t = F.regexp_replace(F.lower(text), r"\.(?<=\d\.)(?=\d)", "\u0001")
+    t = F.regexp_replace(t, r"-(?<=\d-)(?=\d)", "\u0002")
+    t = F.regexp_replace(t, rf"(\d){_MARK}(?=\d)", "$1\u0003")
+    return F.regexp_replace(t, _MARK, "")
 
 
 def _fields(text: Column) -> Column:
     parts = F.filter(F.split(text, _FIELD_START), lambda p: F.trim(p) != "")
-    return F.when((F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(_FIELD)), parts)
+    good = F.filter(F.array(parts), lambda ps: (F.size(ps) >= 2) & F.forall(ps, lambda p: p.rlike(_FIELD)))
+    return F.when(text.rlike(_CARD_HEAD), F.try_element_at(good, F.lit(1)))
 
 
 def _canonical_field(p: Column) -> Column:
@@ -57,7 +60,7 @@ def copy_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     hashed = materialise(rows.select("rid", root_digest(F.col("txt")).alias("digest")))
     groups = hashed.groupBy("digest").agg(F.min("rid").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = materialise(salted_join(hashed, groups, "digest", F.col("rid")).select("rid", "keep_id"))
-    texts = rows.join(small(members.distinct()), "rid").select("rid", "keep_id", canonical(F.col("txt")).alias("canon"))
+    texts = materialise(rows.join(small(members.distinct()), "rid").select("rid", "keep_id", canonical(F.col("txt")).alias("canon")))
     # The structures of copies against that of the kept row, spread over salts: one group may hold a third of all rows.
     keeps = texts.where("rid = keep_id").groupBy("keep_id").agg(F.min("canon").alias("keep_canon"))
     checked = salted_join(texts.where("rid <> keep_id"), keeps, "keep_id", F.col("rid"))

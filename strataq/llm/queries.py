@@ -6,7 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.common import table
-from strataq.llm import merkle, split
+from strataq.llm import lm, lookalike, merkle, mojibake, split
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "page_docs")
+    keys = ["table_name", "row_id", "pos"]
+    points = lookalike.find(lookalike.key_point_entries(table(spark, d, "eval_items")), keys, "txt")
+    odd = pages.where(F.col("page_content").rlike(lookalike.ODD))
+    found = lookalike.find(lookalike.page_entries(odd), keys, "txt")
+    counts = lm.count_corpus(pages, ["page_content"])
+    garbled = mojibake.affected(odd, "row_id", "source", ["page_content"], counts).select(F.col("rid").alias("row_id"))
+    return points.unionByName(found.join(garbled, "row_id", "left_anti").select(*keys))
+
+
+def p1_normalised(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["table_name", "row_id", "pos"]
+    entries = lookalike.key_point_entries(table(spark, d, "eval_items")).unionByName(lookalike.page_entries(table(spark, d, "page_docs")))
+    return lookalike.normalise(entries, keys, "txt")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "page_docs")
+    return mojibake.affected(pages, "row_id", "source", ["page_content", "file_name"]).select(F.col("rid").alias("row_id"), F.col("field").alias("field_name"))
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    out = mojibake.restore(table(spark, d, "page_docs"), "row_id", "source", ["page_content", "file_name"])
+    return out.select(F.col("rid").alias("row_id"), F.col("field").alias("field_name"), F.col("cls").alias("swap"), "restored")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +54,7 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select(F.col("item").alias("row_id"), "piece_no", F.col("title").alias("section_title"), "offset", "piece")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_collapsed, p7_found, p7_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p4_found, p4_restored, p3_found, p3_collapsed, p7_found, p7_pieces)}
 
 SQL = {
     "p7_found": r"""
