@@ -87,9 +87,12 @@ def _odd_class() -> str:
     return "".join(runs)
 
 
-ODD = "[" + _odd_class() + "]"
-_IN = "A-Za-z\\x{C0}-\\x{24F}" + _odd_class()
-_CUT = f"(?<=[{_IN}])(?=[^{_IN}])|(?<=[^{_IN}])(?=[{_IN}])"
+#: The first test is cheap and fails for nearly every character.
+ODD = "(?=[^\\x00-\\x7f\\x{4E00}-\\x{9FFF}\\x{FF0C}\\x{3001}\\x{3002}\\x{FF08}\\x{FF09}])[" + _odd_class() + "]"
+#: Words: runs of anything but ASCII non-letters, Han, and full-width marks.
+_PLAIN = "\\x00-@\\x{5B}-`{-\\x9f\\x{3001}-\\x{303F}\\x{3400}-\\x{9FFF}\\x{FF01}\\x{FF08}\\x{FF09}\\x{FF0C}\\x{FF1A}\\x{FF1B}\\x{FF1F}"
+_WORD = f"[^{_PLAIN}]+"
+_CUT = f"(?<=[{_PLAIN}])(?=[^{_PLAIN}])|(?<=[^{_PLAIN}])(?=[{_PLAIN}])"
 
 
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -102,11 +105,15 @@ def _segments(entries: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return entries.where(F.col(text_col).rlike(ODD)).select(*keys, F.posexplode(F.split(text_col, _CUT)).alias("seg_no", "seg"))
 
 
-def code_points(entries: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+def _words(entries: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    return entries.where(F.col(text_col).rlike(ODD)).select(*keys, F.posexplode(F.regexp_extract_all(text_col, F.lit(_WORD), F.lit(0))).alias("seg_no", "seg"))
+
+
+def code_points(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Positioned code points of the odd segments, each with its replacement decided (`to`) and whether it changed."""
-    mapping, _ = _tables(entries.sparkSession)
+    mapping, _ = _tables(segments.sparkSession)
     at = [*keys, "seg_no"]
-    odd = _segments(entries, keys, text_col).where(F.col("seg").rlike(ODD))
+    odd = segments.where(F.col("seg").rlike(ODD))
     # split on "" gives UTF-16 units in Java; code points come from a regular expression
     points = odd.select(*at, F.posexplode(F.regexp_extract_all("seg", F.lit("(?s)."), F.lit(0))).alias("i", "ch"))
     points = points.withColumn("cp", F.when(F.length("ch") == 1, F.expr("conv(hex(encode(ch, 'UTF-32')), 16, 10)").cast("int")))
@@ -126,14 +133,14 @@ def code_points(entries: DataFrame, keys: list[str], text_col: str) -> DataFrame
 
 def find(entries: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """Keys of the entries that hold an invisible or look-alike character."""
-    return code_points(entries, keys, text_col).where("changed").select(*keys).distinct()
+    return code_points(_words(entries, keys, text_col), keys).where("changed").select(*keys).distinct()
 
 
 def normalise(entries: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """keys, normal: every entry in the one consistent form."""
     _, composed = _tables(entries.sparkSession)
     at = [*keys, "seg_no"]
-    points = code_points(entries, keys, text_col)
+    points = code_points(_segments(entries, keys, text_col), keys)
     cluster = F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(W.partitionBy(*at).orderBy("i"))
     clusters = points.where("to <> ''").withColumn("cl", cluster).groupBy(*at, "cl").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ccc", "i", "to"))), lambda x: x["to"]), "").alias("parts"))
     whole = clusters.join(composed, "parts", "left").withColumn("out", F.coalesce("whole", "parts"))

@@ -66,8 +66,9 @@ def _usual() -> set[str]:
 
 
 USUAL = _usual()
-#: Anything unusual, runs of accented Latin, or an accented or Cyrillic letter beside a mark or the other script.
-TRIGGER = re.compile("[^" + re.escape("".join(sorted(USUAL))) + "]|[À-ÿ]{2}|[À-ÿА-яЁё][±°³²·×÷§•–—…“”‘’]|[À-ÿ][А-яЁё]|[А-яЁё][À-ÿ]|[a-zA-Z][А-яЁё]|[А-яЁё]{2}[‘’“”–—…]")
+#: A trigger is anything unusual but look-alikes and invisible characters, runs of accented Latin, or an accented or Cyrillic letter beside a mark or the other script.
+_PLAIN = {chr(c) for a, z in ((0x2000, 0x200F), (0x2010, 0x2012), (0x2060, 0x2060), (0x2E80, 0x2FDF), (0xF900, 0xFAFF), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0x300, 0x36F)) for c in range(a, z + 1)} | set("\u00a0\u00ad\u202f\ufeffµ¬")
+TRIGGER = re.compile("[^" + re.escape("".join(sorted(USUAL | _PLAIN))) + "]|[À-ÿ]{2}|[À-ÿА-яЁё][±°³²·×÷§•–—…“”‘’]|[À-ÿ][А-яЁё]|[А-яЁё][À-ÿ]|[a-zA-Z][А-яЁё]|[А-яЁё]{2}[‘’“”–—…]")
 #: A stretch ends at a mark that garbling would not have left alone.
 _STOP = re.compile(r"[，。；：！？、（）《》【】\n\t|]+")
 _KNOWN = np.zeros(0x10001, dtype=bool)
