@@ -169,8 +169,12 @@ def class_scores(obs: str, model: lm.Bigrams) -> list[float] | None:
     clean = log_likelihood(obs, model, clean=True)
     odd = max(1, len(_NON_ASCII.findall(obs)))
     out = [clean]
+    fits: dict[str, bool] = {}
     for swap in SWAPS:
-        if len(_SCRIPTS[swap[1][0]].findall(obs)) < 0.75 * odd:
+        wrong = swap[1][0]
+        if wrong not in fits:
+            fits[wrong] = len(_SCRIPTS[wrong].findall(obs)) >= 0.75 * odd
+        if not fits[wrong]:
             out.append(-1e9)
             continue
         text = decipher(obs, swap)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.common import table
-from strataq.llm import lm, lookalike, merkle, mojibake, split
+from strataq.common import materialise, small, table
+from strataq.llm import lm, lookalike, merkle, mojibake, quality, scan, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +36,31 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("rid").alias("row_id"), F.col("field").alias("field_name"), F.col("cls").alias("swap"), "restored")
 
 
+def _not_garbled(pages: DataFrame, rows: DataFrame, counts) -> DataFrame:
+    """Rows whose page_content holds no wrongly decoded stretch; only the pages in question are looked at."""
+    asked = rows.select("row_id").distinct()
+    texts = pages.join(small(materialise(asked)), "row_id", "left_semi")
+    garbled = mojibake.affected(texts, "row_id", "source", ["page_content"], counts).select(F.col("rid").alias("row_id"))
+    return rows.join(garbled, "row_id", "left_anti")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "page_docs")
+    rows = materialise(scan.noise(pages, "row_id", "source", "page", "page_content").withColumnRenamed("rid", "row_id"))
+    return _not_garbled(pages, rows, lm.count_corpus(pages, ["page_content"]))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "page_docs")
+    counts = lm.count_corpus(pages, ["page_content"])
+    rows = materialise(quality.kinds(pages, "row_id", "page_content", counts).select(F.col("rid").alias("row_id"), "kind").where("kind <> 'prose'"))
+    return rows.where("kind <> 'junk'").unionByName(_not_garbled(pages, rows.where("kind = 'junk'"), counts))
+
+
+def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.kinds(table(spark, d, "page_docs"), "row_id", "page_content").withColumnRenamed("rid", "row_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return merkle.copy_pairs(table(spark, d, "chunk_rows"), "row_id", "page_content")
 
@@ -54,7 +79,7 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select(F.col("item").alias("row_id"), "piece_no", F.col("title").alias("section_title"), "offset", "piece")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p4_found, p4_restored, p3_found, p3_collapsed, p7_found, p7_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p4_found, p4_restored, p3_found, p3_collapsed, p5_found, p5_statistics, p7_found, p7_pieces)}
 
 SQL = {
     "p7_found": r"""
