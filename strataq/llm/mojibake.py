@@ -120,6 +120,23 @@ def decipher(text: str, swap: tuple) -> str:
     return text
 
 
+def _decipher_fast(text: str, swap: tuple) -> tuple[str, int]:
+    """As decipher, but what fits no letter shows as U+FFFD; and how many characters the wrong encoding doesn't have."""
+    missing = 0
+    for write, read in zip(swap[1], swap[2]):
+        if write == "latin":
+            raw = text.translate(_TO_LATIN).encode("latin-1", "replace")
+        elif write == "cp1251x":
+            raw = b"\x98".join(part.encode("cp1251", "replace") for part in text.split("\x98"))
+        elif read in _PAIRED and write != "koi8-r":
+            raw = _PAIR_LEAD.join(part.encode(write, "replace") for part in text.split(LOST))
+        else:
+            raw = text.encode(write, "replace")
+        missing += raw.count(b"?") - text.count("?")
+        text = raw.decode(read, "replace")
+    return text, missing
+
+
 def log_likelihood(text: str, model: lm.Bigrams, clean: bool = False) -> float:
     s, c = model.scores(text, _KNOWN), lm.codes(text)
     return float(np.where(c == 0xFFFD, _BAD_LOGP if clean else _LOST_LOGP, np.where((c >= _BAD) & (c < _BAD + 256) | (c == 0x1A), _BAD_LOGP, s)).sum())
@@ -158,7 +175,6 @@ _NON_ASCII = re.compile("[^\x00-\x7f\ufffd]")
 _GAIN = np.zeros(0x10001, dtype=bool)
 for _c in USUAL:
     _GAIN[ord(_c)] = _c > "\x7f" and _c not in "①②③④⑤⑥⑦⑧⑨⑩●■◆▲□※○★"
-_GAIN[0xFFFD] = True
 #: Mean log-probability that the gained characters need; typographic marks and accented letters are rare by themselves.
 _GAINED_LOGP, _MARK_LOGP = -8.5, -14.5
 _MARKS = np.array([ord(c) for c in "“”‘’–—…°±²³·•éöüÅÑåäÉÖÜñèà"])
@@ -177,14 +193,20 @@ def class_scores(obs: str, model: lm.Bigrams) -> list[float] | None:
         if not fits[wrong]:
             out.append(-1e9)
             continue
-        text = decipher(obs, swap)
-        c, s = lm.codes(text), model.scores(text, _KNOWN)
-        bad = (c >= _BAD) & (c < _BAD + 256) | (c == 0x1A)
+        text, missing = _decipher_fast(obs, swap)
+        lost = text.count(LOST) + missing
+        if lost > 0.5 * len(text):
+            out.append(-1e9)
+            continue
+        c = lm.codes(text)
         gain = _GAIN[np.minimum(c, 0x10000)]
-        n, lost = int(gain.sum()), int(bad.sum())
-        s = np.where(c == 0xFFFD, _LOST_LOGP, np.where(bad, _BAD_LOGP, s))
-        good = text != obs and n and lost <= 2 * n and s[gain].mean() > (_MARK_LOGP if np.isin(c[gain], _MARKS).all() else _GAINED_LOGP)
-        out.append(float(s.sum()) if good else -1e9)
+        n = int(gain.sum())
+        if not n or lost > 2 * n:
+            out.append(-1e9)
+            continue
+        s = np.where(c == 0xFFFD, _BAD_LOGP, model.scores(text, _KNOWN))
+        good = text != obs and s[gain].mean() > (_MARK_LOGP if np.isin(c[gain], _MARKS).all() else _GAINED_LOGP)
+        out.append(float(s.sum()) + _BAD_LOGP * missing if good else -1e9)
     # Bytes replaced before they were decoded again: the replacement sign itself, as such or written out.
     signs = sum(obs.count(x) for x in "锟斤拷\ufffd")
     out.append(-1.2 * signs - 12.0 * (odd - signs) - 5.0 * (len(obs) - odd) if "锟斤拷" in obs or LOST in obs else -1e9)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.common import materialise, small, table
-from strataq.llm import lm, lookalike, merkle, mojibake, quality, scan, split
+from strataq.llm import leakage, lm, lookalike, merkle, mojibake, pairs, quality, scan, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +50,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _not_garbled(pages, rows, lm.count_corpus(pages, ["page_content"]))
 
 
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan.repair(table(spark, d, "page_docs"), "row_id", "source", "page", "page_content").withColumnRenamed("rid", "row_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page_docs")
     counts = lm.count_corpus(pages, ["page_content"])
@@ -69,6 +73,13 @@ def p3_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return merkle.collapse(table(spark, d, "chunk_rows"), "row_id", "page_content")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    tables = {name: table(spark, d, name) for name in ("eval_items", "rag_answers")}
+    counts = pairs.count_tails(tables["eval_items"].select("answer").unionByName(tables["rag_answers"].select("answer")))
+    found = [pairs.defects(t, "row_id", "question", "answer", counts).select(F.lit(name).alias("table_name"), F.col("rid").alias("row_id"), "defect") for name, t in tables.items()]
+    return found[0].unionByName(found[1])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = split.longest_stretch(table(spark, d, "chunk_rows"), "row_id", "page_content", 450)
     return found.select(F.col("item").alias("row_id"), F.when(F.col("longest") > 450, "forced").otherwise("natural").alias("cut"))
@@ -79,7 +90,12 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select(F.col("item").alias("row_id"), "piece_no", F.col("title").alias("section_title"), "offset", "piece")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p4_found, p4_restored, p3_found, p3_collapsed, p5_found, p5_statistics, p7_found, p7_pieces)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "text")
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_repaired, p4_found, p4_restored, p3_found, p3_collapsed, p5_found, p5_statistics, p6_found, p7_found, p7_pieces, p9_found)}
 
 SQL = {
     "p7_found": r"""

@@ -123,18 +123,21 @@ class Contexts:
         i = np.minimum(np.searchsorted(u, q), len(u) - 1)
         return np.where(u[i] == q, v[i], 0)
 
-    def events(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(seen, likely, contexts that agree) of Han characters that no context expects."""
-        c = lm.codes(_HAN_GAP.sub("", text)).astype(np.int64)
-        if len(c) < 3:
+    def events(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, seen, likely, contexts that agree) of Han characters that no context expects."""
+        flat = [_HAN_GAP.sub("", t) for t in texts]
+        if not flat:
             return
+        ends = np.cumsum([len(t) + 3 for t in flat])
+        c = lm.codes("\x00\x00\x00".join(flat) + "\x00\x00\x00").astype(np.int64)
         pad = np.concatenate([[0, 0], c, [0, 0]])
         p2, p1, c0, n1, n2 = pad[:-4], pad[1:-3], pad[2:-2], pad[3:-1], pad[4:]
         left, mid, right = self._look("left", p2 << 21 | p1), self._look("mid", p1 << 21 | n1), self._look("right", n1 << 21 | n2)
         likely = np.where(mid > 0, mid, np.where(right > 0, right, left))
         odd = (c0 >= 0x4E00) & (c0 <= 0x9FFF) & (likely >= 0x4E00) & (likely <= 0x9FFF) & (left != c0) & (mid != c0) & (right != c0)
-        for i in np.flatnonzero(odd):
-            yield int(c0[i]), int(likely[i]), int(left[i] == likely[i]) + int(mid[i] == likely[i]) + int(right[i] == likely[i])
+        at = np.flatnonzero(odd)
+        votes = (left[at] == likely[at]).astype(int) + (mid[at] == likely[at]) + (right[at] == likely[at])
+        yield from zip(np.searchsorted(ends, at, "right").tolist(), c0[at].tolist(), likely[at].tolist(), votes.tolist())
 
 
 class Trie:
@@ -223,8 +226,8 @@ def misread_words(forms: DataFrame) -> tuple[DataFrame, dict[str, int]]:
 
 def edge_lines(text: str) -> list[tuple[int, str]]:
     """(index, line) of the first two and last two lines that aren't blank."""
-    lines = [(i, x.translate(_UNSEEN)) for i, x in enumerate(text.split("\n")) if x.strip()]
-    return lines if len(lines) <= 4 else lines[:2] + lines[-2:]
+    lines = [(i, x) for i, x in enumerate(text.split("\n")) if x and not x.isspace()]
+    return [(i, x if x.isascii() else x.translate(_UNSEEN)) for i, x in (lines if len(lines) <= 4 else lines[:2] + lines[-2:])]
 
 
 def without_page_number(line: str) -> tuple[str, bool]:
@@ -244,6 +247,7 @@ def observe(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_
         for b in batches:
             ids, sources, numbers = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
             out: list[tuple] = []
+            proses: list[tuple] = []
             for i, text in enumerate(b.column(3).to_pylist()):
                 if not text or text.isspace():
                     continue
@@ -262,10 +266,11 @@ def observe(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_
                 if _NUMBER.search(text):
                     out.append((i, at, "number", "", "", 1))
                 out += [(i, at, "word", w, "", 1) for w in set(_TOKEN.findall(_BREAK.sub(r"\1\2", text))) if w not in solid and 4 <= len(w) <= 40]
-                events: dict[tuple[int, int], int] = {}
-                for c, true, votes in contexts.events(text):
-                    events[c, true] = max(votes, events.get((c, true), 0))
-                out += [(i, at, "han", chr(c), chr(true), votes) for (c, true), votes in events.items()]
+                proses.append((i, at, text))
+            events: dict[tuple[int, int, int], int] = {}
+            for k, c, true, votes in contexts.events([t for _, _, t in proses]):
+                events[k, c, true] = max(votes, events.get((k, c, true), 0))
+            out += [(*proses[k][:2], "han", chr(c), chr(true), votes) for (k, c, true), votes in events.items()]
             cols = [list(x) for x in zip(*out)] if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), pa.array([sources[i] for i in cols[0]], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.int32())], names=["rid", "source", "page", "what", "a", "b", "n"])
 
@@ -327,3 +332,65 @@ def noise(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_co
     latin = seen.where("what = 'word'").join(small(words).select(F.col("word").alias("a")), "a").select("rid", F.lit("misread").alias("noise"))
     head = headers(seen, pairs).where("n = 1").select("rid", F.lit("header").alias("noise"))
     return plain.unionByName(han).unionByName(latin).unionByName(head).distinct()
+
+
+def repair(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str) -> DataFrame:
+    """(rid, repaired): pages of running prose without page furniture, words joined and put right, reflowed."""
+    seen, pairs, words, contexts, _ = learn(pages, id_col, source_col, page_col, text_col)
+    drop = headers(seen, pairs).groupBy("rid").agg(F.collect_set("a").alias("drop"))  # at most four lines a page
+    fix = seen.where("what = 'word'").join(small(words).select(F.col("word").alias("a"), "true"), "a").groupBy("rid").agg(F.map_from_entries(F.collect_set(F.struct("a", "true"))).alias("fix"))
+    good = set(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep, out = [], []
+            for i, (text, lines, fixes) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))):
+                if text and is_prose(text):
+                    keep.append(i)
+                    out.append(_repaired(text, set(lines or ()), dict(fixes or ()), good, contexts))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.string())], names=["rid", "repaired"])
+
+    id_type = pages.schema[id_col].dataType.simpleString()
+    joined = pages.select(F.col(id_col).alias("rid"), F.col(text_col).alias("txt")).join(drop, "rid", "left").join(fix, "rid", "left")
+    return joined.select("rid", "txt", "drop", "fix").mapInArrow(run, f"rid {id_type}, repaired string")
+
+
+def _repaired(text: str, drop: set[str], fixes: dict[str, str], good: set[tuple[str, str]], contexts: Contexts) -> str:
+    gone = set()
+    for i, line in edge_lines(text):
+        rest, numbered = without_page_number(line)
+        if not rest.strip() or rest.strip() in drop:
+            gone.add(i)
+    lines = [x for i, x in enumerate(text.split("\n")) if i not in gone]
+    body = _BREAK.sub(r"\1\2", "\n".join(lines))
+    body = _TOKEN.sub(lambda m: _like(m[0], fixes[m[0]]) if m[0] in fixes else m[0], body)
+    body = _NUMBER.sub(lambda m: m[0].translate(str.maketrans("lIO!|SBZ", "11011582")), body)
+    flat = _HAN_GAP.sub("", body)
+    wrong = [(c, t) for _, c, t, _ in contexts.events([flat]) if (chr(c), chr(t)) in good]
+    if wrong:
+        chars = list(flat)
+        for at, seen, true in _event_places(flat, contexts):
+            if (seen, true) in good:
+                chars[at] = true
+        flat = "".join(chars)
+    out = ""
+    for line in flat.split("\n"):  # a line that doesn't end a sentence goes on in the next one
+        out += line if not out else ("\n" if _PARAGRAPH_END.search(out) or _HEADING.match(line) or len(out.rsplit("\n", 1)[-1]) < 20 else " ") + line.lstrip()
+    return out
+
+
+_PARAGRAPH_END = re.compile(r"[。！？；.!?:：][\"”’）)]*\s*$")
+
+
+def _like(seen: str, true: str) -> str:
+    return true.capitalize() if seen[:1].isupper() else true
+
+
+def _event_places(text: str, contexts: Contexts) -> Iterator[tuple[int, str, str]]:
+    c = lm.codes(text).astype(np.int64)
+    pad = np.concatenate([[0, 0], c, [0, 0]])
+    p2, p1, c0, n1, n2 = pad[:-4], pad[1:-3], pad[2:-2], pad[3:-1], pad[4:]
+    left, mid, right = contexts._look("left", p2 << 21 | p1), contexts._look("mid", p1 << 21 | n1), contexts._look("right", n1 << 21 | n2)
+    likely = np.where(mid > 0, mid, np.where(right > 0, right, left))
+    for i in np.flatnonzero((likely > 0) & (left != c0) & (mid != c0) & (right != c0)):
+        yield int(i), chr(c0[i]), chr(likely[i])
