@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.common import materialise, small, table
-from strataq.llm import leakage, lm, lookalike, merkle, mojibake, pairs, quality, scan, split
+from strataq.llm import abuse, leakage, lm, lookalike, merkle, mojibake, packing, pairs, quality, scan, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,14 +90,46 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select(F.col("item").alias("row_id"), "piece_no", F.col("title").alias("section_title"), "offset", "piece")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    packed = packing.pack(table(spark, d, "documents"), "doc_id", "text")
+    return packed.where("part > 0").select(F.col("doc").alias("doc_id")).distinct()
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text").select(F.col("doc").alias("doc_id"), "part", F.col("size").alias("tokens"), "container")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    each = p8_packed(spark, d).groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    return each.agg(F.count(F.lit(1)).alias("containers"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count(F.lit(1)) * packing.CAPACITY), 6).alias("fill"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "text")
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_repaired, p4_found, p4_restored, p3_found, p3_collapsed, p5_found, p5_statistics, p6_found, p7_found, p7_pieces, p9_found)}
+def _abuse_scores(spark: SparkSession, d: str) -> DataFrame:
+    model = abuse.train(table(spark, d, "abuse_samples"), "text", "label")
+    return abuse.scores(table(spark, d, "documents"), "doc_id", "source", "text", model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select(F.col("doc").alias("doc_id"), "kind").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse_scores(spark, d).select(F.col("doc").alias("doc_id"), "kind", "score")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(_abuse_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_repaired, p4_found, p4_restored, p3_found, p3_collapsed, p5_found, p5_statistics, p6_found, p7_found, p7_pieces, p8_found, p8_packed, p8_fill, p9_found, p10_found, p10_scores, p10_rates)}
 
 SQL = {
+    "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 8192",
     "p7_found": r"""
         SELECT row_id, CASE WHEN list_max(list_transform(string_split(
             regexp_replace(regexp_replace(page_content, '([\n。；！？;!?])', '\1' || chr(1), 'g'), '(\.)([\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}])', '\1' || chr(1) || '\2', 'g'), chr(1)),

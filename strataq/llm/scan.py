@@ -100,8 +100,37 @@ def count_forms(pages: DataFrame, text_col: str) -> DataFrame:
     return got.groupBy("tri", "word").agg(F.sum("n").alias("n"))
 
 
+class Lookup:
+    """Exact integer map in arrays: one slot a key by multiplicative hashing, keys that collide in a sorted rest."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(8 * max(1, len(keys))).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.values, self.full = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=bool)
+        slot = self._slot(keys)
+        _, first = np.unique(slot, return_index=True)
+        self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest])]
+        self.full[slot[rest]] = True
+        self.rest_keys, self.rest_values = keys[rest], values[rest]
+
+    def _slot(self, q: np.ndarray) -> np.ndarray:
+        return ((q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, q: np.ndarray) -> np.ndarray:
+        """The value of each key, 0 where there is none."""
+        slot = self._slot(q)
+        out = np.where(self.keys[slot] == q, self.values[slot], 0)
+        if len(self.rest_keys):
+            at = np.flatnonzero(self.full[slot] & (out == 0))
+            i = np.minimum(np.searchsorted(self.rest_keys, q[at]), len(self.rest_keys) - 1)
+            out[at] = np.where(self.rest_keys[i] == q[at], self.rest_values[i], 0)
+        return out
+
+
 class Contexts:
-    """The contexts in which one character nearly always stands, as sorted arrays: left, both sides, right."""
+    """The contexts in which one character nearly always stands, left, on both sides, right."""
 
     def __init__(self, forms: DataFrame):
         tri = forms.where("tri is not null")
@@ -112,16 +141,10 @@ class Contexts:
         for name, ctx, ch in (("left", F.shiftleft(a, 21).bitwiseOR(b), c), ("mid", F.shiftleft(a, 21).bitwiseOR(c), b), ("right", F.shiftleft(b, 21).bitwiseOR(c), a)):
             top = tri.select(ctx.alias("ctx"), ch.alias("ch"), "n").groupBy("ctx").agg(F.sum("n").alias("total"), F.max(F.struct("n", "ch")).alias("top"))
             got = top.where((F.col("total") >= least) & (F.col("top.n") >= DOMINANCE * F.col("total"))).select("ctx", F.col("top.ch").alias("ch")).toArrow()  # at most 1/SHARE rows
-            u, v = got["ctx"].to_numpy(), got["ch"].to_numpy()
-            o = np.argsort(u)
-            self.tables[name] = (u[o], v[o])
+            self.tables[name] = Lookup(got["ctx"].to_numpy().astype(np.int64), got["ch"].to_numpy().astype(np.int64))
 
     def _look(self, name: str, q: np.ndarray) -> np.ndarray:
-        u, v = self.tables[name]
-        if not len(u):
-            return np.zeros(len(q), dtype=np.int64)
-        i = np.minimum(np.searchsorted(u, q), len(u) - 1)
-        return np.where(u[i] == q, v[i], 0)
+        return self.tables[name].get(q)
 
     def events(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(text, seen, likely, contexts that agree) of Han characters that no context expects."""
