@@ -43,3 +43,13 @@ def salted_join(large: DataFrame, unique: DataFrame, key: str, spread: Column, h
     left = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df with `n`: 1, 2, ... in the given total order, by range partitions and offsets; no task sees all rows."""
+    from pyspark.sql import Window as W
+
+    placed = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pid", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))  # one row a partition
+    offsets = sizes.select("_pid", (F.sum("_c").over(W.orderBy("_pid")) - F.col("_c")).alias("_before"))
+    return placed.join(F.broadcast(offsets), "_pid").withColumn("n", F.col("_before") + F.col("_i") + 1).drop("_pid", "_i", "_before")
