@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ HEADER_PAGES, HEADER_LENGTH = 3, 100
 CONFUSED = (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("1", "l"), ("!", "i"), ("|", "l"), ("0", "o"), ("c", "e"), ("e", "c"), ("5", "s"), ("8", "b"), ("i", "l"), ("l", "i"), ("h", "b"), ("b", "h"), ("f", "t"), ("n", "u"), ("u", "n"), ("9", "g"), ("6", "b"))
 
 _BREAK = re.compile(r"([A-Za-zÀ-ɏ0-9!]+)(?:-|¬|‐|­)[ \t]*\n[ \t]*([A-Za-zà-ɏ0-9!]+)")
+_MAYBE_BREAK = re.compile(r"[-¬‐­][ \t]*\n")
 _TOKEN = re.compile(r"[A-Za-zÀ-ɏ0-9!|]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ0-9!|]*")
 _COMPOUND = re.compile(r"[A-Za-zÀ-ɏ]+(?:-[A-Za-zÀ-ɏ]+)+")
 _INNER = re.compile(r"[a-z][0-9!|](?=[a-z])|^[0-9!|][a-z]{3,}|[a-z]{3,}[0-9|]$|[A-Z][0-9!|](?=[a-z])")
@@ -49,6 +51,9 @@ _PAGE_SHAPE = rf"(?:[—–\-·•~]\s*{_D}\s*[—–\-·•~]|第\s*{_D}\s*[页
 _PAGE_ALONE = re.compile(rf"^\s*(?:{_PAGE_SHAPE}|(?=[^\d]*[\dlO])[\dlOISB]{{1,4}}|[ivxlc]{{1,8}})\s*$")
 _PAGE_BESIDE = re.compile(rf"^\s*(?:(?P<h1>\S.*?)(?:\s+{_PAGE_SHAPE}|\s*\|\s+{_D}|\s{{2,}}(?:[\dlO]{{1,4}}|[ivxlc]{{1,8}}))|(?:{_PAGE_SHAPE}\s+|{_D}\s+\|\s*|(?:[\dlO]{{1,4}}|[ivxlc]{{1,8}})\s{{2,}})(?P<h2>\S.*?))\s*$")
 _UNSEEN = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)} | {c: " " for c in (0xA0, 0x2007, 0x2009, 0x202F, 0x3000)}
+_UNSEEN_CHAR = re.compile("[\u00a0\u00ad\u2007\u2009\u200b-\u200f\u202f\u2060\u3000\ufeff]")
+#: A page number leaves one of these at an end of the line.
+_NUMBER_ENDS = re.compile(r"^\s*[—–\-·•~第P\dlOISBZivxc|!]|[—–\-·•~页贝\dlOОISBZivxc|!]\s*$")
 _HEADING = re.compile(r"^\s*(?:第\s*[一二三四五六七八九十百零〇0-9lO]+\s*[章节条篇]|\d+(?:\.\d+)*[)）.、\s]|[|【（(□■●◆▲·•*①-⑳])")
 _SENTENCE_END = re.compile(r"[。；！？，、;!?]\s*$|[a-z]{2}[.,;]\s*$")
 _HAN_GAP = re.compile("(?<=[一-鿿，。；：！？、（）])[ \n]+(?=[一-鿿，。；：！？、（）])")
@@ -76,9 +81,14 @@ def trigram_keys(texts: list[str]) -> np.ndarray:
     return ((c[:-2] << 42) | (c[1:-1] << 21) | c[2:])[ok]
 
 
+def joined(text: str) -> str:
+    """The text with words put together that were broken at line ends."""
+    return _BREAK.sub(r"\1\2", text) if _MAYBE_BREAK.search(text) else text
+
+
 def words_of(text: str) -> list[str]:
-    whole = _BREAK.sub(r"\1\2", text)
-    return _TOKEN.findall(whole) + _COMPOUND.findall(text)
+    whole = joined(text)
+    return _TOKEN.findall(whole) + (_COMPOUND.findall(whole) if "-" in whole else [])
 
 
 def count_forms(pages: DataFrame, text_col: str) -> DataFrame:
@@ -249,12 +259,17 @@ def misread_words(forms: DataFrame) -> tuple[DataFrame, dict[str, int]]:
 
 def edge_lines(text: str) -> list[tuple[int, str]]:
     """(index, line) of the first two and last two lines that aren't blank."""
-    lines = [(i, x) for i, x in enumerate(text.split("\n")) if x and not x.isspace()]
-    return [(i, x if x.isascii() else x.translate(_UNSEEN)) for i, x in (lines if len(lines) <= 4 else lines[:2] + lines[-2:])]
+    lines = text.split("\n")
+    at = range(len(lines))
+    first = list(islice((i for i in at if lines[i] and not lines[i].isspace()), 2))
+    last = list(islice((i for i in reversed(at) if lines[i] and not lines[i].isspace()), 2))
+    return [(i, lines[i].translate(_UNSEEN) if _UNSEEN_CHAR.search(lines[i]) else lines[i]) for i in sorted({*first, *last})]
 
 
 def without_page_number(line: str) -> tuple[str, bool]:
     """The line without a printed page number, and whether it had one."""
+    if not _NUMBER_ENDS.search(line):
+        return line, False
     if _PAGE_ALONE.match(line):
         return "", True
     m = _PAGE_BESIDE.match(line)
@@ -284,11 +299,11 @@ def observe(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_
                         out.append((i, at, "line", rest.strip(), "", int(prose)))
                 if not prose:
                     continue
-                if any((m[1] + "-" + m[2]) not in solid for m in _BREAK.finditer(text)):
+                if _MAYBE_BREAK.search(text) and any((m[1] + "-" + m[2]) not in solid for m in _BREAK.finditer(text)):
                     out.append((i, at, "hyphen", "", "", 1))
                 if _NUMBER.search(text):
                     out.append((i, at, "number", "", "", 1))
-                out += [(i, at, "word", w, "", 1) for w in set(_TOKEN.findall(_BREAK.sub(r"\1\2", text))) if w not in solid and 4 <= len(w) <= 40]
+                out += [(i, at, "word", w, "", 1) for w in set(_TOKEN.findall(joined(text))) if w not in solid and 4 <= len(w) <= 40]
                 proses.append((i, at, text))
             events: dict[tuple[int, int, int], int] = {}
             for k, c, true, votes in contexts.events([t for _, _, t in proses]):
@@ -385,7 +400,7 @@ def _repaired(text: str, drop: set[str], fixes: dict[str, str], good: set[tuple[
         if not rest.strip() or rest.strip() in drop:
             gone.add(i)
     lines = [x for i, x in enumerate(text.split("\n")) if i not in gone]
-    body = _BREAK.sub(r"\1\2", "\n".join(lines))
+    body = joined("\n".join(lines))
     body = _TOKEN.sub(lambda m: _like(m[0], fixes[m[0]]) if m[0] in fixes else m[0], body)
     body = _NUMBER.sub(lambda m: m[0].translate(str.maketrans("lIO!|SBZ", "11011582")), body)
     flat = _HAN_GAP.sub("", body)
