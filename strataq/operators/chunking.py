@@ -85,7 +85,7 @@ def split_long_unit(unit: Column) -> Column:
     """A unit above the chunk size: paragraphs stripped, cut into sentences, packed with overlap, then hard windows."""
     paragraphs = F.filter(F.transform(F.split(unit, "\n"), T.strip), lambda p: p != "")
     sents = F.flatten(F.transform(paragraphs, T.sentences))
-    return F.flatten(F.transform(sentence_pack(sents), hard_windows))
+    return F.flatten(F.transform(sentence_pack(sents), lambda c: hard_windows(c)))
 
 
 def chunk_text(t: Column, size: int = S.DEFAULT.chunking.size) -> Column:
