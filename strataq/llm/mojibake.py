@@ -221,6 +221,18 @@ def scored_parts(text: str, model: lm.Bigrams) -> Iterator[tuple[int, int, list[
     """The stretches of a text with their scores; one that fits no class is tried again by script."""
     for a, z in stretches(text):
         ll = class_scores(text[a:z], model)
+        if not ll:  # the garbled part alone, where clean text follows without a mark
+            hits = [m.start() for m in TRIGGER.finditer(text, a, z)]
+            if len(hits) >= 3 and hits[-1] - hits[0] < 0.8 * (z - a):
+                for start in {max(a, hits[0] - 1), hits[0]}:
+                    part = class_scores(text[start : hits[-1] + 1], model)
+                    if part:
+                        yield start, hits[-1] + 1, part
+                        break
+                else:
+                    part = None
+                if part:
+                    continue
         if ll or len(_NARROW.findall(text, a, z)) < 4:
             yield a, z, ll
             continue
