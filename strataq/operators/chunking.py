@@ -47,14 +47,14 @@ def structure_units(t: Column) -> Column:
 
 
 def greedy_pack(units: Column, size: int = S.DEFAULT.chunking.size) -> Column:
-    """Units joined by newlines as long as buffer + unit + 1 stays within size; a unit above size stands alone."""
+    """Units joined by newlines as long as they stay within size, each counted with a newline; a unit above size stands alone."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
 
     def step(a: Column, u: Column) -> Column:
         n, b = F.length(u), F.length(a["buf"])
         flushed = F.when(b > 0, F.concat(a["done"], F.array(a["buf"]))).otherwise(a["done"])
         long = n > size
-        full = (b + n + 1 > size) & (b > 0)
+        full = (b + 1 + n + 1 > size) & (b > 0)  # every unit counts with its newline
         return F.struct(
             F.when(long, F.concat(flushed, F.array(u))).when(full, flushed).otherwise(a["done"]).alias("done"),
             F.when(long, "").when(full | (b == 0), u).otherwise(F.concat(a["buf"], F.lit("\n"), u)).alias("buf"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataq import settings as S
+from strataq.common import materialise, small
 from strataq.functions import text as T
 
 
@@ -15,9 +16,14 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row: n documents, mean length in tokens (documents without text count with 0)."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size(T.tokens(F.coalesce(F.col(text_col), F.lit("")))), F.lit(0))).alias("avgdl"))
+class Index:
+    """An inverted index of a corpus: postings (materialised, since every channel reads them), document count, mean length."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        self.postings = materialise(postings(docs, id_col, text_col))
+        self.lengths = self.postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
+        total = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+        self.stats = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avgdl"))  # one row each
 
 
 def term_weights(post: DataFrame, stats: DataFrame, epsilon: float = S.DEFAULT.retrieval.epsilon) -> DataFrame:
@@ -28,21 +34,20 @@ def term_weights(post: DataFrame, stats: DataFrame, epsilon: float = S.DEFAULT.r
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = S.DEFAULT.retrieval.top_k) -> DataFrame:
+def bm25(queries: DataFrame, index: Index, k: int = S.DEFAULT.retrieval.top_k) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query; scores of 0 or less are dropped after taking k.
 
     Scores are rounded to 6 digits before ranking, ties go by document id. A null question has no terms.
     """
     r = S.DEFAULT.retrieval
-    post = postings(docs, id_col, text_col)
-    stats = corpus_stats(docs, text_col)
-    idf = term_weights(post, stats)
     asked = queries.select("query", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    lengths = docs.select(F.col(id_col).alias("doc"), F.size(T.tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("dl"))
-    hits = post.join(asked, "term").join(idf, "term").join(lengths, "doc").crossJoin(F.broadcast(stats))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (r.k1 + 1) / (F.col("tf") + r.k1 * (1 - r.b + r.b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score"))
-    return top(scored, k).where("score > 0")
+    # The terms of the query set with their weights: a few rows a query, so the postings are filtered before they move.
+    weighted = materialise(asked.join(term_weights(index.postings, index.stats), "term"))
+    hits = index.postings.join(small(weighted), "term").groupBy("query", "doc").agg(F.collect_list(F.struct("qtf", "idf", "tf")).alias("parts"))
+    hits = hits.join(index.lengths, "doc").crossJoin(F.broadcast(index.stats))
+    part = lambda p: p["qtf"] * p["idf"] * p["tf"] * (r.k1 + 1) / (p["tf"] + r.k1 * (1 - r.b + r.b * F.col("dl") / F.col("avgdl")))
+    score = F.aggregate("parts", F.lit(0.0), lambda s, p: s + part(p))  # at most the terms of one query
+    return top(hits.select("query", "doc", F.round(score, 6).alias("score")), k).where("score > 0")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -50,19 +55,18 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hashed_vectors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, bucket, w, norm): token counts in 256 hash buckets, a deterministic stand-in for an embedding model."""
+def hashed_vectors(post: DataFrame) -> DataFrame:
+    """(doc, bucket, w, norm) of postings: token counts in 256 hash buckets, a deterministic stand-in for an embedding model."""
     bucket = F.conv(F.substring(F.md5("term"), 1, 4), 16, 10).cast("int") % 256
-    v = docs.select(F.col(id_col).alias("doc"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("doc", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("w"))
+    v = post.groupBy("doc", bucket.alias("bucket")).agg(F.sum("tf").alias("w"))
     norm = v.groupBy("doc").agg(F.sqrt(F.sum((F.col("w") * F.col("w")).cast("double"))).alias("norm"))
     return v.join(norm, "doc")
 
 
-def cosine_text(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int = S.DEFAULT.retrieval.top_k) -> DataFrame:
-    d = hashed_vectors(docs, id_col, text_col)
-    q = hashed_vectors(queries, "query", "question").select(F.col("doc").alias("query"), "bucket", F.col("w").alias("qw"), F.col("norm").alias("qnorm"))
-    dot = d.join(q, "bucket").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.max("norm").alias("a"), F.max("qnorm").alias("b"))
-    return top(dot.select("query", "doc", F.round(F.col("dot") / (F.col("a") * F.col("b")), 6).alias("score")), k)
+def cosine_text(queries: DataFrame, index: Index, k: int = S.DEFAULT.retrieval.top_k) -> DataFrame:
+    q = materialise(hashed_vectors(postings(queries, "query", "question")).select(F.col("doc").alias("query"), "bucket", F.col("w").alias("qw"), F.col("norm").alias("qnorm")))
+    both = hashed_vectors(index.postings).join(small(q), "bucket").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.max("norm").alias("a"), F.max("qnorm").alias("b"))
+    return top(both.select("query", "doc", F.round(F.col("dot") / (F.col("a") * F.col("b")), 6).alias("score")), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -102,7 +106,8 @@ def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, id_col: s
 def retrieve_modes(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query, mode, doc, score, rank) for all four modes: single channels return top_k, fused ones `final`."""
     r = S.DEFAULT.retrieval
-    vector, words = cosine_text(queries, docs, id_col, text_col), bm25(queries, docs, id_col, text_col)
+    index = Index(docs, id_col, text_col)
+    vector, words = materialise(cosine_text(queries, index)), materialise(bm25(queries, index))
     fused = rrf([vector, words])
     reranked = rerank(fused.where(F.col("rank") <= r.pool), queries, docs, id_col, text_col)
     limit = {"vector": (vector, r.top_k), "bm25": (words, r.top_k), "hybrid": (fused, r.final), "hybrid_rerank": (reranked, r.final)}

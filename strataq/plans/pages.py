@@ -198,7 +198,7 @@ def section_title(spark: SparkSession, d: str) -> DataFrame:
 def _greedy_sql(units: str) -> str:
     return f"""list_reduce(list_prepend({{'done': []::VARCHAR[], 'buf': ''}}, list_transform({units}, lambda w: {{'done': []::VARCHAR[], 'buf': w}})),
 lambda a, x: CASE WHEN length(x.buf) > 450 THEN {{'done': CASE WHEN length(a.buf) > 0 THEN list_append(list_append(a.done, a.buf), x.buf) ELSE list_append(a.done, x.buf) END, 'buf': ''}}
-WHEN length(a.buf) > 0 AND length(a.buf) + length(x.buf) + 1 > 450 THEN {{'done': list_append(a.done, a.buf), 'buf': x.buf}}
+WHEN length(a.buf) > 0 AND length(a.buf) + length(x.buf) + 2 > 450 THEN {{'done': list_append(a.done, a.buf), 'buf': x.buf}}
 WHEN length(a.buf) = 0 THEN {{'done': a.done, 'buf': x.buf}} ELSE {{'done': a.done, 'buf': a.buf || chr(10) || x.buf}} END)"""
 
 

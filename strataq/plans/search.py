@@ -54,13 +54,13 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BASE} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
-    return R.term_weights(R.postings(c, "row_id", "page_content"), R.corpus_stats(c, "page_content")).select("term", "df", F.round("idf", 6).alias("idf"))
+    i = R.Index(chunks(spark, d), "row_id", "page_content")
+    return R.term_weights(i.postings, i.stats).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BASE} SELECT query, doc, score, rank::INTEGER AS rank FROM br WHERE rank <= 20 AND score > 0")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return R.bm25(questions(spark, d), chunks(spark, d), "row_id", "page_content")
+    return R.bm25(questions(spark, d), R.Index(chunks(spark, d), "row_id", "page_content"))
 
 
 _VEC = """WITH q AS (SELECT vec_id AS query, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
@@ -86,8 +86,8 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 
 def channels(spark: SparkSession, d: str, k: int = S.DEFAULT.retrieval.top_k) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vector list, BM25 list (both materialised: k rows a query) and their fusion."""
-    q, c = questions(spark, d), chunks(spark, d)
-    v, b = materialise(R.cosine_text(q, c, "row_id", "page_content", k)), materialise(R.bm25(q, c, "row_id", "page_content", k))
+    q, i = questions(spark, d), R.Index(chunks(spark, d), "row_id", "page_content")
+    v, b = materialise(R.cosine_text(q, i, k)), materialise(R.bm25(q, i, k))
     return v, b, R.rrf([v, b])
 
 
