@@ -240,10 +240,24 @@ def scored_parts(text: str, model: lm.Bigrams) -> Iterator[tuple[int, int, list[
         for m in [*_SWITCH.finditer(text, a, z), None]:
             end = m.start() if m else z
             if end > at and TRIGGER.search(text, at, end):
-                yield at, end, class_scores(text[at:end], model)
+                ll = class_scores(text[at:end], model)
+                if ll or end - at < 24:
+                    yield at, end, ll
+                else:
+                    yield from _halves(text, at, end, model, 4)
             at = end
 
 
+def _halves(text: str, a: int, z: int, model: lm.Bigrams, depth: int) -> Iterator[tuple[int, int, list[float] | None]]:
+    """Parts of a stretch that changes its encoding somewhere inside one script."""
+    ll = class_scores(text[a:z], model)
+    if ll or depth == 0 or z - a < 12:
+        yield a, z, ll
+    else:
+        yield from _halves(text, a, (a + z) // 2, model, depth - 1)
+        yield from _halves(text, (a + z) // 2, z, model, depth - 1)
+
+
 def _score_batches(fields: list[str], counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lm.Bigrams(counts)

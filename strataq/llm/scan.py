@@ -50,6 +50,8 @@ _D = r"(?:[\dlOОISBZ|!]{1,4}|[ivxlc]{1,8})"
 _PAGE_SHAPE = rf"(?:[—–\-·•~]\s*{_D}\s*[—–\-·•~]|第\s*{_D}\s*[页贝]\s*(?:[,，/]?\s*共\s*{_D}\s*[页贝])?|P[ao]g[ec]\s*{_D}(?:\s*[o0][ft]\s*{_D})?|{_D}\s*/\s*{_D})"
 _PAGE_ALONE = re.compile(rf"^\s*(?:{_PAGE_SHAPE}|(?=[^\d]*[\dlO])[\dlOISB]{{1,4}}|[ivxlc]{{1,8}})\s*$")
 _PAGE_BESIDE = re.compile(rf"^\s*(?:(?P<h1>\S.*?)(?:\s+{_PAGE_SHAPE}|\s*\|\s+{_D}|\s{{2,}}(?:[\dlO]{{1,4}}|[ivxlc]{{1,8}}))|(?:{_PAGE_SHAPE}\s+|{_D}\s+\|\s*|(?:[\dlO]{{1,4}}|[ivxlc]{{1,8}})\s{{2,}})(?P<h2>\S.*?))\s*$")
+#: Letters where a printed page number has digits: after its words, before a total, or beside a digit.
+_PAGE_MISREAD = re.compile(r"(?:第|共|[Pp][ao]g[ec]|\s[o0]f)\s*\d*[lOОISBZ|!]+\d*(?!\w)|\d[lOОISBZ]|[lOОISBZ]\d|(?<!\w)[lOОISBZ]+\s*/\s*\d|\d\s*/\s*[lOОISBZ]+(?!\w)")
 _UNSEEN = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)} | {c: " " for c in (0xA0, 0x2007, 0x2009, 0x202F, 0x3000)}
 _UNSEEN_CHAR = re.compile("[\u00a0\u00ad\u2007\u2009\u200b-\u200f\u202f\u2060\u3000\ufeff]")
 #: A page number leaves one of these at an end of the line.
@@ -295,6 +297,8 @@ def observe(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_
                     rest, numbered = without_page_number(line)
                     if numbered and prose:
                         out.append((i, at, "page_number", "", "", 1))
+                        if _PAGE_MISREAD.search(line):
+                            out.append((i, at, "number", "", "", 1))
                     if 4 <= len(rest.strip()) <= HEADER_LENGTH and not _HEADING.match(rest) and not _SENTENCE_END.search(rest):
                         out.append((i, at, "line", rest.strip(), "", int(prose)))
                 if not prose:
