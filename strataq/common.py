@@ -53,3 +53,15 @@ def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
     sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))  # one row a partition
     offsets = sizes.select("_pid", (F.sum("_c").over(W.orderBy("_pid")) - F.col("_c")).alias("_before"))
     return placed.join(F.broadcast(offsets), "_pid").withColumn("n", F.col("_before") + F.col("_i") + 1).drop("_pid", "_i", "_before")
+
+
+def numbered_within(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """df with `n`: 1, 2, ... within each key in the given total order; a key with most of the rows is spread over ranges."""
+    from pyspark.sql import Window as W
+
+    placed = materialise(df.repartitionByRange(F.col(key), *order).withColumn("_pid", F.spark_partition_id()))
+    counts = placed.groupBy(key, "_pid").agg(F.count(F.lit(1)).alias("_c"))  # a row for each key and range it lies in
+    offsets = counts.select(F.col(key).alias("_k"), F.col("_pid").alias("_p"), (F.sum("_c").over(W.partitionBy(key).orderBy("_pid")) - F.col("_c")).alias("_before"))
+    local = placed.withColumn("_i", F.row_number().over(W.partitionBy("_pid", key).orderBy(*order)))
+    joined = local.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_pid") == F.col("_p")))
+    return joined.withColumn("n", F.col("_before") + F.col("_i")).drop("_pid", "_i", "_before", "_k", "_p")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq import settings as S
@@ -37,19 +38,42 @@ def rate_limit(requests: DataFrame, key: str, ts: str, rid: str, limit: int = S.
     return src.repartition("key").sortWithinPartitions("key", "us", "rid").mapInPandas(run, f"rid {id_type}, key string, admitted boolean")
 
 
-def min_interval(requests: DataFrame, key: str, ts: str, rid: str, gap_s: float = S.DEFAULT.limits.min_interval_s) -> DataFrame:
-    """(rid, start_us): the request starts at its time or gap_s after the one before it in its key, whichever is later.
+def _times(requests: DataFrame, key: str, ts: str, rid: str) -> DataFrame:
+    src = requests.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    return src.select(F.col(rid).alias("rid"), F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
 
-    start_i = max over j <= i of (t_j + (i - j) * gap), a running maximum of t_j - j * gap: a window, no fold.
+
+def in_window(requests: DataFrame, key: str, ts: str, rid: str, window_s: int, slice_s: int = 3600) -> DataFrame:
+    """(rid, key, in_window): requests of the key in the window_s seconds up to and including each request's time.
+
+    Time is cut into slices with a halo of one window, so that one busy key is many groups.
     """
-    from pyspark.sql import Window as W
+    width, halo = slice_s * 1_000_000, window_s * 1_000_000
+    src = _times(requests, key, ts, rid).withColumn("slice", F.floor(F.col("us") / width))
+    late = src.where(F.col("us") % width >= width - halo).withColumn("slice", F.col("slice") + 1).withColumn("own", F.lit(False))
+    both = src.withColumn("own", F.lit(True)).unionByName(late)
+    w = W.partitionBy("key", "slice").orderBy("us").rangeBetween(-halo, 0)
+    return both.withColumn("in_window", F.count(F.lit(1)).over(w)).where("own").select("rid", "key", "in_window")
 
-    src = requests.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(rid).alias("rid"), F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    w = W.partitionBy("key").orderBy("us", "rid")
+
+def min_interval(requests: DataFrame, key: str, ts: str, rid: str, gap_s: float = S.DEFAULT.limits.min_interval_s, slice_s: int = 3600) -> DataFrame:
+    """(rid, key, start_us): the request starts at its time or gap_s after the one before it in its key, whichever is later.
+
+    start_i = max over j <= i of (t_j + (i - j) * gap): a running maximum of t_j - j * gap. It is taken within slices of
+    time; numbers and maxima of earlier slices come from a summary of one row a key and slice.
+    """
     gap = int(gap_s * 1_000_000)
-    numbered = src.withColumn("i", F.row_number().over(w))
-    running = F.max(F.col("us") - F.col("i") * gap).over(w.rowsBetween(W.unboundedPreceding, 0))
-    return numbered.select("rid", "key", (running + F.col("i") * gap).alias("start_us"))
+    src = _times(requests, key, ts, rid).withColumn("slice", F.floor(F.col("us") / (slice_s * 1_000_000)))
+    w = W.partitionBy("key", "slice").orderBy("us", "rid")
+    local = src.withColumn("i", F.row_number().over(w))
+    local = local.withColumn("best", F.max(F.col("us") - F.col("i") * gap).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    each = local.groupBy("key", "slice").agg(F.count(F.lit(1)).alias("c"), F.max("best").alias("top"))
+    order = W.partitionBy("key").orderBy("slice")
+    based = each.withColumn("base", F.sum("c").over(order) - F.col("c"))
+    before = based.withColumn("prior", F.max(F.col("top") - F.col("base") * gap).over(order.rowsBetween(W.unboundedPreceding, -1))).select("key", "slice", "base", "prior")
+    j = local.join(before, ["key", "slice"])
+    number = F.col("base") + F.col("i")
+    return j.select("rid", "key", (F.greatest(F.col("best") - F.col("base") * gap, F.coalesce("prior", F.col("best") - F.col("base") * gap)) + number * gap).alias("start_us"))
 
 
 def cache_hits(requests: DataFrame, key: Column, ts: str, rid: str, ttl_s: int) -> DataFrame:

@@ -141,11 +141,10 @@ def repair_plan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page_docs").select("row_id", "source").join(bad_files(spark, d).select(F.col("path").alias("source")).distinct(), "source", "left_semi").select("row_id", "source")
 
 
-@query("""SELECT source AS path, array_to_string(list(DISTINCT lower(chunk_id) ORDER BY lower(chunk_id)), ',') AS chunk_ids FROM chunk_rows WHERE source IS NOT NULL AND chunk_id IS NOT NULL GROUP BY source""")
+@query("""SELECT DISTINCT source AS path, lower(chunk_id) AS chunk_id FROM chunk_rows WHERE source IS NOT NULL AND chunk_id IS NOT NULL""")
 def manifest_update(spark: SparkSession, d: str) -> DataFrame:
-    # Distinct ids first, so that a file's list holds each id once; a file's manifest entry is one row by definition.
-    ids = table(spark, d, "chunk_rows").where("source is not null and chunk_id is not null").select(F.col("source").alias("path"), F.lower("chunk_id").alias("k")).distinct()
-    return ids.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("k")), ",").alias("chunk_ids"))
+    # One row a file and id: a manifest in long form has no entry that grows with its file.
+    return table(spark, d, "chunk_rows").where("source is not null and chunk_id is not null").select(F.col("source").alias("path"), F.lower("chunk_id").alias("chunk_id")).distinct()
 
 
 @query("""SELECT count(*) AS pages, count(DISTINCT source) AS files, coalesce(sum(length(page_content)), 0)::BIGINT AS chars, sum(CASE WHEN is_ocr THEN 1 ELSE 0 END)::BIGINT AS ocr_pages FROM page_docs""")
@@ -195,8 +194,7 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT row_id, count(*) OVER (PARTITION BY req_key ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW) AS in_window FROM request_log WHERE req_key IS NOT NULL AND ts IS NOT NULL""")
 def requests_in_window(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "request_log").where("req_key is not null and ts is not null").select("row_id", "req_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return r.select("row_id", F.count(F.lit(1)).over(W.partitionBy("req_key").orderBy("us").rangeBetween(-60_000_000, 0)).alias("in_window"))
+    return stateful.in_window(table(spark, d, "request_log"), "req_key", "ts", "row_id", 60).withColumnRenamed("rid", "row_id").select("row_id", "in_window")
 
 
 @query("""WITH n AS (SELECT row_id, req_key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY req_key ORDER BY ts, row_id) AS i FROM request_log WHERE req_key IS NOT NULL AND ts IS NOT NULL)

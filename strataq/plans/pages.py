@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq import settings as S
-from strataq.common import table
+from strataq.common import materialise, numbered_within, small, table
 from strataq.functions import text as T
 from strataq.operators import chunking as C
 from strataq.plans.registry import CJK, GARBLED, NOSPACE, STRIP, WS, Registry
@@ -101,13 +101,14 @@ s AS (SELECT * FROM n WHERE i < 6 OR (n > 12 AND (i - 6) % greatest(1, (n - 6) /
 SELECT source, (avg(coalesce(length(page_content), 0)) < 150 OR sum(CASE WHEN coalesce(length({NOSPACE("page_content")}), 0) > 0 THEN 1 ELSE 0 END) = 0
 OR sum(CASE WHEN coalesce(length({NOSPACE("page_content")}), 0) > 0 AND {GARBLED("page_content")} THEN 1 ELSE 0 END)::DOUBLE / sum(CASE WHEN coalesce(length({NOSPACE("page_content")}), 0) > 0 THEN 1 ELSE 0 END) > 0.5) AS unusable FROM s GROUP BY source""")
 def needs_ocr_sampled(spark: SparkSession, d: str) -> DataFrame:
-    # Positions need an order per file; only ids are ranked and shuffled, texts join for the at most 12 sampled pages.
+    # Only ids are numbered, by ranges, since one file may hold a third of all pages; texts join for the sampled ones.
     p = table(spark, d, "page_docs")
     k = S.DEFAULT.quality.sample_pages
-    w = W.partitionBy("source")
-    ranked = p.select("source", "page", "row_id").withColumn("i", F.row_number().over(w.orderBy("page", "row_id")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    step = F.greatest(F.lit(1), F.floor((F.col("n") - k) / k))
-    sampled = ranked.where((F.col("i") < k) | ((F.col("n") > 2 * k) & ((F.col("i") - k) % step == 0) & (F.floor((F.col("i") - k) / step) < k)))
+    ids = p.select("source", "page", "row_id")
+    sizes = materialise(ids.groupBy(F.col("source").alias("src")).agg(F.count(F.lit(1)).alias("size")))
+    ranked = numbered_within(ids, "source", [F.col("page").asc_nulls_first(), F.col("row_id").asc()]).withColumn("i", F.col("n") - 1).join(small(sizes), F.col("source").eqNullSafe(F.col("src")))
+    step = F.greatest(F.lit(1), F.floor((F.col("size") - k) / k))
+    sampled = ranked.where((F.col("i") < k) | ((F.col("size") > 2 * k) & ((F.col("i") - k) % step == 0) & (F.floor((F.col("i") - k) / step) < k)))
     return _unusable(sampled.select("row_id").join(p.select("row_id", "source", "page_content"), "row_id"))
 
 
