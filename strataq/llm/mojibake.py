@@ -4,9 +4,10 @@ An unknown code-page swap is a substitution cipher: each byte unit of the true t
 characters. A swap is a hidden class of each suspicious stretch; the classes are the pairs (bytes were written in
 `true`, read as `wrong`), some applied twice, and `clean`. The likelihood of a stretch under a class is that of its
 deciphered text under character bigrams of the whole corpus, and expectation-maximisation learns, per source, how
-common each class is there (priors smoothed over all sources). The letters that a source's stretches map to are
-counted under the posterior; from them comes the source's translate() table for units of one character, and the
-reading of units that lost a byte.
+common each class is there (priors smoothed over all sources). Stretches that no known pair explains are a cipher of
+their source: the letter of each symbol is learned by EM from the source's symbol pairs against the bigrams, and
+applied with translate() if nearly all deciphered pairs are known to the language. Units that lost a byte are read
+by their prefix and context.
 
 Defined results: null and empty fields are never cases; a field is a case if at least one stretch is more probably
 deciphered than clean, restorable or not (lost bytes show as U+FFFD in the restored text). Repeated ids give one row
@@ -20,12 +21,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataq.common import materialise, small
-from strataq.llm import lm
+from strataq.llm import cipher, lm
 
 #: (name, encodings to write the shown text in, in turn; encodings to read the bytes in, in turn). "latin" writes
 #: Windows-1252 where it can and the same-numbered control characters elsewhere.
@@ -258,6 +260,58 @@ def _halves(text: str, a: int, z: int, model: lm.Bigrams, depth: int) -> Iterato
         yield from _halves(text, (a + z) // 2, z, model, depth - 1)
 
 
+_LETTER = re.compile("[\u00a1-\u024f\u0370-\u052f]")
+#: A source's cipher needs so many symbol pairs, and so large a share of deciphered pairs that the language knows.
+CIPHER_PAIRS, CIPHER_KNOWN, CIPHER_SYMBOLS = 300, 0.9, 256
+_ALPHABET = [chr(c) for c in range(0x430, 0x450)] + ["ё"] + [chr(c) for c in range(0x410, 0x430)] + ["Ё"]
+
+
+def _is_cipher_text(text: str, a: int, z: int) -> bool:
+    return len(_LETTER.findall(text, a, z)) >= 4 and not _WIDE.search(text, a, z)
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        seen: dict[tuple[str, str, str], int] = {}
+        for source, obs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for x, y in zip(obs, obs[1:]):
+                if _LETTER.match(x) and _LETTER.match(y):
+                    seen[source, x, y] = seen.get((source, x, y), 0) + 1
+        cols = list(zip(*seen)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(seen.values(), pa.int64())], names=["source", "x", "y", "n"])
+
+
+def _learner(counts: np.ndarray):
+    c = np.array([ord(x) for x in _ALPHABET], dtype=np.uint32)
+    bigrams = counts[lm.pair_bucket(np.repeat(c, len(c)), np.tile(c, len(c))).astype(np.int64)].reshape(len(c), len(c)).astype(float)
+
+    def learn(pairs: pd.DataFrame) -> pd.DataFrame:
+        source, none = pairs["source"].iloc[0], pd.DataFrame({"source": [], "src": [], "dst": []}, dtype=str)
+        if pairs["n"].sum() < CIPHER_PAIRS or not bigrams.any():
+            return none
+        often = pd.concat([pairs.groupby("x")["n"].sum(), pairs.groupby("y")["n"].sum()]).groupby(level=0).sum().nlargest(CIPHER_SYMBOLS)
+        at = {s: i for i, s in enumerate(sorted(often.index))}
+        m = np.zeros((len(at), len(at)))
+        for x, y, n in zip(pairs["x"], pairs["y"], pairs["n"]):
+            if x in at and y in at:
+                m[at[x], at[y]] += n
+        letters, _ = cipher.learn(m, bigrams)
+        known = (m * (bigrams[letters][:, letters] > 0)).sum() / max(1.0, m.sum())
+        symbols = sorted(at)
+        plain = [_ALPHABET[k] for k in letters]
+        if known < CIPHER_KNOWN or len(set(plain)) < 8 or sum(a == b for a, b in zip(symbols, plain)) > len(symbols) / 2:
+            return none
+        return pd.DataFrame({"source": [source], "src": ["".join(symbols)], "dst": ["".join(plain)]})
+
+    return learn
+
+
+def ciphers(residual: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(source, src, dst): translate() tables of the sources whose unexplained stretches are a cipher of one letter a symbol."""
+    pairs = residual.select("source", "obs").mapInArrow(_pairs_of, "source string, x string, y string, n bigint").groupBy("source", "x", "y").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("source").applyInPandas(_learner(counts), "source string, src string, dst string")
+
+
 def _score_batches(fields: list[str], counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lm.Bigrams(counts)
@@ -268,7 +322,7 @@ def _score_batches(fields: list[str], counts: np.ndarray):
                 for i, text in enumerate(b.column(2 + k).to_pylist()):
                     if text:
                         for a, z, ll in scored_parts(text, model):
-                            if ll:
+                            if ll or _is_cipher_text(text, a, z):
                                 for col, v in zip(out, (ids[i].as_py(), sources[i].as_py(), field, a, z, text[a:z], ll)):
                                     col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], ids.type), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()), pa.array(out[5], pa.string()), pa.array(out[6], pa.list_(pa.float64()))], names=["rid", "source", "field", "start", "stop", "obs", "ll"])
@@ -282,12 +336,13 @@ def _posterior() -> Column:
 
 
 def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], counts: np.ndarray | None = None, rounds: int = 2) -> DataFrame:
-    """(rid, field, start, stop, obs, cls) of the stretches that are more probably deciphered than clean."""
+    """(rid, field, start, stop, cls, plain) of the stretches that are more probably deciphered than clean; plain: of learned ciphers."""
     counts = lm.count_corpus(df, fields) if counts is None else counts
     id_type = df.schema[id_col].dataType.simpleString()
     shape = f"rid {id_type}, source string, field string, start int, stop int, obs string, ll array<double>"
     found = df.select(F.col(id_col).alias("rid"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), *fields).mapInArrow(_score_batches(fields, counts), shape)
-    found = materialise(found)
+    every = materialise(found)
+    residual, found = every.where("ll is null"), every.where("ll is not null")
     now = found.withColumn("prior", F.lit(None).cast("array<double>"))
     for _ in range(rounds):  # expectation, then maximisation per source, smoothed by all sources
         post = now.withColumn("w", _posterior()).withColumn("w", F.expr("transform(w, x -> x / aggregate(w, 0D, (a, y) -> a + y))"))
@@ -302,7 +357,12 @@ def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], coun
         now = found.join(small(priors), "source", "left")
     best = now.withColumn("w", _posterior()).withColumn("k", F.array_position("w", F.array_max("w")) - 1)
     names = F.array(*[F.lit(c) for c in CLASSES])
-    return best.where("k > 0").select("rid", "field", "start", "stop", "obs", F.element_at(names, F.col("k").cast("int") + 1).alias("cls"))
+    known = best.where("k > 0").select("rid", "field", "start", "stop", F.element_at(names, F.col("k").cast("int") + 1).alias("cls"), F.lit(None).cast("string").alias("plain"))
+    if not residual.take(1):
+        return known
+    tables = materialise(ciphers(residual, counts))
+    own = residual.join(small(tables), "source")
+    return known.unionByName(own.select("rid", "field", "start", "stop", F.lit("cipher").alias("cls"), F.expr("translate(obs, src, dst)").alias("plain")))
 
 
 def affected(df: DataFrame, id_col: str, source_col: str, fields: list[str], counts: np.ndarray | None = None) -> DataFrame:
@@ -347,7 +407,7 @@ def restore(df: DataFrame, id_col: str, source_col: str, fields: list[str]) -> D
     counts = lm.count_corpus(df, fields)
     parts = decided(df, id_col, source_col, fields, counts)
     # The stretches of one field of one row: bounded by the length of that text.
-    per_field = parts.groupBy("rid", "field").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "cls"))).alias("parts"))
+    per_field = parts.groupBy("rid", "field").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "cls", "plain"))).alias("parts"))
     long = df.select(F.col(id_col).alias("rid"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "txt"))
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -358,7 +418,7 @@ def restore(df: DataFrame, id_col: str, source_col: str, fields: list[str]) -> D
             out = []
             for text, ps in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 for p in reversed(ps):
-                    text = text[: p["start"]] + restore_stretch(text[p["start"] : p["stop"]], p["cls"], model, letters) + text[p["stop"] :]
+                    text = text[: p["start"]] + (restore_stretch(text[p["start"] : p["stop"]], p["cls"], model, letters) if p["plain"] is None else p["plain"]) + text[p["stop"] :]
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(["+".join(sorted({p["cls"] for p in ps})) for ps in b.column(3).to_pylist()], pa.string()), pa.array(out, pa.string())], names=["rid", "field", "cls", "restored"])
 

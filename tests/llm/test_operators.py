@@ -126,6 +126,25 @@ def test_mojibake_found_and_restored(spark, true, wrong):
     assert mojibake.affected(df.where("false"), "row_id", "source", ["page_content"]).count() == 0
 
 
+RU = "при любых признаках утечки работу прекращают и сообщают мастеру перед входом в склад ответственный проверяет оборудование и заполняет журнал проходы держат свободными освещение включают заранее инструмент осматривают замер кислорода выполняют каждые минут"
+
+
+def test_unknown_cipher_is_learned_per_source(spark):
+    rng = random.Random(6)
+    letters = sorted(set(RU) - {" "})
+    shown = [chr(0xC0 + i) for i in range(len(letters))]
+    rng.shuffle(shown)
+    table = str.maketrans("".join(letters), "".join(shown))
+    words = RU.split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(60))
+    hidden = {100 + i: text() for i in range(6)}
+    rows = [(i, "clean", text()) for i in range(60)] + [(i, "swapped", t.translate(table)) for i, t in hidden.items()]
+    df = frame(spark, rows, "row_id bigint, source string, page_content string", "field string")
+    got = {r["rid"]: (r["cls"], r["restored"]) for r in mojibake.restore(df, "row_id", "source", ["page_content"]).collect()}
+    assert set(got) == set(hidden) and all("cipher" in c for c, _ in got.values())
+    assert sum(a == b for i in hidden for a, b in zip(got[i][1], hidden[i])) > 0.97 * sum(map(len, hidden.values()))
+
+
 def test_language_model_counts_everything(spark):
     df = spark.createDataFrame([("ab",), ("ab",), (None,), ("",), ("b",)], "t string")
     counts = lm.count_corpus(df, ["t"])
