@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,16 +13,21 @@ from strataq.common import materialise, small
 from strataq.functions import text as T
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+Tokenizer = Callable[[Column], Column]
+Scorer = Callable[[Column, Column], Column]
+
+
+def postings(docs: DataFrame, id_col: str, text_col: str, tokens: Tokenizer = T.tokens) -> DataFrame:
     """(term, doc, tf); documents without a token have none."""
-    return docs.select(F.col(id_col).alias("doc"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select(F.col(id_col).alias("doc"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
 
 
 class Index:
     """An inverted index of a corpus: postings (materialised, since every channel reads them), document count, mean length."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
-        self.postings = materialise(postings(docs, id_col, text_col))
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, tokens: Tokenizer = T.tokens):
+        self.tokens = tokens
+        self.postings = materialise(postings(docs, id_col, text_col, tokens))
         self.lengths = self.postings.groupBy("doc").agg(F.sum("tf").alias("dl"))
         total = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
         self.stats = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("n", (F.col("tokens") / F.greatest("n", F.lit(1))).alias("avgdl"))  # one row each
@@ -40,7 +47,7 @@ def bm25(queries: DataFrame, index: Index, k: int = S.DEFAULT.retrieval.top_k) -
     Scores are rounded to 6 digits before ranking, ties go by document id. A null question has no terms.
     """
     r = S.DEFAULT.retrieval
-    asked = queries.select("query", F.explode(T.tokens(F.col("question"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = queries.select("query", F.explode(index.tokens(F.col("question"))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
     # The terms of the query set with their weights: a few rows a query, so the postings are filtered before they move.
     weighted = materialise(asked.join(term_weights(index.postings, index.stats), "term"))
     hits = index.postings.join(small(weighted), "term").groupBy("query", "doc").agg(F.collect_list(F.struct("qtf", "idf", "tf")).alias("parts"))
@@ -64,7 +71,7 @@ def hashed_vectors(post: DataFrame) -> DataFrame:
 
 
 def cosine_text(queries: DataFrame, index: Index, k: int = S.DEFAULT.retrieval.top_k) -> DataFrame:
-    q = materialise(hashed_vectors(postings(queries, "query", "question")).select(F.col("doc").alias("query"), "bucket", F.col("w").alias("qw"), F.col("norm").alias("qnorm")))
+    q = materialise(hashed_vectors(postings(queries, "query", "question", index.tokens)).select(F.col("doc").alias("query"), "bucket", F.col("w").alias("qw"), F.col("norm").alias("qnorm")))
     both = hashed_vectors(index.postings).join(small(q), "bucket").groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.max("norm").alias("a"), F.max("qnorm").alias("b"))
     return top(both.select("query", "doc", F.round(F.col("dot") / (F.col("a") * F.col("b")), 6).alias("score")), k)
 
@@ -93,14 +100,21 @@ def rrf(lists: list[DataFrame], k: int = S.DEFAULT.retrieval.rrf_k) -> DataFrame
     return fused.withColumn("rank", F.row_number().over(w)).drop("first")
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(query, doc, score, rank): share of the query's distinct tokens found in the document; ties keep their order."""
-    q = queries.select("query", F.array_distinct(T.tokens(F.col("question"))).alias("qt"))
-    d = docs.select(F.col(id_col).alias("doc"), T.tokens(F.col(text_col)).alias("dt"))
-    both = candidates.select("query", "doc", F.col("rank").alias("old")).join(q, "query").join(d, "doc")
-    score = F.round(F.size(F.array_intersect("qt", "dt")) / F.greatest(F.size("qt"), F.lit(1)), 6)
+def token_overlap(question: Column, passage: Column) -> Column:
+    """The default re-ranker: share of the question's distinct tokens found in the passage."""
+    q = F.array_distinct(T.tokens(question))
+    return F.size(F.array_intersect(q, T.tokens(passage))) / F.greatest(F.size(q), F.lit(1))
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, score: Scorer = token_overlap) -> DataFrame:
+    """(query, doc, score, rank) by `score` of question and passage (an expression, or a pandas UDF that calls a model).
+
+    Scores are rounded to 6 digits, ties keep their order; nothing is cut by score.
+    """
+    both = candidates.select("query", "doc", F.col("rank").alias("old")).join(queries.select("query", "question"), "query").join(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("passage")), "doc")
+    scored = both.select("query", "doc", "old", F.round(score(F.col("question"), F.col("passage")), 6).alias("score"))
     w = W.partitionBy("query").orderBy(F.col("score").desc(), "old")
-    return both.select("query", "doc", "old", score.alias("score")).withColumn("rank", F.row_number().over(w)).drop("old")
+    return scored.withColumn("rank", F.row_number().over(w)).drop("old")
 
 
 def retrieve_modes(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

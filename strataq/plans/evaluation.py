@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from strataq import settings as S
 from strataq.common import numbered, table
 from strataq.functions import text as T
-from strataq.plans.registry import Registry
+from strataq.plans.registry import MATCH, NOSPACE, Registry
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
-def gold_match(item: dict, chunk: dict):
+def is_gold(item: dict, chunk: dict):
     """Whether a chunk is an item's gold: same id; or same file and (any match term, no section, or its section in title or text)."""
     n = T.normalise_for_match
     body, title, section = n(chunk["page_content"]), n(chunk["section_title"]), n(item["section"])
@@ -28,25 +28,33 @@ def gold_match(item: dict, chunk: dict):
     return same_id | (same_file & F.when(has_terms, terms).otherwise(by_section))
 
 
-@query()
+@query(f"""SELECT row_id, {MATCH("page_content")} AS normal FROM chunk_rows""")
 def normalize_for_match(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk_rows").select("row_id", T.normalise_for_match(F.col("page_content")).alias("normal"))
 
 
-@query()
+@query(f"""WITH e AS (SELECT row_id, {MATCH("answer")} AS a, list_transform(list_filter(coalesce(key_points, []), lambda k: length({NOSPACE("k")}) > 0), lambda k: {MATCH("k")}) AS ks FROM eval_items)
+SELECT row_id, round(CASE WHEN len(ks) > 0 THEN len(list_filter(ks, lambda k: contains(a, k)))::DOUBLE / len(ks) ELSE 0.0 END, 6) AS coverage FROM e""")
 def keypoint_coverage(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "eval_items")
     return e.select("row_id", F.round(T.coverage(F.coalesce("key_points", F.array().cast("array<string>")), F.col("answer")), 6).alias("coverage"))
 
 
-@query()
-def gold_match_pairs(spark: SparkSession, d: str) -> DataFrame:
+_SEC, _TIT = MATCH("f.section"), MATCH("ans.src.section_title")
+
+
+@query(f"""WITH first AS (SELECT * FROM eval_items WHERE row_id IN (SELECT min(row_id) FROM eval_items WHERE question IS NOT NULL GROUP BY question)),
+ans AS (SELECT row_id, question, unnest(sources) AS src, generate_subscripts(sources, 1) AS i FROM rag_answers),
+j AS (SELECT ans.row_id AS answer_id, (ans.i - 1)::INTEGER AS pos, coalesce(ans.src.file_name = f.source_file, false) AS same_file, f.match_terms AS terms, {_SEC} AS sec, {_TIT} AS tit FROM ans JOIN first f ON ans.question = f.question)
+SELECT answer_id, pos, same_file AND CASE WHEN coalesce(len(terms), 0) > 0 THEN len(list_filter(terms, lambda t: coalesce(t, '') <> '' AND contains(tit, {MATCH("t")}))) > 0
+WHEN sec = '' THEN true ELSE tit <> '' AND (contains(tit, sec) OR contains(sec, tit) OR (translate(tit, '条章节', '') <> '' AND (contains(translate(tit, '条章节', ''), translate(sec, '条章节', '')) OR contains(translate(sec, '条章节', ''), translate(tit, '条章节', ''))))) END AS gold FROM j""")
+def gold_match(spark: SparkSession, d: str) -> DataFrame:
     """Every answer's sources against its question's label: is the gold file and section among them?"""
     a = table(spark, d, "rag_answers").select(F.col("row_id").alias("answer_id"), "question", F.posexplode("sources").alias("pos", "s"))
     e = first_items(spark, d)
     j = a.join(e, "question")
     chunk = {"chunk_id": F.lit(None).cast("string"), "file_name": F.col("s.file_name"), "section_title": F.col("s.section_title"), "page_content": F.lit("")}
-    return j.select("answer_id", "pos", gold_match({k: F.col(k) for k in ("source_chunk_id", "source_file", "section", "match_terms")}, chunk).alias("gold"))
+    return j.select("answer_id", "pos", is_gold({k: F.col(k) for k in ("source_chunk_id", "source_file", "section", "match_terms")}, chunk).alias("gold"))
 
 
 _FIRST = "first AS (SELECT * FROM eval_items WHERE row_id IN (SELECT min(row_id) FROM eval_items WHERE question IS NOT NULL GROUP BY question))"

@@ -187,7 +187,13 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page_docs").select("row_id", "source").join(todo, "source", "left_semi").select("row_id")
 
 
-@query()
+_KEPT = "list_filter(a.kept, lambda t: x.kept[1] - t <= 60000000)"
+
+
+@query(f"""WITH k AS (SELECT req_key, list({{'us': epoch_us(ts), 'id': row_id}} ORDER BY ts, row_id) AS l FROM request_log WHERE req_key IS NOT NULL AND ts IS NOT NULL GROUP BY req_key),
+f AS (SELECT req_key, l, list_reduce(list_prepend({{'kept': []::BIGINT[], 'ok': []::BOOLEAN[]}}, list_transform(l, lambda r: {{'kept': [r.us], 'ok': []::BOOLEAN[]}})),
+lambda a, x: CASE WHEN len({_KEPT}) < 3 THEN {{'kept': list_append({_KEPT}, x.kept[1]), 'ok': list_append(a.ok, true)}} ELSE {{'kept': {_KEPT}, 'ok': list_append(a.ok, false)}} END).ok AS oks FROM k)
+SELECT unnest(list_transform(l, lambda r: r.id)) AS row_id, req_key, unnest(oks) AS admitted FROM f""")
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return stateful.rate_limit(table(spark, d, "request_log"), "req_key", "ts", "row_id", limit=3, window_s=60).withColumnRenamed("rid", "row_id").withColumnRenamed("key", "req_key")
 
@@ -203,10 +209,13 @@ def min_interval_schedule(spark: SparkSession, d: str) -> DataFrame:
     return stateful.min_interval(table(spark, d, "request_log"), "req_key", "ts", "row_id").withColumnRenamed("rid", "row_id").withColumnRenamed("key", "req_key")
 
 
-@query()
+@query("""WITH k AS (SELECT question, mode, list({'us': epoch_us(asked_at), 'id': row_id} ORDER BY asked_at, row_id) AS l FROM rag_answers WHERE asked_at IS NOT NULL AND question IS NOT NULL GROUP BY question, mode),
+f AS (SELECT l, list_reduce(list_prepend({'at': NULL::BIGINT, 'hit': []::BOOLEAN[]}, list_transform(l, lambda r: {'at': r.us, 'hit': []::BOOLEAN[]})),
+lambda a, x: CASE WHEN a.at IS NOT NULL AND x.at - a.at <= 3600000000 THEN {'at': a.at, 'hit': list_append(a.hit, true)} ELSE {'at': x.at, 'hit': list_append(a.hit, false)} END).hit AS hits FROM k)
+SELECT unnest(list_transform(l, lambda r: r.id)) AS row_id, unnest(hits) AS hit FROM f""")
 def cache_ttl_hits(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "rag_answers")
-    return stateful.cache_hits(a, F.concat_ws("|", nfkc("question"), F.col("mode")), "asked_at", "row_id", S.DEFAULT.limits.ttl_answer_s).withColumnRenamed("rid", "row_id")
+    return stateful.cache_hits(a, F.when(F.col("question").isNotNull(), F.concat_ws("|", nfkc("question"), F.col("mode"))), "asked_at", "row_id", S.DEFAULT.limits.ttl_answer_s).withColumnRenamed("rid", "row_id")
 
 
 @query("""WITH last AS (SELECT max(indexed_at) AS t FROM chunk_rows) SELECT row_id FROM rag_answers, last WHERE asked_at >= t""")

@@ -125,3 +125,15 @@ def test_numbered(spark):
     df = spark.range(50).repartition(4).select(F.col("id"), (F.col("id") * 7 % 50).alias("v"))
     got = numbered(df, [F.col("v").asc()]).orderBy("n").collect()
     assert [r["v"] for r in got] == list(range(50)) and [r["n"] for r in got] == list(range(1, 51))
+
+
+def test_answers(spark):
+    from strataq.operators import answer as A
+
+    docs = spark.createDataFrame([(1, "甲.pdf", "第五条", 3, "应当检查。其余。"), (2, "乙.docx", None, None, "不得进入。"), (3, "甲.pdf", "第五条", 3, "另一段。")], "row_id int, file_name string, section_title string, page int, page_content string")
+    asked = spark.createDataFrame([(7, "问？"), (8, "无")], "query int, question string")
+    ranked = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3)], "query int, doc int, rank int")
+    got = {r["query"]: r for r in A.answer(asked, ranked, docs, "row_id").collect()}
+    assert got[7]["context"] == "[片段1] 《甲.pdf》第五条，第3页\n应当检查。其余。\n\n[片段2] 《乙.docx》\n不得进入。\n\n[片段3] 《甲.pdf》第五条，第3页\n另一段。"
+    assert got[7]["answer"] == "应当检查。" and [s["file_name"] for s in got[7]["sources"]] == ["甲.pdf", "乙.docx"]
+    assert got[8]["answer"] is None and got[8]["sources"] == []
