@@ -9,6 +9,9 @@ their source: the letter of each symbol is learned by EM from the source's symbo
 applied with translate() if nearly all deciphered pairs are known to the language. Units that lost a byte are read
 by their prefix and context.
 
+The language is learned from the first field: short fields that many rows share, such as file names, would teach
+their own damage.
+
 Defined results: null and empty fields are never cases; a field is a case if at least one stretch is more probably
 deciphered than clean, restorable or not (lost bytes show as U+FFFD in the restored text). Repeated ids give one row
 each field.
@@ -70,7 +73,7 @@ def _usual() -> set[str]:
 USUAL = _usual()
 #: A trigger is anything unusual but look-alikes and invisible characters, runs of accented Latin, or an accented or Cyrillic letter beside a mark or the other script.
 _PLAIN = {chr(c) for a, z in ((0x2000, 0x200F), (0x2010, 0x2012), (0x2060, 0x2060), (0x2E80, 0x2FDF), (0xF900, 0xFAFF), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A), (0x300, 0x36F)) for c in range(a, z + 1)} | set("\u00a0\u00ad\u202f\ufeffµ¬")
-TRIGGER = re.compile("[^" + re.escape("".join(sorted(USUAL | _PLAIN))) + "]|[À-ÿ]{2}|[À-ÿА-яЁё][±°³²·×÷§•–—…“”‘’]|[À-ÿ][А-яЁё]|[А-яЁё][À-ÿ]|[a-zA-Z][А-яЁё]|[А-яЁё]{2}[‘’“”–—…]")
+TRIGGER = re.compile("[^" + re.escape("".join(sorted(USUAL | _PLAIN))) + "]|[À-ÿ]{2}|[À-ÿА-яЁё][±°³²·×÷§•–—…“”‘’]|[À-ÿ][А-яЁё]|[А-яЁё][À-ÿ]|[a-zA-Z][А-яЁё]|[А-яЁё][‘’“”–—…]|[ÂÃ][^a-zA-Z]")
 #: A stretch ends at a mark that garbling would not have left alone.
 _STOP = re.compile(r"[，。；：！？、（）《》【】\n\t|]+")
 _KNOWN = np.zeros(0x10001, dtype=bool)
@@ -82,7 +85,7 @@ _KNOWN[0xFFFD] = True
 _BAD = 0xF700
 _BAD_LOGP, _LOST_LOGP = -16.0, -3.0
 #: A class must beat `clean` by this much (natural log) to be a candidate at all.
-MARGIN = 6.0
+MARGIN = 4.0
 
 
 def _keep_bytes(e: UnicodeError) -> tuple[str, int]:
@@ -337,7 +340,7 @@ def _posterior() -> Column:
 
 def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], counts: np.ndarray | None = None, rounds: int = 2) -> DataFrame:
     """(rid, field, start, stop, cls, plain) of the stretches that are more probably deciphered than clean; plain: of learned ciphers."""
-    counts = lm.count_corpus(df, fields) if counts is None else counts
+    counts = lm.count_corpus(df, fields[:1]) if counts is None else counts
     id_type = df.schema[id_col].dataType.simpleString()
     shape = f"rid {id_type}, source string, field string, start int, stop int, obs string, ll array<double>"
     found = df.select(F.col(id_col).alias("rid"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), *fields).mapInArrow(_score_batches(fields, counts), shape)
@@ -404,7 +407,7 @@ def restore_stretch(obs: str, cls: str, model: lm.Bigrams, table: dict) -> str:
 
 def restore(df: DataFrame, id_col: str, source_col: str, fields: list[str]) -> DataFrame:
     """(rid, field, cls, restored) of the affected fields: the text with every decided stretch deciphered."""
-    counts = lm.count_corpus(df, fields)
+    counts = lm.count_corpus(df, fields[:1])
     parts = decided(df, id_col, source_col, fields, counts)
     # The stretches of one field of one row: bounded by the length of that text.
     per_field = parts.groupBy("rid", "field").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "cls", "plain"))).alias("parts"))
