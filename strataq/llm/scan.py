@@ -36,6 +36,8 @@ from strataq.llm.quality import _SENTENCE, _USUAL
 SHARE = 2e-6
 MIN_WORD, MIN_CONTEXT, DOMINANCE, MIN_PAIR = 3, 15, 0.85, 3
 HEADER_PAGES, HEADER_LENGTH = 3, 100
+#: So many times rarer than its true word a misread word of letters alone has to be.
+RARER = 3
 
 # What optical recognition takes for what (seen form, true form).
 CONFUSED = (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("1", "l"), ("!", "i"), ("|", "l"), ("0", "o"), ("c", "e"), ("e", "c"), ("5", "s"), ("8", "b"), ("i", "l"), ("l", "i"), ("h", "b"), ("b", "h"), ("f", "t"), ("n", "u"), ("u", "n"), ("9", "g"), ("6", "b"))
@@ -249,7 +251,7 @@ def misread_words(forms: DataFrame) -> tuple[DataFrame, dict[str, int]]:
                     continue
                 best = (1.0, 0, "")
                 for v, m, _ in trie.within(low, 2):
-                    if v != low and m >= (n if inner else 8 * max(n, lower.get(low, 0))):
+                    if v != low and m >= (n if inner else RARER * max(n, lower.get(low, 0))):
                         best = min(best, (confusion_cost(low, v), -m, v))
                 if best[0] < 1.0:
                     out.append((w, best[2]))
