@@ -12,8 +12,11 @@ and full-width punctuation stay. Repeated entries are each reported.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -95,6 +98,27 @@ _WORD = f"[^{_PLAIN}]+"
 _CUT = f"(?<=[{_PLAIN}])(?=[^{_PLAIN}])|(?<=[^{_PLAIN}])(?=[{_PLAIN}])"
 
 
+#: A class of characters of 16 bits is a table lookup in Python; the others are a second, rare test.
+_PYTHON_ODD = re.compile("[" + "".join(re.escape(chr(m[0])) for m in mappings() if m[0] < 0x10000) + "]")
+_ASTRAL_ODD = frozenset(chr(m[0]) for m in mappings() if m[0] >= 0x10000)
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+
+
+def _is_odd(text: str | None) -> bool:
+    return text is not None and not text.isascii() and (_PYTHON_ODD.search(text) is not None or any(c in _ASTRAL_ODD for c in _ASTRAL.findall(text)))
+
+
+def odd_rows(df: DataFrame, text_col: str) -> DataFrame:
+    """The rows whose text holds a character with a mapping; one scan in Arrow batches (a Java class of so many ranges is slow)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            yield b.filter(pa.array([_is_odd(t) for t in texts], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     m = spark.createDataFrame(mappings(), "cp int, kind string, target string, ccc int")
     c = spark.createDataFrame(compositions(), "parts string, whole string")

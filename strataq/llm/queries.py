@@ -13,7 +13,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page_docs")
     keys = ["table_name", "row_id", "pos"]
     points = lookalike.find(lookalike.key_point_entries(table(spark, d, "eval_items")), keys, "txt")
-    odd = pages.where(F.col("page_content").rlike(lookalike.ODD))
+    odd = materialise(lookalike.odd_rows(pages.select("row_id", "source", "page_content"), "page_content"))
     found = lookalike.find(lookalike.page_entries(odd), keys, "txt")
     counts = lm.count_corpus(pages, ["page_content"])
     garbled = mojibake.affected(odd, "row_id", "source", ["page_content"], counts).select(F.col("rid").alias("row_id"))
