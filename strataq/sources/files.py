@@ -162,7 +162,7 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def report(summary: DataFrame, title: str) -> str:
-    """A markdown report of a summary of a few rows (one a mode or category)."""
-    rows = summary.limit(200).collect()
+    """A markdown report of a summary, which has one row a mode or category."""
+    rows = summary.collect()
     head = summary.columns
     return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows)])
