@@ -360,8 +360,8 @@ def learn(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_co
     forms = materialise(count_forms(pages, text_col))
     contexts = Contexts(forms)
     words, solid = misread_words(forms)
-    common = forms.where(F.col("word").isNotNull() & (F.col("n") >= MIN_WORD)).select("word")
-    bad = {r[0] for r in words.join(common, "word", "left_semi").select("word").collect() if r[0] in solid}
+    common = pages.sparkSession.createDataFrame([(w,) for w in solid], "word string")
+    bad = {r[0] for r in words.join(common, "word", "left_semi").select("word").collect()}  # no more than the vocabulary
     keep = {w for w in solid if w not in bad}
     seen = materialise(observe(pages, id_col, source_col, page_col, text_col, contexts, keep))
     return seen, confused_pairs(seen), words, contexts, keep
