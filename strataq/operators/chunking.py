@@ -39,6 +39,23 @@ def pack_rows(lines: Column, head_length: Column, limit: int = S.DEFAULT.chunkin
     return F.aggregate(lines, start, step, lambda a: a["out"])
 
 
+def table_parts(t: Column, limit: int = S.DEFAULT.chunking.table_max) -> Column:
+    """A markdown table in parts of at most limit characters, each under the caption, header and rule; a longer row has its own part.
+
+    Tables within the limit stay whole. Null where there is no header to repeat: such text is split as prose.
+    """
+    lines = F.split(t, "\n")
+    bars = F.filter(lines, lambda x: x.startswith("|"))
+    first = F.element_at(lines, 1)
+    cap = F.when(first.startswith("【"), first).otherwise("")
+    header, rule = F.try_element_at(bars, F.lit(1)), F.try_element_at(bars, F.lit(2))
+    data = F.slice(bars, 3, F.greatest(F.size(bars) - 2, F.lit(0)))
+    part_of = pack_rows(data, F.length(cap) + F.length(header) + F.length(rule) + 4, limit)
+    head = F.concat_ws("\n", F.nullif(cap, F.lit("")), header, rule)
+    pieces = F.transform(F.sequence(F.lit(0), F.array_max(part_of)), lambda p: F.concat_ws("\n", head, F.array_join(F.filter(data, lambda x, i: F.element_at(part_of, i + 1) == p), "\n")))
+    return F.when(F.length(t) <= limit, F.array(t)).when(F.size(bars) >= 3, pieces)
+
+
 def structure_units(t: Column) -> Column:
     """Text cut before every line that starts a section; stripped, blanks dropped; the whole text if nothing is left."""
     cut = F.split(t, r"\n+(?=(?:" + "|".join(S.SECTION_STARTS[:4]) + r"|\d+\.\d+(?!\d)|" + S.SECTION_STARTS[5] + "))")
@@ -100,10 +117,12 @@ def chunk_id(source: Column, page: Column, index: Column, content: Column) -> Co
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
-    """Chunk rows of prose documents, each with its index, title and id; tables keep their text in one piece up to the table size."""
-    long = docs.where(F.col("page_content").isNotNull() & (T.strip(F.col("page_content")) != ""))
-    text = long.where(~F.col("doc_type").eqNullSafe("table")).select("*", F.posexplode(chunk_text(F.col("page_content"))).alias("chunk_index", "c"))
-    text = text.select("row_id", "source", "page", "chunk_index", F.col("c.title").alias("section_title"), F.col("c.content").alias("content"))
-    tables = long.where(F.col("doc_type") == "table").select("row_id", "source", "page", F.lit(0).alias("chunk_index"), F.lit("表格").alias("section_title"), F.col("page_content").alias("content"))
+    """Chunk rows with index, title and id: tables in parts that repeat their header, everything else by structure."""
+    filled = docs.where(F.col("page_content").isNotNull() & (T.strip(F.col("page_content")) != ""))
+    parts = F.when(F.col("doc_type") == "table", table_parts(F.col("page_content")))
+    cut = filled.select("row_id", "source", "page", "page_content", parts.alias("parts"))
+    out = ["row_id", "source", "page", "chunk_index"]
+    tables = cut.where("parts is not null").select("row_id", "source", "page", F.posexplode("parts").alias("chunk_index", "content")).select(*out, F.lit("表格").alias("section_title"), "content")
+    text = cut.where("parts is null").select("row_id", "source", "page", F.posexplode(chunk_text(F.col("page_content"))).alias("chunk_index", "c")).select(*out, F.col("c.title").alias("section_title"), F.col("c.content").alias("content"))
     both = text.unionByName(tables)
     return both.withColumn("chunk_id", chunk_id(F.col("source"), F.col("page"), F.col("chunk_index"), F.col("content")))

@@ -66,6 +66,18 @@ def test_table_to_markdown(spark):
     assert C.table_to_markdown(rows, ["k"], "o", F.col("c"), F.lit(None).cast("string")).first()["markdown"] == "【表格】\n| a | b |\n|---|---|\n| 1 |   |"
 
 
+def test_table_parts(spark):
+    rows = [f"| 叉车 | {i:03d} |" for i in range(120)]
+    table = "\n".join(["【表格：台账】", "| 名称 | 数量 |", "|---|---|", *rows])
+    parts = one(spark, table, lambda c: C.table_parts(c))
+    assert len(parts) > 1 and all(len(p) <= 900 and p.startswith("【表格：台账】\n| 名称 | 数量 |\n|---|---|\n") for p in parts)
+    assert [x for p in parts for x in p.split("\n")[3:]] == rows
+    assert one(spark, "| a |", lambda c: C.table_parts(c)) == ["| a |"]
+    long = "| " + "x" * 1000 + " |"
+    assert [p.split("\n")[2:] for p in one(spark, "\n".join(["| h |", "|---|", rows[0], long, rows[1]]), lambda c: C.table_parts(c))] == [[rows[0]], [long], [rows[1]]]
+    assert one(spark, "字" * 1000, lambda c: C.table_parts(c)) is None
+
+
 def test_rrf(spark):
     lists = [spark.createDataFrame([(1, x, i + 1) for i, x in enumerate(xs)], "query int, doc string, rank int") for xs in ("xy", "yz")]
     got = {r["doc"]: (round(r["score"], 9), r["rank"]) for r in R.rrf(lists).collect()}
