@@ -5,11 +5,14 @@ automaton (distance 2) runs over a trie of the vocabulary; candidates are ranked
 how common they are. Han text has no words to cut: the automaton there is one substitution, intersected with the
 trigrams by their three contexts (left, both sides, right), and context ranks: a character is misread if a context in
 which another character stands nearly always has it instead, and its pair of characters is confused all over the
-corpus (two contexts agreeing at least `MIN_PAIR` times). Running headers are lines at the head or foot that recur in
+corpus (two contexts agreeing at least `MIN_PAIR` times). A second pass puts the learned pairs back, neighbours
+together, and takes a character for misread where the trigrams around it are so far more common (`restored`); that
+needs no context, so neighbours misread together and rare words are seen too. Running headers are lines at the head or foot that recur in
 their file after folding confused characters; page numbers are shapes at the head or foot. `repair` removes the
 furniture, joins broken words, puts the likely characters back and reflows lines into paragraphs.
 
-All tables that workers receive have sizes bounded by shares (an entry needs a fixed share of all counts).
+All tables that workers receive have sizes bounded by shares (an entry needs a fixed share of all counts) or a fixed
+size (the bitmap of the second pass, whose hits are joined with the exact counts).
 
 Defined results: null and blank pages and pages without running prose have no noise. Distinct pages are counted for
 headers, so a page loaded twice counts once; a page without a number counts by its text.
@@ -38,6 +41,9 @@ MIN_WORD, MIN_CONTEXT, DOMINANCE, MIN_PAIR = 3, 15, 0.85, 3
 HEADER_PAGES, HEADER_LENGTH = 3, 100
 #: So many times rarer than its true word a misread word of letters alone has to be.
 RARER = 3
+#: Log of how many times more common the trigrams around a character have to be with the learned pairs put back.
+EVIDENCE = 2.0
+_BITS = 22
 
 # What optical recognition takes for what (seen form, true form).
 CONFUSED = (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("1", "l"), ("!", "i"), ("|", "l"), ("0", "o"), ("c", "e"), ("e", "c"), ("5", "s"), ("8", "b"), ("i", "l"), ("l", "i"), ("h", "b"), ("b", "h"), ("f", "t"), ("n", "u"), ("u", "n"), ("9", "g"), ("6", "b"))
@@ -330,6 +336,85 @@ def confused_pairs(seen: DataFrame) -> list[tuple[str, str]]:
     return [(r["a"], r["b"]) for r in good.select("a", "b").collect()]
 
 
+def restored_forms(forms: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(tri, n, m, mask): trigrams with a confused character; the count of the most common form with any of the pairs put back, and where."""
+    true = _true_codes(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tri, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            chars = [tri >> 42, tri >> 21 & _M21, tri & _M21]
+            back = [true[np.minimum(c, 0xFFFF)] for c in chars]
+            for mask in range(1, 8):
+                ok = np.logical_and.reduce([back[k] > 0 for k in range(3) if mask >> k & 1])
+                x, y, z = (back[k][ok] if mask >> k & 1 else chars[k][ok] for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(tri[ok]), pa.array(n[ok]), pa.array(x << 42 | y << 21 | z), pa.array(np.full(int(ok.sum()), mask, dtype=np.int32))], names=["tri", "n", "fixed", "mask"])
+
+    wide = forms.where("tri is not null").select("tri", "n")
+    every = wide.mapInArrow(run, "tri bigint, n bigint, fixed bigint, mask int")
+    counted = every.join(wide.select(F.col("tri").alias("fixed"), F.col("n").alias("m")), "fixed", "left").select("tri", "n", F.coalesce("m", F.lit(0)).alias("m"), "mask")
+    return counted.groupBy("tri", "n").agg(F.max(F.struct("m", F.col("mask"))).alias("best")).select("tri", "n", "best.m", "best.mask")
+
+
+def _true_codes(pairs: list[tuple[str, str]]) -> np.ndarray:
+    true = np.zeros(1 << 16, dtype=np.int64)
+    for a, b in pairs:
+        true[ord(a)] = ord(b)
+    return true
+
+
+def _bucket(tri: np.ndarray) -> np.ndarray:
+    return ((tri.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def restored(pages: DataFrame, id_col: str, text_col: str, forms: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(rid, tri, k): trigrams on pages of running prose whose k-th character (from 0) is misread, by counts with the learned pairs put back.
+
+    Every trigram around the character votes: with the log of how many times more common its restored form is, or
+    against it with the log of its own count.
+    """
+    id_type = pages.schema[id_col].dataType.simpleString()
+    if not pairs:
+        return pages.sparkSession.createDataFrame([], f"rid {id_type}, tri bigint, k int")
+    best = materialise(restored_forms(forms, pairs))
+    better = (F.col("m") >= MIN_WORD) & (F.col("m") > F.col("n"))
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bucket(b.column(0).to_numpy())))], names=["bucket"])
+
+    marked = np.zeros(1 << _BITS, dtype=bool)
+    marked[best.where(better).select("tri").mapInArrow(buckets, "bucket bigint").distinct().toArrow()["bucket"].to_numpy()] = True  # at most 2^_BITS rows
+    packed, true = np.packbits(marked), _true_codes(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hit = np.unpackbits(packed).astype(bool)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            flat = [_HAN_GAP.sub("", t) for t in texts]
+            ends = np.cumsum([len(t) + 3 for t in flat])
+            c = np.concatenate([[0, 0], lm.codes("\x00\x00\x00".join(flat) + "\x00\x00\x00").astype(np.int64), [0, 0]])
+            at = np.flatnonzero(true[np.minimum(c, 0xFFFF)])
+            w = _wide(c)
+            tri = np.stack([c[at - k] << 42 | c[at - k + 1] << 21 | c[at - k + 2] for k in range(3)])
+            whole = np.stack([w[at - k] & w[at - k + 1] & w[at - k + 2] for k in range(3)])
+            odd = np.flatnonzero((whole & hit[_bucket(tri)]).any(axis=0))
+            page = np.searchsorted(ends, at[odd] - 2, "right")
+            prose = {i: is_prose(texts[i]) for i in set(page.tolist())}
+            keep = np.array([prose[i] for i in page.tolist()], dtype=bool)
+            odd, page = odd[keep], page[keep]
+            k, j = np.nonzero(whole[:, odd])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(page[j])), pa.array(at[odd[j]]), pa.array(k.astype(np.int32)), pa.array(tri[k, odd[j]])], names=["rid", "place", "k", "tri"])
+
+    asked = pages.where(F.col(text_col).rlike("[" + "".join(a for a, _ in pairs) + "]")).select(F.col(id_col), F.col(text_col))
+    # The place is one in its batch; a page stands in one batch only.
+    votes = asked.mapInArrow(run, f"rid {id_type}, place bigint, k int, tri bigint").join(best, "tri")
+    own = better & F.expr("shiftright(mask, k) & 1 = 1")
+    log = F.when(own, F.log((F.col("m") + 0.5) / (F.col("n") + 0.5))).otherwise(-F.log((F.col("n") + 0.5) / 0.5))
+    judged = votes.groupBy("rid", "place").agg(F.round(F.sum(log), 6).alias("sum"), F.collect_set(F.when(own, F.struct("tri", "k"))).alias("places"))  # at most three
+    return judged.where(F.col("sum") >= EVIDENCE).select("rid", F.explode("places").alias("p")).select("rid", "p.tri", "p.k").distinct()
+
+
 def _folded(line, pairs: list[tuple[str, str]]):
     """A line without spaces, case and confusable characters: what reading differences leave alone."""
     s = F.lower(F.regexp_replace(line, r"(?U)[\s|]+", ""))
@@ -356,7 +441,7 @@ def headers(seen: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def learn(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str):
-    """Everything the corpus teaches: observations, confused Han pairs, misread words, headers."""
+    """Everything the corpus teaches: observations, confused Han pairs, misread words, contexts, misread trigrams."""
     forms = materialise(count_forms(pages, text_col))
     contexts = Contexts(forms)
     words, solid = misread_words(forms)
@@ -364,15 +449,17 @@ def learn(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_co
     bad = {r[0] for r in words.join(common, "word", "left_semi").select("word").collect()}  # no more than the vocabulary
     keep = {w for w in solid if w not in bad}
     seen = materialise(observe(pages, id_col, source_col, page_col, text_col, contexts, keep))
-    return seen, confused_pairs(seen), words, contexts, keep
+    pairs = confused_pairs(seen)
+    return seen, pairs, words, contexts, restored(pages, id_col, text_col, forms, pairs)
 
 
 def noise(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str) -> DataFrame:
     """Distinct (rid, noise) of the pages with running prose."""
-    seen, pairs, words, _, _ = learn(pages, id_col, source_col, page_col, text_col)
+    seen, pairs, words, _, again = learn(pages, id_col, source_col, page_col, text_col)
     plain = seen.where("what in ('hyphen', 'page_number', 'number')").select("rid", F.when(F.col("what") == "number", "misread").otherwise(F.col("what")).alias("noise"))
     good = F.array(*[F.lit(a + b) for a, b in pairs]) if pairs else F.array().cast("array<string>")
     han = seen.where("what = 'han'").where(F.array_contains(good, F.concat("a", "b"))).select("rid", F.lit("misread").alias("noise"))
+    han = han.unionByName(again.select("rid", F.lit("misread").alias("noise")))
     latin = seen.where("what = 'word'").join(small(words).select(F.col("word").alias("a")), "a").select("rid", F.lit("misread").alias("noise"))
     head = headers(seen, pairs).where("n = 1").select("rid", F.lit("header").alias("noise"))
     return plain.unionByName(han).unionByName(latin).unionByName(head).distinct()
@@ -380,26 +467,27 @@ def noise(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_co
 
 def repair(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str) -> DataFrame:
     """(rid, repaired): pages of running prose without page furniture, words joined and put right, reflowed."""
-    seen, pairs, words, contexts, _ = learn(pages, id_col, source_col, page_col, text_col)
+    seen, pairs, words, contexts, again = learn(pages, id_col, source_col, page_col, text_col)
     drop = headers(seen, pairs).groupBy("rid").agg(F.collect_set("a").alias("drop"))  # at most four lines a page
     fix = seen.where("what = 'word'").join(small(words).select(F.col("word").alias("a"), "true"), "a").groupBy("rid").agg(F.map_from_entries(F.collect_set(F.struct("a", "true"))).alias("fix"))
+    put = again.groupBy("rid").agg(F.collect_set(F.struct("tri", "k")).alias("put"))
     good = set(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep, out = [], []
-            for i, (text, lines, fixes) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))):
+            for i, (text, lines, fixes, places) in enumerate(zip(*(b.column(k).to_pylist() for k in (1, 2, 3, 4)))):
                 if text and is_prose(text):
                     keep.append(i)
-                    out.append(_repaired(text, set(lines or ()), dict(fixes or ()), good, contexts))
+                    out.append(_repaired(text, set(lines or ()), dict(fixes or ()), good, contexts, [(p["tri"], p["k"]) for p in places or ()]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(out, pa.string())], names=["rid", "repaired"])
 
     id_type = pages.schema[id_col].dataType.simpleString()
-    joined = pages.select(F.col(id_col).alias("rid"), F.col(text_col).alias("txt")).join(drop, "rid", "left").join(fix, "rid", "left")
-    return joined.select("rid", "txt", "drop", "fix").mapInArrow(run, f"rid {id_type}, repaired string")
+    joined = pages.select(F.col(id_col).alias("rid"), F.col(text_col).alias("txt")).join(drop, "rid", "left").join(fix, "rid", "left").join(put, "rid", "left")
+    return joined.select("rid", "txt", "drop", "fix", "put").mapInArrow(run, f"rid {id_type}, repaired string")
 
 
-def _repaired(text: str, drop: set[str], fixes: dict[str, str], good: set[tuple[str, str]], contexts: Contexts) -> str:
+def _repaired(text: str, drop: set[str], fixes: dict[str, str], good: set[tuple[str, str]], contexts: Contexts, put: list[tuple[int, int]]) -> str:
     gone = set()
     for i, line in edge_lines(text):
         rest, numbered = without_page_number(line)
@@ -411,11 +499,17 @@ def _repaired(text: str, drop: set[str], fixes: dict[str, str], good: set[tuple[
     body = _NUMBER.sub(lambda m: m[0].translate(str.maketrans("lIO!|SBZ", "11011582")), body)
     flat = _HAN_GAP.sub("", body)
     wrong = [(c, t) for _, c, t, _ in contexts.events([flat]) if (chr(c), chr(t)) in good]
-    if wrong:
-        chars = list(flat)
+    if wrong or put:
+        chars, true_of = list(flat), dict(good)
         for at, seen, true in _event_places(flat, contexts):
             if (seen, true) in good:
                 chars[at] = true
+        for tri, k in put:
+            form = chr(tri >> 42) + chr(tri >> 21 & _M21) + chr(tri & _M21)
+            at = flat.find(form)
+            while at >= 0:
+                chars[at + k] = true_of[form[k]]
+                at = flat.find(form, at + 1)
         flat = "".join(chars)
     out = ""
     for line in flat.split("\n"):  # a line that doesn't end a sentence goes on in the next one

@@ -223,6 +223,22 @@ def test_scan_noise(spark):
     assert scan.noise(df.where("false"), "row_id", "source", "page", "page_content").count() == 0
 
 
+def test_neighbours_misread_together(spark):
+    body = "焊工作业前检查气瓶，电工作业后检查线路，架子工作业时检查脚手架。监护人未到场的，不得开始作业检查。"
+    swap = lambda t: t.translate(str.maketrans("作业检查", "昨亚捡杳"))
+    rows = [(i, "f.pdf", i, f"{body}\n{body}") for i in range(20)]
+    for k, (a, b) in enumerate(zip("作业检查", "昨亚捡杳")):  # each misread alone, where context tells
+        rows += [(20 + 5 * k + i, "f.pdf", 20 + 5 * k + i, f"{body}\n{body.replace(a, b, 1)}") for i in range(5)]
+    title = "棠原酸洗作业检查手册"
+    rows += [(50 + i, "g.pdf", i, f"{title}\n{EN}") for i in range(4)] + [(60, "g.pdf", 9, f"{swap(title)}\n{EN}"), (61, "h.pdf", 1, f"昨天收到通知。\n{EN}")]
+    df = frame(spark, rows, "row_id bigint, source string, page int, page_content string", "what string, a string, b string, sig string")
+    got = {r["rid"] for r in scan.noise(df, "row_id", "source", "page", "page_content").where("noise = 'misread'").collect()}
+    assert 60 in got and not got & {*range(20), *range(50, 54), 61}
+    line = f"{swap(title)}第三条规定如下。\n{EN}"
+    fixed = scan.repair(df.where("row_id <> 60").unionByName(frame(spark, [(60, "g.pdf", 9, f"{EN}\n{EN}\n{line}\n{EN}\n{EN}")], "row_id bigint, source string, page int, page_content string", "what string, a string, b string, sig string")), "row_id", "source", "page", "page_content")
+    assert title in fixed.where("rid = 60").first()["repaired"]
+
+
 @pytest.mark.parametrize("line, rest", [("— 4 —", ""), ("第8页 共17页", ""), ("Page 3 of 15", ""), ("l2", ""), ("xii", ""), ("青洲手册    — 8 —", "青洲手册"), ("青洲手册 | 21", "青洲手册"), ("Volume 8", None), ("第八条 动火", None)])
 def test_page_numbers(line, rest):
     assert scan.without_page_number(line) == ((line, False) if rest is None else (rest, True))
