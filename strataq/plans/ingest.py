@@ -11,7 +11,7 @@ from strataq.common import table
 from strataq.functions import text as T
 from strataq.functions.unicode import normalise_question as nfkc
 from strataq.operators import retrieval as R
-from strataq.operators import stateful
+from strataq.operators import stateful, store
 from strataq.plans.pages import META
 from strataq.plans.registry import CJK, Registry
 
@@ -182,11 +182,39 @@ def bm25_merge_staged(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH m AS ({_MANIFEST}), f AS ({_FILES}), todo AS (SELECT f.path FROM f LEFT JOIN m ON m.path = f.path WHERE m.path IS NULL OR m.size <> f.size) SELECT p.row_id FROM page_docs p JOIN todo ON p.source = todo.path""")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    # Unchanged files go before anything is parsed; pages of the others are what would be chunked and upserted.
+    # The first step alone, as its SQL says: the pages to ingest. The whole job is incremental_ingest_rows and the three after it.
     todo = manifest_diff(spark, d).where("status <> 'unchanged'").select(F.col("path").alias("source"))
     return table(spark, d, "page_docs").select("row_id", "source").join(todo, "source", "left_semi").select("row_id")
 
 
+def _ingested(spark: SparkSession, d: str) -> DataFrame:
+    return store.ingest(table(spark, d, "chunk_rows"), table(spark, d, "page_docs"))
+
+
+@query()
+def incremental_ingest_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _ingested(spark, d)
+
+
+@query()
+def incremental_ingest_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return store.manifest(_ingested(spark, d))
+
+
+@query()
+def incremental_ingest_index(spark: SparkSession, d: str) -> DataFrame:
+    # Rows without an id are each an entry of their own.
+    rows = _ingested(spark, d).select(F.coalesce(F.lower("chunk_id"), F.concat(F.lit("row "), "row_id")).alias("id"), "page_content")
+    return R.postings(rows, "id", "page_content")
+
+
+@query()
+def incremental_ingest_stale(spark: SparkSession, d: str) -> DataFrame:
+    # Any change of the store makes every cached answer stale.
+    todo = store.changed_files(table(spark, d, "chunk_rows"), table(spark, d, "page_docs")).limit(1).select(F.lit(1).alias("one"))
+    return table(spark, d, "rag_answers").select("row_id").crossJoin(F.broadcast(todo)).select("row_id")
+
+
 _KEPT = "list_filter(a.kept, lambda t: x.kept[1] - t <= 60000000)"
 
 
