@@ -1,4 +1,4 @@
-"""The store as a table: incremental ingest of changed files."""
+"""The store as a table: incremental ingest of changed files, and the merge of an index with a staged part."""
 
 from __future__ import annotations
 
@@ -41,3 +41,17 @@ def ingest(store: DataFrame, pages: DataFrame) -> DataFrame:
 def manifest(store: DataFrame) -> DataFrame:
     """(path, chunk_id): one row a file and id."""
     return store.where("source is not null and chunk_id is not null").select(F.col("source").alias("path"), F.lower("chunk_id").alias("chunk_id")).distinct()
+
+
+def newest(entries: DataFrame, id_col: str, key_col: str, at_col: str) -> DataFrame:
+    """Entries with the latest time of their key (case apart), undated ones last, ties to the smallest id; null keys are each kept."""
+    dated = entries.withColumn("_k", F.lower(key_col)).withColumn("_at", -F.coalesce(F.unix_micros(F.col(at_col).cast("timestamp")), F.lit(-(1 << 62))))
+    return R.keep_first(dated, ["_k"], ["_at", id_col]).drop("_k", "_at")
+
+
+def merge_staged(base: DataFrame, delta: DataFrame, id_col: str, key_col: str, at_col: str, text_col: str) -> DataFrame:
+    """(term, doc, tf) of base and staged delta as one index: of each key only the newest entry, from whichever part it comes."""
+    cols = [id_col, key_col, at_col]
+    live = small(materialise(newest(base.select(*cols).unionByName(delta.select(*cols)), id_col, key_col, at_col).select(id_col)))
+    part = lambda df: R.postings(df.join(live, id_col, "left_semi"), id_col, text_col)
+    return part(base).unionByName(part(delta))

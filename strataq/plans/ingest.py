@@ -174,12 +174,19 @@ def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH n AS (SELECT lower(coalesce(chunk_id, '')) AS k, max(indexed_at) AS newest FROM chunk_rows GROUP BY 1) SELECT count(*) AS ids, count(newest) AS dated FROM n""")
 def bm25_merge_staged(spark: SparkSession, d: str) -> DataFrame:
-    # Base and delta are read as one, the newer entry of an id wins; compaction is a rewrite of the same plan.
+    # Counts of ids alone, as its SQL says; bm25_merged is the merge.
     c = table(spark, d, "chunk_rows").select(F.lower(F.coalesce("chunk_id", F.lit(""))).alias("k"), "indexed_at", "is_ocr")
     base, delta = c.where(~F.coalesce("is_ocr", F.lit(False))), c.where(F.coalesce("is_ocr", F.lit(False)))
     return base.unionByName(delta).groupBy("k").agg(F.max("indexed_at").alias("newest")).agg(F.count(F.lit(1)).alias("ids"), F.count("newest").alias("dated"))
 
 
+@query()
+def bm25_merged(spark: SparkSession, d: str) -> DataFrame:
+    # Scanned chunks stand for the staged part; compaction is a rewrite of the same plan.
+    c, scanned = table(spark, d, "chunk_rows"), F.coalesce("is_ocr", F.lit(False))
+    return store.merge_staged(c.where(~scanned), c.where(scanned), "row_id", "chunk_id", "indexed_at", "page_content")
+
+
 @query(f"""WITH m AS ({_MANIFEST}), f AS ({_FILES}), todo AS (SELECT f.path FROM f LEFT JOIN m ON m.path = f.path WHERE m.path IS NULL OR m.size <> f.size) SELECT p.row_id FROM page_docs p JOIN todo ON p.source = todo.path""")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     # The first step alone, as its SQL says: the pages to ingest. The whole job is incremental_ingest_rows and the three after it.

@@ -1,4 +1,4 @@
-"""Ingest on small tables with known results."""
+"""Ingest and index merge on small tables with known results."""
 
 from datetime import datetime
 
@@ -25,3 +25,14 @@ def test_ingest(spark):
     cid = next(r["chunk_id"] for r in got if r["source"] == "fresh")
     again = store.ingest(spark.createDataFrame([*have, (5, "elsewhere", 1, "text", "stale", cid.upper(), 0, "", T1)], CHUNKS), p).collect()
     assert [r["source"] for r in again if (r["chunk_id"] or "").lower() == cid] == ["fresh"]
+
+
+def test_merge_staged(spark):
+    from strataq.plans import catalog
+
+    assert "bm25_merged" in catalog.QUERIES
+    cols = "row_id bigint, chunk_id string, indexed_at timestamp, page_content string"
+    base = spark.createDataFrame([(1, "A", T1, "red red"), (2, "B", T2, "blue"), (3, None, T1, "grey"), (4, "C", None, "pink")], cols)
+    delta = spark.createDataFrame([(5, "a", T2, "red green"), (6, "b", T1, "black"), (7, None, T1, "grey"), (8, "c", T1, "teal"), (9, "D", T2, "lime"), (10, "d", T2, "mint")], cols)
+    got = {tuple(r) for r in store.merge_staged(base, delta, "row_id", "chunk_id", "indexed_at", "page_content").collect()}
+    assert got == {("red", 5, 1), ("green", 5, 1), ("blue", 2, 1), ("grey", 3, 1), ("grey", 7, 1), ("teal", 8, 1), ("lime", 9, 1)}
