@@ -132,13 +132,19 @@ def passages(item: str, doc: str) -> list[tuple[int, int]]:
     runs.sort()
     best: list[tuple[int, int]] = []  # (length of the chain so far, its start)
     chains: list[tuple[int, int]] = []
+    at: dict[int, list[int]] = defaultdict(list)  # runs so far by offset; those of one offset end in the order of their starts
     for k, (a, z, off) in enumerate(runs):
-        score, start = z - a, a
-        for j in range(k - 1, max(-1, k - 60), -1):
-            b, y, o = runs[j]
-            if -n <= a - y <= MAX_GAP and abs(off - o) <= MAX_GAP and z > y and (a <= y or not _number_lost(item, y, a)):
-                if best[j][0] + z - y > score:
-                    score, start = best[j][0] + z - y, best[j][1]
+        score, start, last = z - a, a, k  # of equal chains the one with the latest run before
+        for o in range(off - MAX_GAP, off + MAX_GAP + 1):
+            for j in reversed(at.get(o, ())):
+                y = runs[j][1]
+                if a - y > MAX_GAP:
+                    break
+                if -n <= a - y and z > y and (a <= y or not _number_lost(item, y, a)):
+                    new = best[j][0] + z - y
+                    if new > score or new == score and last < j < k:
+                        score, start, last = new, best[j][1], j
+        at[off].append(k)
         best.append((score, start))
         chains.append((start, z))
     covered = sorted(c for c in chains if c[1] - c[0] >= least)

@@ -293,6 +293,11 @@ def test_packing(spark, seed):
 ITEM = "学徒甲第66次跟师傅去气瓶库学习受限空间作业，有人用导静电装置顶住门扇，外面的设备管理员推了89次。据此推断起重钢丝绳的失效概率属于哪一档。"
 
 
+def test_passages_of_many_repeats():
+    item = "".join(chr(0x4E00 + 7 * k) for k in range(30))
+    assert leakage.passages(item, (item[:15] + "龘" + item[16:] + "龘靐齉") * 100) == [(0, 30)]
+
+
 def test_leaks(spark):
     other = ITEM.replace("气瓶库", "卸料平台").replace("66", "31").replace("导静电装置", "灭火器").replace("设备管理员", "焊工").replace("89", "12").replace("起重钢丝绳", "叉车")
     rows = [(1, PROSE + ITEM + PROSE), (2, PROSE + ITEM[: len(ITEM) * 6 // 10] + PROSE), (3, PROSE + ITEM[:12] + PROSE), (4, PROSE + other), (5, None), (6, ""), (7, ITEM.replace("学习", "学 习\n").replace("门扇", "门户")), (8, PROSE * 400 + ITEM)]
