@@ -29,25 +29,33 @@ def char_bucket(a: np.ndarray) -> np.ndarray:
     return (a.astype(np.uint64) & np.uint64((1 << CHAR_BITS) - 1)) + np.uint64(1 << PAIR_BITS)
 
 
-def count_corpus(df: DataFrame, cols: list[str]) -> np.ndarray:
-    """Counts of all characters and adjacent pairs of the columns, null texts aside; a vector of SIZE numbers."""
+def count_corpus(df: DataFrame, cols: list[str], encodings: tuple[str, ...] = ()) -> np.ndarray:
+    """Counts of all characters and adjacent pairs of the columns, null texts aside; a vector of SIZE numbers.
+
+    For each encoding 2^16 counts of adjacent bytes follow, of the texts written in it (characters it lacks are left out).
+    """
+    size = SIZE + (len(encodings) << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for b in batches:
             for col in b.columns:
                 texts = [t for t in col.to_pylist() if t]
                 if not texts:
                     continue
                 c = codes("\x00".join(texts))
-                total += np.bincount(char_bucket(c).astype(np.int64), minlength=SIZE)
-                total += np.bincount(pair_bucket(c[:-1], c[1:]).astype(np.int64), minlength=SIZE)
+                total[:SIZE] += np.bincount(char_bucket(c).astype(np.int64), minlength=SIZE)
+                total[:SIZE] += np.bincount(pair_bucket(c[:-1], c[1:]).astype(np.int64), minlength=SIZE)
+                whole = "\n".join(texts) if encodings else ""
+                for i, enc in enumerate(encodings):
+                    raw = np.frombuffer(whole.encode(enc, "ignore"), dtype=np.uint8).astype(np.int64)
+                    total[SIZE + (i << 16) : SIZE + (i + 1 << 16)] += np.bincount(raw[:-1] << 8 | raw[1:], minlength=1 << 16)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
     counts = df.select(*cols).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()  # at most SIZE rows, whatever the corpus
-    out = np.zeros(SIZE, dtype=np.int64)
+    got = counts.toArrow()  # at most `size` rows, whatever the corpus
+    out = np.zeros(size, dtype=np.int64)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
 
@@ -56,7 +64,7 @@ class Bigrams:
     """log P(next | char), smoothed towards the single character; characters of `known` alone count as seen."""
 
     def __init__(self, counts: np.ndarray, floor: float = 1e-7):
-        self.n = max(1, int(counts[1 << PAIR_BITS :].sum()))
+        self.n = max(1, int(counts[1 << PAIR_BITS : SIZE].sum()))
         self.counts = counts
         self.floor = floor
 

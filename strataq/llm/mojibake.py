@@ -1,13 +1,14 @@
 """Problem 4: text that was decoded with the wrong character encoding.
 
-An unknown code-page swap is a substitution cipher: each byte unit of the true text always shows as the same wrong
-characters. A swap is a hidden class of each suspicious stretch; the classes are the pairs (bytes were written in
-`true`, read as `wrong`), some applied twice, and `clean`. The likelihood of a stretch under a class is that of its
-deciphered text under character bigrams of the whole corpus, and expectation-maximisation learns, per source, how
-common each class is there (priors smoothed over all sources). Stretches that no known pair explains are a cipher of
-their source: the letter of each symbol is learned by EM from the source's symbol pairs against the bigrams, and
-applied with translate() if nearly all deciphered pairs are known to the language. Units that lost a byte are read
-by their prefix and context.
+An unknown code-page swap is a substitution cipher per source: each symbol shown (a character, or a row or cell code of a
+wrong page of two bytes a character) stands for one byte of the true text. Stretches are grouped first: the groups are
+pairs of pages (bytes were written in `true`, read as `wrong`), some applied twice, and how common each is in a source
+is learned by EM from the likelihood of its stretches. The table from symbols to bytes is then learned by EM from the
+symbol pairs of a group against the byte pairs of the corpus in the true encoding; the page only starts it. A source
+whose pairs disagree with what all sources teach learns its own. Stretches that no pair of pages explains are learned
+from nothing, for their source: as bytes of each true encoding and as letters of each alphabet of the corpus, and taken
+if the table saves more than it costs. Tables are applied with translate(), and a stretch counts if what it becomes is
+likelier than what it was. Units that lost a byte are read by their prefix and context.
 
 The language is learned from the first field: short fields that many rows share, such as file names, would teach
 their own damage.
@@ -24,7 +25,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,15 +118,8 @@ _PAIR_LEAD = b"\x81"
 _PAIRED = ("gb18030", "cp950", "cp932")
 
 
-def decipher(text: str, swap: tuple) -> str:
-    """The stretch read under a swap; what fits no letter stays as marked bytes."""
-    for write, read in zip(swap[1], swap[2]):
-        text = _encode(text, write, "\x81" if read in _PAIRED and write not in ("latin", "cp1251x", "koi8-r") else "\x1a").decode(read, "strataq_bytes")
-    return text
-
-
 def _decipher_fast(text: str, swap: tuple) -> tuple[str, int]:
-    """As decipher, but what fits no letter shows as U+FFFD; and how many characters the wrong encoding doesn't have."""
+    """The stretch read under a swap, with U+FFFD for what fits no letter; and how many characters the wrong encoding doesn't have."""
     missing = 0
     for write, read in zip(swap[1], swap[2]):
         if write == "latin":
@@ -249,70 +242,250 @@ def scored_parts(text: str, model: lm.Bigrams) -> Iterator[tuple[int, int, list[
                 if ll or end - at < 24:
                     yield at, end, ll
                 else:
-                    yield from _halves(text, at, end, model, 4)
+                    yield from _halves(text, at, end, model)
             at = end
 
 
-def _halves(text: str, a: int, z: int, model: lm.Bigrams, depth: int) -> Iterator[tuple[int, int, list[float] | None]]:
-    """Parts of a stretch that changes its encoding somewhere inside one script."""
+def _halves(text: str, a: int, z: int, model: lm.Bigrams) -> Iterator[tuple[int, int, list[float] | None]]:
+    """Parts of a stretch that changes its encoding somewhere inside one script, halved down to 12 characters."""
     ll = class_scores(text[a:z], model)
-    if ll or depth == 0 or z - a < 12:
+    if ll or z - a < 24:
         yield a, z, ll
     else:
-        yield from _halves(text, a, (a + z) // 2, model, depth - 1)
-        yield from _halves(text, (a + z) // 2, z, model, depth - 1)
-
-
-_LETTER = re.compile("[\u00a1-\u024f\u0370-\u052f]")
-#: A source's cipher needs so many symbol pairs, and so large a share of deciphered pairs that the language knows.
-CIPHER_PAIRS, CIPHER_KNOWN, CIPHER_SYMBOLS = 300, 0.9, 256
-_ALPHABET = [chr(c) for c in range(0x430, 0x450)] + ["ё"] + [chr(c) for c in range(0x410, 0x430)] + ["Ё"]
-
-
-def _is_cipher_text(text: str, a: int, z: int) -> bool:
-    return len(_LETTER.findall(text, a, z)) >= 4 and not _WIDE.search(text, a, z)
+        yield from _halves(text, a, (a + z) // 2, model)
+        yield from _halves(text, (a + z) // 2, z, model)
+
+
+#: True encodings whose byte pairs are counted over the corpus.
+TRUE = ("utf-8", "gb18030", "cp950", "cp932", "cp1251", "koi8-r")
+#: Wrong pages that hold two bytes a character: their characters are read as row and cell codes, two symbols each.
+_TWO_BYTE = ("gb18030", "cp950", "cp932", "cp949")
+#: Stands for a lost character among row and cell codes.
+_GONE = "Ā"
+#: Deciphered pairs that the language has to know, and distinct letters that a cipher without a known page has to show.
+CIPHER_KNOWN, CIPHER_LETTERS = 0.9, 8
+#: Observations that one symbol of the starting table counts for.
+START_WEIGHT = 10.0
+#: What a source's own table has to gain over the pooled one for each symbol it reads otherwise (natural log; some six unknown pairs).
+OWN_COST = 60.0
+_SYMBOL = re.compile("[ -ԯ֐-๿‐-⏿─-◿-ﬁﬂ\u0080-\u009f]")
+_NOT_SYMBOL = re.compile("[ᄀ-ᇿ⺀-퟿豈-﫿＀-￯]")
+#: Alphabets by script; those the corpus uses are candidates for ciphers of one symbol a letter.
+_SCRIPT_RANGES = {"latin": (0xC0, 0x24F), "greek": (0x391, 0x3CE), "cyrillic": (0x401, 0x45F), "armenian": (0x531, 0x586), "hebrew": (0x5D0, 0x5EA), "arabic": (0x621, 0x64A), "thai": (0xE01, 0xE4E), "kana": (0x3041, 0x30FE)}
+
+
+def base_class(cls: str) -> str:
+    """The class whose table deciphers it: a swap applied twice has the table of the single one."""
+    return cls.removesuffix("-twice")
+
+
+_SWAP = {s[0]: s for s in SWAPS}
+
+
+def symbols(obs: str, cls: str) -> str:
+    """A stretch as symbols: its characters, or the row and cell codes of a page of two bytes (as characters below U+0100)."""
+    write = _SWAP[cls][1][0]
+    if write not in _TWO_BYTE:
+        return obs.replace(LOST, _GONE)
+    return _GONE.join(part.encode(write, "strataq_mark").decode("latin-1").replace("\x1a", _GONE) for part in obs.split(LOST))
+
+
+def _page(cls: str, syms: str) -> str:
+    """What the class's page has for the symbols, as bytes; _GONE where it has nothing."""
+    write = _SWAP[cls][1][0]
+    if write in _TWO_BYTE:
+        return syms
+    return "".join(_GONE if s == _GONE or raw == b"\x1a" else raw.decode("latin-1") for s in syms for raw in (_encode(s, write, "\x1a"),))
+
+
+def read_symbols(syms: str, cls: str, table: dict[int, str]) -> str:
+    """The plain text: symbols become bytes by translate(), bytes are read in the true encoding; what fits no letter stays marked."""
+    swap = _SWAP[base_class(cls)]
+    lost = "\x81" if swap[2][0] in _PAIRED and swap[1][0] in _TWO_BYTE else "\x1a"
+    text = syms
+    for _ in range(len(_SWAP[cls][1])):
+        out, at = [], 0
+        for m in [*_NOT_SYMBOL.finditer(text), None] if swap[1][0] not in _TWO_BYTE else [None]:  # clean characters of other kinds stay
+            raw = "".join(c if c <= "\xff" else lost for c in text[at : m.start() if m else None].translate(table))
+            out += [raw.encode("latin-1").decode(swap[2][0], "strataq_bytes"), m[0] if m else ""]
+            at = m.end() if m else 0
+        text = "".join(out)
+    return text
 
 
-def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, cls, x, y, n) of the adjacent symbols of stretches, at least one of them not ASCII."""
     for b in batches:
-        seen: dict[tuple[str, str, str], int] = {}
-        for source, obs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for x, y in zip(obs, obs[1:]):
-                if _LETTER.match(x) and _LETTER.match(y):
-                    seen[source, x, y] = seen.get((source, x, y), 0) + 1
-        cols = list(zip(*seen)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(seen.values(), pa.int64())], names=["source", "x", "y", "n"])
-
-
-def _learner(counts: np.ndarray):
-    c = np.array([ord(x) for x in _ALPHABET], dtype=np.uint32)
-    bigrams = counts[lm.pair_bucket(np.repeat(c, len(c)), np.tile(c, len(c))).astype(np.int64)].reshape(len(c), len(c)).astype(float)
-
-    def learn(pairs: pd.DataFrame) -> pd.DataFrame:
-        source, none = pairs["source"].iloc[0], pd.DataFrame({"source": [], "src": [], "dst": []}, dtype=str)
-        if pairs["n"].sum() < CIPHER_PAIRS or not bigrams.any():
-            return none
-        often = pd.concat([pairs.groupby("x")["n"].sum(), pairs.groupby("y")["n"].sum()]).groupby(level=0).sum().nlargest(CIPHER_SYMBOLS)
-        at = {s: i for i, s in enumerate(sorted(often.index))}
-        m = np.zeros((len(at), len(at)))
-        for x, y, n in zip(pairs["x"], pairs["y"], pairs["n"]):
-            if x in at and y in at:
-                m[at[x], at[y]] += n
-        letters, _ = cipher.learn(m, bigrams)
-        known = (m * (bigrams[letters][:, letters] > 0)).sum() / max(1.0, m.sum())
-        symbols = sorted(at)
-        plain = [_ALPHABET[k] for k in letters]
-        if known < CIPHER_KNOWN or len(set(plain)) < 8 or sum(a == b for a, b in zip(symbols, plain)) > len(symbols) / 2:
-            return none
-        return pd.DataFrame({"source": [source], "src": ["".join(symbols)], "dst": ["".join(plain)]})
-
-    return learn
-
-
-def ciphers(residual: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(source, src, dst): translate() tables of the sources whose unexplained stretches are a cipher of one letter a symbol."""
-    pairs = residual.select("source", "obs").mapInArrow(_pairs_of, "source string, x string, y string, n bigint").groupBy("source", "x", "y").agg(F.sum("n").alias("n"))
-    return pairs.groupBy("source").applyInPandas(_learner(counts), "source string, src string, dst string")
+        seen: dict[tuple[str, str, str, str], int] = {}
+        for source, cls, obs in zip(*(b.column(i).to_pylist() for i in range(3))):
+            syms = symbols(obs, cls) if cls in _SWAP else obs
+            for x, y in zip(syms, syms[1:]):
+                if (x > "\x7f" or y > "\x7f") and x != _GONE and y != _GONE and not _NOT_SYMBOL.match(x) and not _NOT_SYMBOL.match(y):
+                    seen[source, cls, x, y] = seen.get((source, cls, x, y), 0) + 1
+        cols = list(zip(*seen)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(seen.values(), pa.int64())], names=["source", "cls", "x", "y", "n"])
+
+
+def _counted(x: list[str], y: list[str], n: list[int]) -> tuple[str, np.ndarray]:
+    """The symbols in order, and the matrix of their pair counts."""
+    syms = "".join(sorted({*x, *y}))
+    at = {s: i for i, s in enumerate(syms)}
+    m = np.zeros((len(syms), len(syms)))
+    np.add.at(m, ([at[s] for s in x], [at[s] for s in y]), n)
+    return syms, m
+
+
+def byte_bigrams(counts: np.ndarray, enc: str) -> np.ndarray:
+    """Adjacent bytes of the corpus in an encoding; pairs of ASCII, which say nothing about a cipher, aside."""
+    i = TRUE.index(enc)
+    m = counts[lm.SIZE + (i << 16) : lm.SIZE + (i + 1 << 16)].reshape(256, 256).astype(float)
+    m[:128, :128] = 0
+    return m
+
+
+def _pinned(syms: str) -> np.ndarray:
+    return np.array([ord(s) if s < "\x80" else -1 for s in syms])
+
+
+def learn_page(syms: str, m: np.ndarray, cls: str, counts: np.ndarray, start: dict[int, str] | None = None) -> str:
+    """The byte of each symbol, learned by EM from symbol pairs, started from the class's page or from a table already learned."""
+    bigrams = byte_bigrams(counts, _SWAP[cls][2][0])
+    guess = syms.translate(start) if start else _page(cls, syms)
+    n = len(syms)
+    b = np.zeros((256, n + 1))  # the last symbol stands for those not seen here
+    for i, g in enumerate(guess):
+        if g <= "\xff":
+            b[ord(g), i] = 1.0
+    b[b.sum(1) == 0, n] = 1.0
+    post, _ = cipher.learn(np.pad(m, (0, 1)), bigrams, np.append(_pinned(syms), -1), 128, b, START_WEIGHT, rounds=12)
+    return "".join(map(chr, post[:, :n].argmax(0)))
+
+
+def _alphabets(counts: np.ndarray) -> list[tuple[str, list[str], np.ndarray]]:
+    """(name, letters with ASCII first, bigrams) of the scripts that make up at least 1e-5 of the corpus."""
+    out = []
+    total = max(1, counts[1 << lm.PAIR_BITS : lm.SIZE].sum())
+    for name, (lo, hi) in _SCRIPT_RANGES.items():
+        own = [chr(c) for c in range(lo, hi + 1) if counts[(1 << lm.PAIR_BITS) + c] > 0 and chr(c).isalpha() and (name != "latin" or chr(c) in USUAL)]
+        if not own or sum(int(counts[(1 << lm.PAIR_BITS) + ord(c)]) for c in own) < 1e-5 * total:
+            continue
+        letters = [chr(c) for c in range(128)] + own
+        c = np.array([ord(x) for x in letters], dtype=np.uint32)
+        m = counts[lm.pair_bucket(np.repeat(c, len(c)), np.tile(c, len(c))).astype(np.int64)].reshape(len(c), len(c)).astype(float)
+        m[:128, :128] = 0
+        if name == "latin":  # accented letters side by side are mostly damage themselves
+            m[128:, 128:] = 0
+        out.append((name, letters, m))
+    return out
+
+
+def learn_cipher(syms: str, m: np.ndarray, counts: np.ndarray, alphabets: list) -> tuple[str, str] | None:
+    """(encoding or '', plain letter or byte of each symbol) of a source whose page is unknown, learned from nothing; None if nothing fits.
+
+    Candidates are the bytes of each true encoding and the letters of each alphabet of the corpus. The best has to save
+    more than its table costs (the log of the letters for each symbol), and its pairs have to be known to the language.
+    """
+    free = [i for i, s in enumerate(syms) if s > "\x7f"]
+    if len(free) < CIPHER_LETTERS or m.sum() < len(free):  # no table could save what it costs
+        return None
+    ends = m.sum(0) + m.sum(1)
+    best: tuple[float, tuple[str, str] | None] = (0.0, None)
+    candidates = [(enc, [chr(c) for c in range(256)], byte_bigrams(counts, enc)) for enc in TRUE if enc not in ("cp1251", "koi8-r")]
+    for name, letters, bigrams in [*candidates, *(("", a[1], a[2]) for a in alphabets)]:
+        if not bigrams.any() or len(free) > len(letters) - 128:
+            continue
+        post, fit = cipher.learn(m, bigrams, _pinned(syms), 128, rounds=60, restarts=4)
+        table = post.argmax(0)
+        known = (m * (bigrams[table][:, table] > 0)).sum() / max(1.0, m.sum())
+        plain = "".join(letters[k] for k in table)
+        # Without a table every symbol is drawn from all of its sort alike.
+        gain = m.sum() * fit + ends[free].sum() * np.log(len(free)) + (ends.sum() - ends[free].sum()) * np.log(96) - len(free) * np.log(len(letters))
+        changed = sum(plain[i] != syms[i] for i in free)
+        if known >= CIPHER_KNOWN and len({plain[i] for i in free}) >= CIPHER_LETTERS and changed > len(free) / 2 and gain > best[0]:
+            best = (gain, (name, plain))
+    return best[1]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list, list, list]]:
+    """Runs of one (source, cls) in sorted pair rows."""
+    key, x, y, n = None, [], [], []
+    for b in batches:
+        for s, c, p, q, k in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if (s, c) != key:
+                if key:
+                    yield (*key, x, y, n)
+                key, x, y, n = (s, c), [], [], []
+            x.append(p)
+            y.append(q)
+            n.append(k)
+    if key:
+        yield (*key, x, y, n)
+
+
+_TABLE = "source string, cls string, enc string, src string, dst string"
+
+
+def learn_tables(stretches: DataFrame, counts: np.ndarray) -> tuple[dict[str, tuple[str, str]], DataFrame]:
+    """Tables symbol -> byte: pooled ones by class (what all sources teach), and those of the sources that teach otherwise.
+
+    A page only starts the EM. Stretches without a class (cls '') are a cipher of their source, learned from nothing.
+    """
+    once = stretches.where("cls <> 'lost' and cls not like '%-twice'").select("source", "cls", "obs").distinct()  # copies are one piece of evidence
+    pairs = materialise(once.mapInArrow(_pair_rows, "source string, cls string, x string, y string, n bigint").groupBy("source", "cls", "x", "y").agg(F.sum("n").alias("n")))
+    # All sources together: at most the pairs of 256 codes, or of a page's characters, for each class.
+    pooled: dict[str, tuple[str, str]] = {}
+    mean: dict[str, float] = {}
+    everywhere = pairs.where("cls <> ''").groupBy("cls", "x", "y").agg(F.sum("n").alias("n")).toPandas()
+    for cls, g in everywhere.groupby("cls"):
+        syms, m = _counted(g["x"].tolist(), g["y"].tolist(), g["n"].tolist())
+        pooled[cls] = (syms, learn_page(syms, m, cls, counts))
+        mean[cls] = float((m * np.log(_joint(pooled[cls][1], byte_bigrams(counts, _SWAP[cls][2][0])))).sum() / max(1.0, m.sum()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alphabets = _alphabets(counts)
+        bigrams = {c: byte_bigrams(counts, _SWAP[c][2][0]) for c in pooled}
+        log = {c: np.log(_joint(t[1], bigrams[c])) for c, t in pooled.items()}
+        place = {c: {s: i for i, s in enumerate(t[0])} for c, t in pooled.items()}
+        out = []
+        for source, cls, x, y, n in _groups(batches):
+            if not cls:
+                found = learn_cipher(*_counted(x, y, n), counts, alphabets)
+                if found:
+                    out.append((source, cls, found[0], "".join(sorted({*x, *y})), found[1]))
+                continue
+            at = place[cls]
+            shared = float(np.dot(log[cls][[at[s] for s in x], [at[s] for s in y]], n))
+            if mean[cls] * sum(n) - shared > OWN_COST:  # as the pairs of all sources fit, there is something to gain
+                syms, m = _counted(x, y, n)
+                table = dict(zip(map(ord, pooled[cls][0]), pooled[cls][1]))
+                own = learn_page(syms, m, cls, counts, table)
+                changed = sum(a != b for a, b in zip(own, syms.translate(table)))
+                if changed and float((m * np.log(_joint(own, bigrams[cls]))).sum()) - shared > OWN_COST * changed:
+                    out.append((source, cls, _SWAP[cls][2][0], syms, own))
+        cols = list(zip(*out)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["source", "cls", "enc", "src", "dst"])
+
+    own = pairs.repartition("source").sortWithinPartitions("source", "cls").mapInArrow(run, _TABLE)
+    return pooled, materialise(own)
+
+
+def _joint(plain: str, bigrams: np.ndarray) -> np.ndarray:
+    at = [ord(c) for c in plain]
+    return cipher.smoothed(bigrams)[np.ix_(at, at)]
+
+
+def _whole(parts: Iterator[tuple[int, int, list[float] | None]]) -> Iterator[tuple[int, int, list[float] | None]]:
+    """Parts without a class that follow each other are one again: units of several symbols aren't cut."""
+    last = None
+    for a, z, ll in parts:
+        if last and not last[2] and not ll and last[1] == a:
+            last = (last[0], z, None)
+            continue
+        if last:
+            yield last
+        last = (a, z, ll)
+    if last:
+        yield last
 
 
 def _score_batches(fields: list[str], counts: np.ndarray):
@@ -324,7 +497,7 @@ def _score_batches(fields: list[str], counts: np.ndarray):
             for k, field in enumerate(fields):
                 for i, text in enumerate(b.column(2 + k).to_pylist()):
                     if text:
-                        for a, z, ll in scored_parts(text, model):
+                        for a, z, ll in _whole(scored_parts(text, model)):
                             if ll or _is_cipher_text(text, a, z):
                                 for col, v in zip(out, (ids[i].as_py(), sources[i].as_py(), field, a, z, text[a:z], ll)):
                                     col.append(v)
@@ -333,19 +506,17 @@ def _score_batches(fields: list[str], counts: np.ndarray):
     return run
 
 
+def _is_cipher_text(text: str, a: int, z: int) -> bool:
+    return len(_SYMBOL.findall(text, a, z)) >= 4 and not _NOT_SYMBOL.search(text, a, z)
+
+
 def _posterior() -> Column:
     joint = F.zip_with("ll", F.coalesce("prior", F.array(*[F.lit(1.0 / len(CLASSES))] * len(CLASSES))), lambda x, p: x + F.log(p))
     return F.transform(joint, lambda x: F.exp(F.greatest(x - F.array_max(joint), F.lit(-700.0))))
 
 
-def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], counts: np.ndarray | None = None, rounds: int = 2) -> DataFrame:
-    """(rid, field, start, stop, cls, plain) of the stretches that are more probably deciphered than clean; plain: of learned ciphers."""
-    counts = lm.count_corpus(df, fields[:1]) if counts is None else counts
-    id_type = df.schema[id_col].dataType.simpleString()
-    shape = f"rid {id_type}, source string, field string, start int, stop int, obs string, ll array<double>"
-    found = df.select(F.col(id_col).alias("rid"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), *fields).mapInArrow(_score_batches(fields, counts), shape)
-    every = materialise(found)
-    residual, found = every.where("ll is null"), every.where("ll is not null")
+def classes(found: DataFrame, rounds: int = 2) -> DataFrame:
+    """found with `cls`: the page pair that groups a stretch with others, by EM per source over how common each is there."""
     now = found.withColumn("prior", F.lit(None).cast("array<double>"))
     for _ in range(rounds):  # expectation, then maximisation per source, smoothed by all sources
         post = now.withColumn("w", _posterior()).withColumn("w", F.expr("transform(w, x -> x / aggregate(w, 0D, (a, y) -> a + y))"))
@@ -360,12 +531,52 @@ def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], coun
         now = found.join(small(priors), "source", "left")
     best = now.withColumn("w", _posterior()).withColumn("k", F.array_position("w", F.array_max("w")) - 1)
     names = F.array(*[F.lit(c) for c in CLASSES])
-    known = best.where("k > 0").select("rid", "field", "start", "stop", F.element_at(names, F.col("k").cast("int") + 1).alias("cls"), F.lit(None).cast("string").alias("plain"))
-    if not residual.take(1):
-        return known
-    tables = materialise(ciphers(residual, counts))
-    own = residual.join(small(tables), "source")
-    return known.unionByName(own.select("rid", "field", "start", "stop", F.lit("cipher").alias("cls"), F.expr("translate(obs, src, dst)").alias("plain")))
+    return best.where("k > 0").select("rid", "source", "field", "start", "stop", "obs", F.element_at(names, F.col("k").cast("int") + 1).alias("cls"), F.element_at("ll", 1).alias("clean"))
+
+
+def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], counts: np.ndarray | None = None) -> DataFrame:
+    """(rid, field, start, stop, cls, plain) of the stretches that read better deciphered by a learned table than as they stand.
+
+    counts: those of lm.count_corpus with the encodings TRUE. cls is the class, or `cipher` for a table learned from nothing.
+    """
+    counts = lm.count_corpus(df, fields[:1], TRUE) if counts is None else counts
+    id_type = df.schema[id_col].dataType.simpleString()
+    shape = f"rid {id_type}, source string, field string, start int, stop int, obs string, ll array<double>"
+    found = df.select(F.col(id_col).alias("rid"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), *fields).mapInArrow(_score_batches(fields, counts), shape)
+    every = materialise(found)
+    unknown = every.where("ll is null").select("rid", "source", "field", "start", "stop", "obs", F.lit("").alias("cls"), F.lit(0.0).alias("clean"))
+    asked = materialise(classes(every.where("ll is not null")).unionByName(unknown))
+    pooled, own = learn_tables(asked, counts)
+    tabled = asked.withColumn("base", F.regexp_replace("cls", "-twice$", "")).join(small(own.withColumnRenamed("cls", "base")), ["source", "base"], "left").where("cls <> '' or src is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, letters = lm.Bigrams(counts), _letter_table(counts)
+        shared = {c: dict(zip(map(ord, t[0]), t[1])) for c, t in pooled.items()}
+        for b in batches:
+            keep, plains, names = [], [], []
+            for i, (cls, obs, clean, enc, src, dst) in enumerate(zip(*(b.column(k).to_pylist() for k in range(4, 10)))):
+                if cls == "lost":
+                    plain, better = obs, True
+                elif cls:
+                    base = base_class(cls)
+                    table = dict(zip(map(ord, src), dst)) if src else shared.get(base, {})
+                    rough = read_symbols(symbols(obs, base), cls, table)
+                    better = log_likelihood(rough, model) > clean
+                    plain = filled(rough, cls, model, letters) if better else obs
+                else:
+                    plain = obs.translate(dict(zip(map(ord, src), dst)))
+                    if enc:
+                        plain = plain.replace(LOST, "\x1a").encode("latin-1", "replace").decode(enc, "replace").replace("\x1a", LOST)
+                    # The table holds for the source as a whole; a stretch escapes it only if it is clearly likelier as it stands.
+                    better = log_likelihood(plain, model) > log_likelihood(obs, model, clean=True) - MARGIN
+                if better:
+                    keep.append(i)
+                    plains.append(plain)
+                    names.append(cls or "cipher")
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), pa.array(names, pa.string()), pa.array(plains, pa.string())], names=["rid", "field", "start", "stop", "cls", "plain"])
+
+    return tabled.select("rid", "field", "start", "stop", "cls", "obs", "clean", "enc", "src", "dst").mapInArrow(run, f"rid {id_type}, field string, start int, stop int, cls string, plain string")
 
 
 def affected(df: DataFrame, id_col: str, source_col: str, fields: list[str], counts: np.ndarray | None = None) -> DataFrame:
@@ -388,11 +599,8 @@ def _letter_table(counts: np.ndarray) -> dict[bytes, list[tuple[str, int]]]:
 _CUT = re.compile(f"([{chr(_BAD + 0x80)}-{chr(_BAD + 0xFF)}]{{1,2}})[?\x1a]?")
 
 
-def restore_stretch(obs: str, cls: str, model: lm.Bigrams, table: dict) -> str:
-    """The deciphered stretch; a unit that lost a byte becomes the letter its bytes and neighbours make likeliest."""
-    if cls == "lost":
-        return obs
-    text = decipher(obs, SWAPS[CLASSES.index(cls) - 1])
+def filled(text: str, cls: str, model: lm.Bigrams, table: dict) -> str:
+    """A deciphered stretch; a unit that lost a byte becomes the letter its bytes and neighbours make likeliest."""
 
     def fill(m: re.Match) -> str:
         options = table.get(bytes(ord(c) - _BAD for c in m.group(1)), [])
@@ -407,21 +615,20 @@ def restore_stretch(obs: str, cls: str, model: lm.Bigrams, table: dict) -> str:
 
 def restore(df: DataFrame, id_col: str, source_col: str, fields: list[str]) -> DataFrame:
     """(rid, field, cls, restored) of the affected fields: the text with every decided stretch deciphered."""
-    counts = lm.count_corpus(df, fields[:1])
-    parts = decided(df, id_col, source_col, fields, counts)
+    parts = materialise(decided(df, id_col, source_col, fields))
     # The stretches of one field of one row: bounded by the length of that text.
     per_field = parts.groupBy("rid", "field").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "cls", "plain"))).alias("parts"))
-    long = df.select(F.col(id_col).alias("rid"), F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "txt"))
+    # Only the texts in question move.
+    texts = df.select(F.col(id_col).alias("rid"), *fields).join(small(parts.select("rid").distinct()), "rid", "left_semi")
+    long = texts.select("rid", F.explode(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f))])).alias("field", "txt"))
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = lm.Bigrams(counts)
-        letters = _letter_table(counts)
         for b in batches:
             out = []
             for text, ps in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 for p in reversed(ps):
-                    text = text[: p["start"]] + (restore_stretch(text[p["start"] : p["stop"]], p["cls"], model, letters) if p["plain"] is None else p["plain"]) + text[p["stop"] :]
+                    text = text[: p["start"]] + p["plain"] + text[p["stop"] :]
                 out.append(text)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(["+".join(sorted({p["cls"] for p in ps})) for ps in b.column(3).to_pylist()], pa.string()), pa.array(out, pa.string())], names=["rid", "field", "cls", "restored"])
 

@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     points = lookalike.find(lookalike.key_point_entries(table(spark, d, "eval_items")), keys, "txt")
     odd = materialise(lookalike.odd_rows(pages.select("row_id", "source", "page_content"), "page_content"))
     found = lookalike.find(lookalike.page_entries(odd), keys, "txt")
-    counts = lm.count_corpus(pages, ["page_content"])
+    counts = lm.count_corpus(pages, ["page_content"], mojibake.TRUE)
     garbled = mojibake.affected(odd, "row_id", "source", ["page_content"], counts).select(F.col("rid").alias("row_id"))
     return points.unionByName(found.join(garbled, "row_id", "left_anti").select(*keys))
 
@@ -47,7 +47,7 @@ def _not_garbled(pages: DataFrame, rows: DataFrame, counts) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page_docs")
     rows = materialise(scan.noise(pages, "row_id", "source", "page", "page_content").withColumnRenamed("rid", "row_id"))
-    return _not_garbled(pages, rows, lm.count_corpus(pages, ["page_content"]))
+    return _not_garbled(pages, rows, lm.count_corpus(pages, ["page_content"], mojibake.TRUE))
 
 
 def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page_docs")
-    counts = lm.count_corpus(pages, ["page_content"])
+    counts = lm.count_corpus(pages, ["page_content"], mojibake.TRUE)
     rows = materialise(quality.kinds(pages, "row_id", "page_content", counts).select(F.col("rid").alias("row_id"), "kind").where("kind <> 'prose'"))
     return rows.where("kind <> 'junk'").unionByName(_not_garbled(pages, rows.where("kind = 'junk'"), counts))
 

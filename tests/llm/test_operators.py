@@ -1,5 +1,6 @@
 """The ten operators: edge cases (nulls, empty, very long, ties, repeated rows, empty tables, extra columns) and round trips."""
 
+import difflib
 import random
 import unicodedata
 from collections import Counter, defaultdict
@@ -145,6 +146,43 @@ def test_unknown_cipher_is_learned_per_source(spark):
     assert sum(a == b for i in hidden for a, b in zip(got[i][1], hidden[i])) > 0.97 * sum(map(len, hidden.values()))
 
 
+ZH = "动火 作业 叉车 质量 检验 合格 标签 班前 说明 淹溺 风险 设备 管理 检查 安全 气瓶 电工 线路 架子 监护 到场 不得 开始 每日 记录 压力 阀门 消防 通道 保持 畅通 发现 隐患 立即 报告 主管 负责 整改 措施 完成 复查 签字 存档 岗位 人员 培训 考核 上岗 证书".split()
+
+
+@pytest.mark.parametrize("write, seed", [("utf-8", 1), ("utf-8", 2)])
+def test_unknown_page_of_bytes_is_learned_per_source(spark, write, seed):
+    """Chinese text read in a page of single bytes that no list has: every source its own."""
+    rng = random.Random(seed)
+    text = lambda: "".join(rng.choice(ZH) for _ in range(90))
+    hidden, rows = {}, [(i, "clean", text()) for i in range(150)]
+    for k, source in enumerate(("one", "two")):
+        page = [chr(0xC0 + i) for i in range(128)]
+        rng.shuffle(page)
+        for i in range(8):
+            hidden[1000 * (k + 1) + i] = text()
+            rows.append((1000 * (k + 1) + i, source, "".join(page[b - 128] if b > 127 else chr(b) for b in hidden[1000 * (k + 1) + i].encode(write))))
+    df = frame(spark, rows, "row_id bigint, source string, page_content string", "field string, cls string, enc string, src string, dst string")
+    got = {r["rid"]: r["restored"] for r in mojibake.restore(df, "row_id", "source", ["page_content"]).collect()}
+    assert set(got) == set(hidden)
+    right = sum(m.size for i in hidden for m in difflib.SequenceMatcher(None, got[i], hidden[i], False).get_matching_blocks())
+    assert right > 0.97 * sum(map(len, hidden.values()))
+
+
+def test_a_source_with_another_page_learns_its_own_table(spark):
+    """Two bytes of the page stand elsewhere in one source: its pairs overrule the pooled table."""
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice(ZH) for _ in range(90))
+    counts = lm.count_corpus(spark.createDataFrame([(text(),) for _ in range(200)], "t string"), ["t"], mojibake.TRUE)
+    hidden = text() + text() + text()
+    shown = hidden.encode("utf-8").decode("latin-1").translate({0xE6: 0xE7, 0xE7: 0xE6, 0xBD: 0xA1, 0xA1: 0xBD})
+    rows = [("usual", "utf8-latin", text().encode("utf-8").decode("latin-1")) for _ in range(20)] + [("odd", "utf8-latin", shown)]
+    pooled, own = mojibake.learn_tables(spark.createDataFrame(rows, "source string, cls string, obs string"), counts)
+    got = own.collect()
+    assert [r["source"] for r in got] == ["odd"]
+    table = dict(zip(map(ord, got[0]["src"]), got[0]["dst"]))
+    assert mojibake.read_symbols(mojibake.symbols(shown, "utf8-latin"), "utf8-latin", table) == hidden
+
+
 def test_language_model_counts_everything(spark):
     df = spark.createDataFrame([("ab",), ("ab",), (None,), ("",), ("b",)], "t string")
     counts = lm.count_corpus(df, ["t"])
