@@ -57,7 +57,7 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page_docs")
     counts = lm.count_corpus(pages, ["page_content"], mojibake.TRUE)
-    rows = materialise(quality.kinds(pages, "row_id", "page_content", counts).select(F.col("rid").alias("row_id"), "kind").where("kind <> 'prose'"))
+    rows = materialise(quality.found(pages, "row_id", "page_content", counts).withColumnRenamed("rid", "row_id"))
     return rows.where("kind <> 'junk'").unionByName(_not_garbled(pages, rows.where("kind = 'junk'"), counts))
 
 

@@ -206,13 +206,31 @@ def test_kinds(spark):
 
 def test_tails_are_exact(spark):
     rng = random.Random(2)
-    rows = [(i, rng.choice(("zh", "en")), *[round(rng.random(), 1) for _ in quality.STATS]) for i in range(300)]
+    rows = [(i, rng.choice(("zh", "en")), *[rng.choice((0.0, rng.random())) for _ in quality.STATS]) for i in range(300)]
     df = spark.createDataFrame(rows, "rid bigint, lang string, " + ", ".join(f"{s} double" for s in quality.STATS))
-    got = {(r["lang"], r["stat"], r["value"]): r["tail"] for r in quality.tail_table(df).collect()}
+    got = quality.tail_table(df).collect()
     at = {s: 2 + i for i, s in enumerate(quality.STATS)}
-    for (lang, stat, value), tail in got.items():
-        own = [round(r[at[stat]], 3) * quality.TAILS[stat] for r in rows if r[1] == lang]
-        assert tail == pytest.approx(sum(v >= value - 1e-12 for v in own) / len(own))
+    for r in got:
+        sign, stat = (1 if r["stat"][0] == "+" else -1), r["stat"][1:]
+        own = [x[at[stat]] * sign for x in rows if x[1] == r["lang"]]
+        assert r["tail"] == pytest.approx(sum(v >= r["value"] for v in own) / len(own))
+    assert len(got) == len({(r[1], s, sign, x) for r in rows for (s, sign), least in quality._levels().items() for x in [r[at[s]] * sign] if x >= least})
+
+
+def test_scores_choose_among_the_profiles_a_page_meets(spark):
+    """The rarer of two profiles gives the kind: many pages of symbols make symbols usual, and the cells decide."""
+    base = dict.fromkeys(quality.STATS, 0.0) | {"common_share": 1.0, "variety": 1.0, "letter_share": 1.0, "sentence_rate": 2.0}
+    both = base | {"sentence_rate": 0.0, "symbol_ratio": 0.5, "cell_share": 1.0, "layout": 1.0, "lead": -1.0}
+    symbols, cells = base | {"symbol_ratio": 0.6}, base | {"cell_share": 1.0, "layout": 1.0, "lead": -1.0}
+    cols = "rid bigint, lang string, " + ", ".join(f"{s} double" for s in quality.STATS)
+    for usual, kind in ((symbols, "table"), (cells, "junk")):
+        rows = [(0, "zh", *both.values())] + [(i, "zh", *(usual if i < 40 else base).values()) for i in range(1, 100)]
+        assert {r["rid"]: r["kind"] for r in quality.scores(spark.createDataFrame(rows, cols)).collect()} == {0: kind}
+
+
+def test_variety_reads_the_whole_text():
+    assert quality._variety("".join(chr(0x4E00 + i) for i in range(200)) + "ab" * 500_000) < 0.12
+    assert quality._variety("".join(chr(0x4E00 + i % 997) for i in range(5000))) == 1.0
 
 
 # 2 -----------------------------------------------------------------------------------------------------------------
