@@ -2,8 +2,8 @@
 
 Bottom-up hashing. A text is a leaf, or a record card: an unordered node of `name: value` fields. Leaves are
 normalised (letter case, whitespace, punctuation), a field hashes its two leaves in order, a card sorts the hashes
-of its fields, and rows with one root hash are a group. A full comparison of the canonical structures confirms each
-member; rows that fail it are grouped again by their structure.
+of its fields, and rows with one root hash are a group. Nested structs, maps and arrays are nodes as well. A full
+comparison of the canonical structures confirms each group; groups that fail it are split by structure.
 
 Defined results: null texts are no records (no row in either output); empty or blank texts and texts of punctuation
 only are all copies of one another (their canonical form is empty); marks between digits belong to the number, and
@@ -14,15 +14,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from strataq.common import materialise, salted_join, small
 
-#: Before a field: any run of separators that is followed by a short name and a colon.
-_FIELD_START = r"[\s,，;；|｜/、。·\\]+(?=[^\s\d,，;；|｜/、。:：·\\][^\n,，;；|｜。:：]{0,15}[:：])"
-_FIELD = r"(?s)^[\s]*[^\s\d,，;；|｜/、。:：·\\][^\n,，;；|｜。:：]{0,15}[:：][^。！？!?]{0,120}$"
+_NAME = r"[^\s\d,，;；|｜/、。:：·\\][^\n,，;；|｜。:：]*[:：]"
+#: Before a field: any run of separators that is followed by a name and a colon.
+_FIELD_START = rf"[\s,，;；|｜/、。·\\]+(?={_NAME})"
+_FIELD = rf"(?s)^[\s]*{_NAME}[^。！？!?]*$"
 _MARK = r"[\p{P}\p{Z}\p{Cc}\p{Cf}|+<=>~^`$&&[^\u0001-\u0003]]+"
 #: A text that doesn't begin with a name and a colon is no card; the test is cheap.
-_CARD_HEAD = r"^\s*[^\s\d,，;；|｜/、。:：·\\][^\n,，;；|｜。:：]{0,15}[:：]"
+_CARD_HEAD = rf"^\s*{_NAME}"
 
 
 def leaf(text: Column) -> Column:
@@ -43,32 +45,68 @@ def _canonical_field(p: Column) -> Column:
     return F.concat(leaf(F.regexp_extract(p, r"(?s)^(.*?)[:：]", 1)), F.lit("\u0004"), leaf(F.regexp_replace(p, r"(?s)^.*?[:：]", "")))
 
 
-def canonical(text: Column) -> Column:
+def node(text: Column) -> Column:
+    """The children of a text's root: its canonical fields in sorted order after a brace for a card, else its leaf alone."""
+    return F.coalesce(F.concat(F.array(F.lit("{")), F.sort_array(F.transform(_fields(text), _canonical_field))), F.array(leaf(text)))
+
+
+def canonical(kids: Column) -> Column:
     """The normalised structure itself: what two copies share."""
-    return F.coalesce(F.concat(F.lit("{"), F.array_join(F.sort_array(F.transform(_fields(text), _canonical_field)), "\u0005")), leaf(text))
-
-
-def root_digest(text: Column) -> Column:
-    """Digest of the root node: of the sorted child digests for a card, of the leaf for any other text."""
-    children = F.sort_array(F.transform(_fields(text), lambda p: F.md5(_canonical_field(p))))
-    return F.coalesce(F.md5(F.concat(F.lit("{"), F.array_join(children, ""))), F.md5(leaf(text)))
-
-
-def copy_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(keep_id, copy_id) for every row that is a formatting copy of an earlier one."""
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("rid"), F.col(text_col).alias("txt"))
-    hashed = materialise(rows.select("rid", root_digest(F.col("txt")).alias("digest")))
-    groups = hashed.groupBy("digest").agg(F.min("rid").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialise(salted_join(hashed, groups, "digest", F.col("rid")).select("rid", "keep_id"))
-    texts = materialise(rows.join(small(members.distinct()), "rid").select("rid", "keep_id", canonical(F.col("txt")).alias("canon")))
-    # The structures of copies against that of the kept row, spread over salts: one group may hold a third of all rows.
-    keeps = texts.where("rid = keep_id").groupBy("keep_id").agg(F.min("canon").alias("keep_canon"))
-    checked = salted_join(texts.where("rid <> keep_id"), keeps, "keep_id", F.col("rid"))
-    good = checked.where("canon = keep_canon").select("keep_id", F.col("rid").alias("copy_id"))
-    other = checked.where("canon <> keep_canon").select("rid", F.col("keep_id").alias("g"), "canon")
-    first = other.groupBy("g", "canon").agg(F.min("rid").alias("keep_id"))
-    again = other.join(first, ["g", "canon"]).where("rid <> keep_id").select("keep_id", F.col("rid").alias("copy_id"))
-    return good.unionByName(again).distinct()
+    return F.array_join(kids, "\u0005")
+
+
+def root_digest(kids: Column) -> Column:
+    """Digest of the root node, of the digests of its children."""
+    return F.md5(F.array_join(F.transform(kids, lambda k: F.md5(k)), ""))
+
+
+def record_node(c: Column, kind: DataType) -> Column:
+    """The children of any value's root, as an array: structs and maps are unordered nodes of named values, arrays ordered ones.
+
+    Texts are nodes of their own (record cards or leaves); other values are leaves by their text; null is a leaf too.
+    """
+    if isinstance(kind, StructType):
+        fields = [F.concat(F.lit(f.name.lower()), F.lit("\u0004"), _inner(c[f.name], f.dataType)) for f in kind.fields]
+        kids = F.concat(F.array(F.lit("{")), F.sort_array(F.array(*fields)))
+    elif isinstance(kind, MapType):
+        entry = lambda e: F.concat(_inner(e["key"], kind.keyType), F.lit("\u0004"), _inner(e["value"], kind.valueType))
+        kids = F.concat(F.array(F.lit("{")), F.sort_array(F.transform(F.map_entries(c), entry)))
+    elif isinstance(kind, ArrayType):
+        kids = F.concat(F.array(F.lit("[")), F.transform(c, lambda x: _inner(x, kind.elementType)))
+    else:
+        kids = node(c.cast("string"))
+    return F.coalesce(kids, F.array(F.lit("\u0006")))
+
+
+def _inner(c: Column, kind: DataType) -> Column:
+    return F.concat(F.lit("\u000e"), canonical(record_node(c, kind)), F.lit("\u000f"))
+
+
+def copy_pairs(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """(keep_id, copy_id) for every row that is a formatting copy of an earlier one; content is a text or a nested record.
+
+    Digests and structures are made in one pass. The full comparison takes the least and the greatest structure of each
+    group, which combine before they move: equal ones prove the whole group, other groups are split by structure.
+    """
+    content = F.col(content_col)
+    kids = record_node(content, df.schema[content_col].dataType)
+    nodes = df.where(content.isNotNull()).select(F.col(id_col).alias("rid"), kids.alias("kids"))
+    hashed = materialise(nodes.select("rid", root_digest(F.col("kids")).alias("digest"), canonical(F.col("kids")).alias("canon")))
+    groups = materialise(hashed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    few = small(groups)
+    # One group may hold a third of all rows: its key is salted where the groups are too many to broadcast.
+    members = hashed.join(few, "digest") if few is not groups else salted_join(hashed, groups, "digest", F.col("rid"))
+    checked = materialise(members.groupBy("digest").agg(F.min("rid").alias("keep_id"), F.min("canon").alias("a"), F.max("canon").alias("z")).select("digest", "keep_id", F.col("a").eqNullSafe(F.col("z")).alias("same")))
+    ids = hashed.select("rid", "digest")
+    table = checked.where("same").select("digest", "keep_id")
+    hinted = small(table)
+    good = ids.join(hinted, "digest") if hinted is not table else salted_join(ids, table, "digest", F.col("rid"))
+    pairs = good.where("rid <> keep_id").select("keep_id", F.col("rid").alias("copy_id"))
+    # Groups of one digest but several structures: as good as never, so their structures may be keys.
+    mixed = hashed.join(checked.where("not same").select("digest"), "digest")
+    first = mixed.groupBy("digest", "canon").agg(F.min("rid").alias("keep_id"))
+    again = mixed.join(first, ["digest", "canon"]).where("rid <> keep_id").select("keep_id", F.col("rid").alias("copy_id"))
+    return pairs.unionByName(again).distinct()
 
 
 def collapse(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

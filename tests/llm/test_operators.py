@@ -38,6 +38,27 @@ def test_merkle_groups(spark):
     assert got == {(1, 2), (4, 5), (8, 9), (12, 13), (14, 15)}
 
 
+def test_merkle_long_fields(spark):
+    long, name = "数" * 130, "一个超过十六个字的很长很长很长的字段名称"
+    rows = [(1, f"编号：A1；说明：{long}"), (2, f"说明：{long}\n编号：a1"), (3, f"{name}：甲；编号：A1"), (4, f"编号：A1，{name}：甲"), (5, f"编号：A1；说明：{long}数")]
+    assert {tuple(r) for r in merkle.copy_pairs(spark.createDataFrame(rows, "row_id bigint, page_content string"), "row_id", "page_content").collect()} == {(1, 2), (3, 4)}
+
+
+def test_merkle_nested_records(spark):
+    kind = "id int, r struct<a: string, m: map<string, string>, l: array<struct<x: int, y: string>>>"
+    rows = [
+        (1, ("A b", {"k": "v", "q": "w"}, [(1, "s"), (2, "t")])), (2, ("a B。", {"q": "W", "k": "V"}, [(1, "S"), (2, "t!")])), (3, ("a b", {"k": "v", "q": "w"}, [(2, "t"), (1, "s")])),
+        (4, ("ab", {"k": "w", "q": "v"}, [])), (5, None), (6, (None, None, None)), (7, (None, None, None)), (8, (None, {}, [])),
+    ]
+    assert {tuple(r) for r in merkle.copy_pairs(spark.createDataFrame(rows, kind), "id", "r").collect()} == {(1, 2), (6, 7)}
+
+
+def test_merkle_one_digest_for_several_structures(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "root_digest", lambda kids: F.lit("x"))
+    rows = [(1, "甲"), (2, "乙"), (3, "甲。"), (4, "乙 "), (5, "丙")]
+    assert {tuple(r) for r in merkle.copy_pairs(spark.createDataFrame(rows, "row_id bigint, page_content string"), "row_id", "page_content").collect()} == {(1, 3), (2, 4)}
+
+
 def test_merkle_collapse_counts_and_empty(spark):
     df = spark.createDataFrame([(i, "同一内容" if i % 3 else f"第{i}条") for i in range(1, 31)], "row_id bigint, page_content string")
     got = {r["keep_id"]: r["n_copies"] for r in merkle.collapse(df, "row_id", "page_content").collect()}
