@@ -386,6 +386,27 @@ def test_leaks(spark):
     assert leakage.leaks(docs, "doc_id", "text", items.where("false"), "item_id", "text").count() == 0
 
 
+def test_short_items_and_exhaustive_search(spark, monkeypatch):
+    rng = random.Random(8)
+    words = "氨 制冷 机房 班前 检查 安全 阀门 记录 报告 主管 每日 通风 报警 泄漏 检测".split()
+    passage = lambda n: "".join(rng.choice(words) for _ in range(n))
+    items = [(1, "氨制冷机房的安全阀门检"), (2, "Close the main valve at noon."), (3, "阀"), (4, passage(30)), (5, passage(40)), (6, "——")]
+    rows = [(1, PROSE + "氨制冷机房的安全阀门检" + PROSE), (2, "Then close the main valve at noon, please."), (3, PROSE)]
+    for i in range(10, 60):  # parts of items with single characters replaced
+        t = rng.choice(items[3:5])[1]
+        part = list(t[rng.randint(0, 10) : rng.randint(len(t) // 3, len(t))])
+        for k in range(rng.randint(0, 9), len(part), rng.randint(4, 12)):
+            part[k] = "龘"
+        rows.append((i, passage(20) + "".join(part) + passage(20)))
+    docs, held = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id int, text string")
+    pairs_of = lambda **k: {(r["doc"], r["item"]) for r in leakage.leaks(docs, "doc_id", "text", held, "item_id", "text", **k).collect()}
+    exact = pairs_of(exhaustive=True)
+    assert {(1, 1), (2, 2)} <= exact and len(exact) > 10 and pairs_of(exact=True) == exact
+    assert pairs_of() <= exact and len(pairs_of()) >= 0.99 * len(exact)
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 100)
+    assert pairs_of(exact=True) == exact
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 SAMPLES = [(f"你这个{w}，连{t}都不会用", "abuse") for w in ("蠢货", "废物", "白痴") for t in ("叉车", "吊篮", "压力表")]
 SAMPLES += [(f"{g}都是蛆虫，就不该让他们进{p}", "hate") for g in ("外地人", "乡下佬", "残废") for p in ("喷漆间", "锅炉房", "污水井")]
