@@ -41,11 +41,11 @@ RADICALS = dict(zip("⻅⻆⻉⻋⻌⻓⻔⻘⻙⻚⻛⻜⻝⻢⻥⻦⻧⻨⻩
 USUAL_SIGNS = set("℃℉№℡™Ωμ³²¹±℅㎡㎏㎜㎝㎞㏄％＋＝＜＞～｜＃＆＠＊＄")
 HYPHENS = "‐‑‒−﹣－"
 _INVISIBLE = [0xAD, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0]
-_RANGES = [(0xA0, 0xA0), (0xAD, 0xAD), (0xB5, 0xB5), (0x2B0, 0x2FF), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x52F), (0x61C, 0x61C), (0x115F, 0x1160), (0x1680, 0x1680), (0x17B4, 0x17B5), (0x180E, 0x180E), (0x2000, 0x2012), (0x202A, 0x202F), (0x205F, 0x206F), (0x20D0, 0x20FF), (0x2100, 0x214F), (0x2212, 0x2212), (0x24B6, 0x24E9), (0x2E80, 0x2FDF), (0x3000, 0x3000), (0x3164, 0x3164), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0x132, 0x133), (0x13F, 0x140), (0x149, 0x149), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x531, 0x586), (0x13A0, 0x13F5), (0xFB13, 0xFB4F), (0xFB50, 0xFDFF), (0xFE50, 0xFE62), (0xFE70, 0xFEFC), (0xFF66, 0xFFDC), (0x1F130, 0x1F149), (0xFE00, 0xFE0F), (0xFE63, 0xFE63), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0xFFA0, 0xFFA0), (0x1D400, 0x1D7FF), (0x2F800, 0x2FA1F)]
+_RANGES = [(0xA0, 0xA0), (0xAD, 0xAD), (0xB5, 0xB5), (0x2B0, 0x2FF), (0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x52F), (0x61C, 0x61C), (0x115F, 0x1160), (0x1F00, 0x1FFF), (0x1680, 0x1680), (0x17B4, 0x17B5), (0x180E, 0x180E), (0x2000, 0x2012), (0x202A, 0x202F), (0x205F, 0x206F), (0x20D0, 0x20FF), (0x2100, 0x214F), (0x2212, 0x2212), (0x24B6, 0x24E9), (0x2E80, 0x2FDF), (0x3000, 0x3000), (0x3164, 0x3164), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0x132, 0x133), (0x13F, 0x140), (0x149, 0x149), (0x1C4, 0x1CC), (0x1F1, 0x1F3), (0x531, 0x586), (0x13A0, 0x13F5), (0xFB13, 0xFB4F), (0xFB50, 0xFDFF), (0xFE50, 0xFE62), (0xFE70, 0xFEFC), (0xFF66, 0xFFDC), (0x1F130, 0x1F149), (0xFE00, 0xFE0F), (0xFE63, 0xFE63), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E), (0xFFA0, 0xFFA0), (0x1D400, 0x1D7FF), (0x2F800, 0x2FA1F)]
 _FULL_PUNCTUATION = set("！（），：；？［］｛｝＂＇｀＾＿＼")
 
 
-_FOREIGN = {"greek": (0x370, 0x3FF), "cyrillic": (0x400, 0x52F), "armenian": (0x531, 0x586), "cherokee": (0x13A0, 0x13F5)}
+_FOREIGN = {"greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)), "cyrillic": ((0x400, 0x52F),), "armenian": ((0x531, 0x586),), "cherokee": ((0x13A0, 0x13F5),)}
 #: Vowels and finals of conjoining jamo follow their consonant like marks; their classes only keep them in order.
 _VOWELS, _FINALS = range(0x1161, 0x1176), range(0x11A8, 0x11C3)
 
@@ -66,7 +66,7 @@ def mappings() -> list[tuple[int, str, str]]:
         if c in USUAL_SIGNS or c in _FULL_PUNCTUATION:
             continue
         flat = unicodedata.normalize("NFKC", c)
-        foreign = next((k for k, (lo, hi) in _FOREIGN.items() if lo <= cp <= hi), "")
+        foreign = next((k for k, spans in _FOREIGN.items() if any(lo <= cp <= hi for lo, hi in spans)), "")
         letters = "".join(alike.get(x, x) for x in unicodedata.normalize("NFD", c))
         if cp in _INVISIBLE:
             rows.append((cp, "drop", ""))
