@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have before a join stops broadcasting it (16-byte rows: under 8 MB).
-BROADCAST_ROWS = 250_000
+#: Bytes a side may have before a join stops broadcasting it.
+BROADCAST_BYTES = 16 << 20
 #: Copies of the smaller side of a join on a key that one value may dominate.
 SALTS = 16
 
@@ -23,7 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
+        if not named and sc.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "strataq-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
@@ -35,9 +35,39 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if df, already materialised, has at most max_rows rows; else df as it is (a shuffled join)."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).offset(max_rows).take(1)) == 0 else df
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Deletes what this session has checkpointed; for the end of a job, when its results are written.
+
+    On a cluster spark.cleaner.referenceTracking.cleanCheckpoints does it as soon as nothing refers to a checkpoint.
+    """
+    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(at.get())
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for child in fs.listStatus(path):
+            fs.delete(child.getPath(), True)
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory, by its own values."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        elif kind == "array" and f.dataType.elementType.typeName() in ("double", "float", "long", "integer", "short", "byte", "boolean"):
+            total = total + F.coalesce(F.size(c), F.lit(0)) * 8 + 24
+        elif kind in ("array", "map", "struct"):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) * 2
+        else:
+            total = total + 8
+    return total
+
+
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if df, already materialised, takes at most max_bytes; else df as it is (a shuffled join)."""
+    size = df.agg(F.sum(_row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def salted_join(large: DataFrame, unique: DataFrame, key: str, spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:

@@ -9,14 +9,35 @@ from pyspark.sql import functions as F
 from strataq import settings as S
 
 
-def rate_limit(requests: DataFrame, key: str, ts: str, rid: str, limit: int = S.DEFAULT.limits.per_window, window_s: int = S.DEFAULT.limits.window_s) -> DataFrame:
+def _times(requests: DataFrame, key: Column, ts: str, rid: str) -> DataFrame:
+    src = requests.select(F.col(rid).alias("rid"), key.alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    return src.where("key is not null and us is not null")
+
+
+def _episodes(src: DataFrame, gap_us: int, slice_s: int) -> DataFrame:
+    """src with `episode`: a number within the key that grows where more than gap_us passed since the request before.
+
+    Neighbours are found within slices of time; what lies before a slice comes from a summary of one row a key and
+    slice. A busy key is so cut wherever its state is empty anyway.
+    """
+    sliced = src.withColumn("slice", F.floor(F.col("us") / (slice_s * 1_000_000)))
+    w = W.partitionBy("key", "slice").orderBy("us", "rid")
+    local = sliced.withColumn("prev", F.lag("us").over(w)).withColumn("cut", F.when(F.col("us") - F.col("prev") > gap_us, 1).otherwise(0)).withColumn("cuts", F.sum("cut").over(w))
+    each = local.groupBy("key", "slice").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.max("cuts").alias("inner"))
+    order = W.partitionBy("key").orderBy("slice")
+    joined = each.withColumn("new", F.when(F.col("first") - F.lag("last").over(order) > gap_us, 1).otherwise(0))
+    before = joined.select("key", "slice", (F.sum(F.col("new") + F.col("inner")).over(order) - F.col("inner")).alias("base"))
+    return local.join(before, ["key", "slice"]).select("rid", "key", "us", (F.col("base") + F.col("cuts")).alias("episode"))
+
+
+def rate_limit(requests: DataFrame, key: str, ts: str, rid: str, limit: int = S.DEFAULT.limits.per_window, window_s: int = S.DEFAULT.limits.window_s, slice_s: int = 3600) -> DataFrame:
     """(rid, key, admitted): at most `limit` admitted requests within the last window_s seconds, exactly window_s included.
 
-    Rejected requests aren't counted, so admission depends on earlier admissions: a sequential pass over the sorted
-    requests of a key. The pass streams (state: at most `limit` times), so a key with a third of all rows is sorted
-    and read through, never collected. Null keys and times take no part.
+    Rejected requests aren't counted, so admission depends on earlier admissions: a sequential pass over sorted requests.
+    A key is cut into episodes wherever a whole window passed without a request, as nothing is remembered there; each
+    episode streams through one task (state: at most `limit` times), never collected. Null keys and times take no part.
     """
-    src = requests.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(rid).alias("rid"), F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    src = _episodes(_times(requests, F.col(key), ts, rid), window_s * 1_000_000, slice_s)
 
     def run(batches):
         import pandas as pd
@@ -24,7 +45,7 @@ def rate_limit(requests: DataFrame, key: str, ts: str, rid: str, limit: int = S.
         now, kept = None, []
         for b in batches:
             out = []
-            for k, t in zip(b["key"], b["us"]):
+            for k, t in zip(zip(b["key"], b["episode"]), b["us"]):
                 if k != now:
                     now, kept = k, []
                 kept = [x for x in kept if t - x <= window_s * 1_000_000]
@@ -35,25 +56,20 @@ def rate_limit(requests: DataFrame, key: str, ts: str, rid: str, limit: int = S.
             yield pd.DataFrame({"rid": b["rid"], "key": b["key"], "admitted": out})
 
     id_type = requests.schema[rid].dataType.simpleString()
-    return src.repartition("key").sortWithinPartitions("key", "us", "rid").mapInPandas(run, f"rid {id_type}, key string, admitted boolean")
-
-
-def _times(requests: DataFrame, key: str, ts: str, rid: str) -> DataFrame:
-    src = requests.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    return src.select(F.col(rid).alias("rid"), F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    return src.repartition("key", "episode").sortWithinPartitions("key", "episode", "us", "rid").mapInPandas(run, f"rid {id_type}, key {requests.schema[key].dataType.simpleString()}, admitted boolean")
 
 
 def in_window(requests: DataFrame, key: str, ts: str, rid: str, window_s: int, slice_s: int = 3600) -> DataFrame:
     """(rid, key, in_window): requests of the key in the window_s seconds up to and including each request's time.
 
-    Time is cut into slices with a halo of one window, so that one busy key is many groups.
+    Time is cut into slices, and a request is also seen in every later slice that its window reaches, so that one busy
+    key is many groups.
     """
     width, halo = slice_s * 1_000_000, window_s * 1_000_000
-    src = _times(requests, key, ts, rid).withColumn("slice", F.floor(F.col("us") / width))
-    late = src.where(F.col("us") % width >= width - halo).withColumn("slice", F.col("slice") + 1).withColumn("own", F.lit(False))
-    both = src.withColumn("own", F.lit(True)).unionByName(late)
+    src = _times(requests, F.col(key), ts, rid).withColumn("home", F.floor(F.col("us") / width))
+    both = src.withColumn("slice", F.explode(F.sequence("home", F.floor((F.col("us") + halo) / width))))
     w = W.partitionBy("key", "slice").orderBy("us").rangeBetween(-halo, 0)
-    return both.withColumn("in_window", F.count(F.lit(1)).over(w)).where("own").select("rid", "key", "in_window")
+    return both.withColumn("in_window", F.count(F.lit(1)).over(w)).where("slice = home").select("rid", "key", "in_window")
 
 
 def min_interval(requests: DataFrame, key: str, ts: str, rid: str, gap_s: float = S.DEFAULT.limits.min_interval_s, slice_s: int = 3600) -> DataFrame:
@@ -63,7 +79,7 @@ def min_interval(requests: DataFrame, key: str, ts: str, rid: str, gap_s: float
     time; numbers and maxima of earlier slices come from a summary of one row a key and slice.
     """
     gap = int(gap_s * 1_000_000)
-    src = _times(requests, key, ts, rid).withColumn("slice", F.floor(F.col("us") / (slice_s * 1_000_000)))
+    src = _times(requests, F.col(key), ts, rid).withColumn("slice", F.floor(F.col("us") / (slice_s * 1_000_000)))
     w = W.partitionBy("key", "slice").orderBy("us", "rid")
     local = src.withColumn("i", F.row_number().over(w))
     local = local.withColumn("best", F.max(F.col("us") - F.col("i") * gap).over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -76,9 +92,12 @@ def min_interval(requests: DataFrame, key: str, ts: str, rid: str, gap_s: float
     return j.select("rid", "key", (F.greatest(F.col("best") - F.col("base") * gap, F.coalesce("prior", F.col("best") - F.col("base") * gap)) + number * gap).alias("start_us"))
 
 
-def cache_hits(requests: DataFrame, key: Column, ts: str, rid: str, ttl_s: int) -> DataFrame:
-    """(rid, hit): whether the key was written at most ttl_s seconds before; a miss writes, a hit doesn't refresh."""
-    src = requests.select(F.col(rid).alias("rid"), key.alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us")).where("key is not null and us is not null")
+def cache_hits(requests: DataFrame, key: Column, ts: str, rid: str, ttl_s: int, slice_s: int = 3600) -> DataFrame:
+    """(rid, hit): whether the key was written at most ttl_s seconds before; a miss writes, a hit doesn't refresh.
+
+    After more than ttl_s without a request nothing is cached, so a key is cut into episodes there.
+    """
+    src = _episodes(_times(requests, key, ts, rid), ttl_s * 1_000_000, max(slice_s, ttl_s))
 
     def run(batches):
         import pandas as pd
@@ -86,7 +105,7 @@ def cache_hits(requests: DataFrame, key: Column, ts: str, rid: str, ttl_s: int)
         now, written = None, None
         for b in batches:
             out = []
-            for k, t in zip(b["key"], b["us"]):
+            for k, t in zip(zip(b["key"], b["episode"]), b["us"]):
                 if k != now:
                     now, written = k, None
                 hit = written is not None and t - written <= ttl_s * 1_000_000
@@ -96,4 +115,4 @@ def cache_hits(requests: DataFrame, key: Column, ts: str, rid: str, ttl_s: int)
             yield pd.DataFrame({"rid": b["rid"], "hit": out})
 
     id_type = requests.schema[rid].dataType.simpleString()
-    return src.repartition("key").sortWithinPartitions("key", "us", "rid").mapInPandas(run, f"rid {id_type}, hit boolean")
+    return src.repartition("key", "episode").sortWithinPartitions("key", "episode", "us", "rid").mapInPandas(run, f"rid {id_type}, hit boolean")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq import settings as S
-from strataq.common import materialise, small, table
+from strataq.common import materialise, table
 from strataq.functions import text as T
 from strataq.operators import retrieval as R
 from strataq.plans.registry import TOKENS, Registry
@@ -55,7 +55,7 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_BASE} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     i = R.Index(chunks(spark, d), "row_id", "page_content")
-    return R.term_weights(i.postings, i.stats).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_weights(i.frequency, i.stats).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BASE} SELECT query, doc, score, rank::INTEGER AS rank FROM br WHERE rank <= 20 AND score > 0")
@@ -71,7 +71,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings")
     asked = materialise(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("qv")))
-    return small(asked, 10_000), e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), "label")
+    return asked, e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"), "label")
 
 
 @query(_VEC.format(where=""))
@@ -87,7 +87,8 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
 def channels(spark: SparkSession, d: str, k: int = S.DEFAULT.retrieval.top_k) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vector list, BM25 list (both materialised: k rows a query) and their fusion."""
     q, i = questions(spark, d), R.Index(chunks(spark, d), "row_id", "page_content")
-    v, b = materialise(R.cosine_text(q, i, k)), materialise(R.bm25(q, i, k))
+    both = materialise(R.lexical_topk(q, i, k))
+    v, b = (both.where(F.col("channel") == c).drop("channel") for c in ("vector", "bm25"))
     return v, b, R.rrf([v, b])
 
 
