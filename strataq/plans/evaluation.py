@@ -6,28 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq import settings as S
-from strataq.common import numbered, table
+from strataq.common import materialise, numbered, small, table
 from strataq.functions import text as T
+from strataq.operators import evaluation as E
+from strataq.operators.evaluation import is_gold
 from strataq.plans.registry import MATCH, NOSPACE, Registry
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
 
 
-def is_gold(item: dict, chunk: dict):
-    """Whether a chunk is an item's gold: same id; or same file and (any match term, no section, or its section in title or text)."""
-    n = T.normalise_for_match
-    body, title, section = n(chunk["page_content"]), n(chunk["section_title"]), n(item["section"])
-    terms = F.exists(F.coalesce(item["match_terms"], F.array().cast("array<string>")), lambda t: (F.coalesce(t, F.lit("")) != "") & (body.contains(n(t)) | title.contains(n(t))))
-    has_terms = F.coalesce(F.size(item["match_terms"]), F.lit(0)) > 0
-    bare = lambda c: F.translate(c, "条章节", "")
-    two_way = (title != "") & (title.contains(section) | section.contains(title) | (bare(title) != "") & (bare(title).contains(bare(section)) | bare(section).contains(bare(title))))
-    by_section = F.when(section == "", True).otherwise(two_way | body.contains(section))
-    same_id = F.coalesce(F.lower(item["source_chunk_id"]) == F.lower(chunk["chunk_id"]), F.lit(False))
-    same_file = F.coalesce(item["source_file"] == chunk["file_name"], F.lit(False))
-    return same_id | (same_file & F.when(has_terms, terms).otherwise(by_section))
-
-
 @query(f"""SELECT row_id, {MATCH("page_content")} AS normal FROM chunk_rows""")
 def normalize_for_match(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunk_rows").select("row_id", T.normalise_for_match(F.col("page_content")).alias("normal"))
@@ -91,33 +79,28 @@ def gen_join(spark: SparkSession, d: str) -> DataFrame:
     return a.join(first_items(spark, d).select("question", "id", "category"), "question").select("row_id", "id", "category", "mode")
 
 
-_HITS = "h AS (SELECT question, mode, max(CASE WHEN answer IS NOT NULL AND len(sources) > 0 THEN 1 ELSE 0 END) AS hit FROM rag_answers WHERE question IS NOT NULL GROUP BY question, mode)"
-_BOTH = f"{_HITS}, j AS (SELECT b.question, b.hit AS base_hit, n.hit AS new_hit FROM h b JOIN h n ON b.question = n.question WHERE b.mode = 'bm25' AND n.mode = 'hybrid_rerank')"
-
-
-def _both(spark: SparkSession, d: str) -> DataFrame:
-    """Questions answered in both modes: did either find sources and answer? One row a question and mode before the join."""
-    a = table(spark, d, "rag_answers").where("question is not null")
-    h = a.groupBy("question", "mode").agg(F.max(F.when(F.col("answer").isNotNull() & (F.size("sources") > 0), 1).otherwise(0)).alias("hit"))
-    b, n = h.where("mode = 'bm25'").select("question", F.col("hit").alias("base_hit")), h.where("mode = 'hybrid_rerank'").select("question", F.col("hit").alias("new_hit"))
-    return b.join(n, "question")
-
+_POINTS = f"""pts AS (SELECT row_id, source_file, {MATCH("k")} AS p FROM (SELECT row_id, source_file, unnest(key_points) AS k FROM eval_items WHERE source_file IN (SELECT file_name FROM chunk_rows)) WHERE length({NOSPACE("coalesce(k, '')")}) > 0),
+body AS (SELECT file_name, {MATCH("page_content")} AS t FROM chunk_rows),
+hit AS (SELECT DISTINCT source_file, p FROM (SELECT DISTINCT source_file, p FROM pts) q JOIN body ON body.file_name = q.source_file WHERE contains(body.t, q.p))"""
 
-@query(f"WITH {_BOTH} SELECT question, base_hit, new_hit FROM j")
-def compare_reports(spark: SparkSession, d: str) -> DataFrame:
-    return _both(spark, d)
 
+@query(f"""WITH {_POINTS} SELECT pts.row_id, count(*) AS points, sum(CASE WHEN hit.p IS NULL THEN 1 ELSE 0 END)::BIGINT AS missing FROM pts LEFT JOIN hit ON hit.source_file = pts.source_file AND hit.p = pts.p GROUP BY pts.row_id""")
+def audit_points(spark: SparkSession, d: str) -> DataFrame:
+    """Per item whose file has chunks: its key points, and those that stand in no chunk of the file."""
+    e, c = table(spark, d, "eval_items"), table(spark, d, "chunk_rows").where("file_name is not null")
+    points = e.select("row_id", "source_file", F.explode("key_points").alias("k")).where(F.length(T.without_space(F.col("k"))) > 0)
+    points = points.join(c.select(F.col("file_name").alias("source_file")).distinct(), "source_file", "left_semi").select("row_id", "source_file", T.normalise_for_match(F.col("k")).alias("p"))
+    points = materialise(points)
+    body = c.select(F.col("file_name").alias("source_file"), T.normalise_for_match(F.col("page_content")).alias("t"))
+    # Each chunk against the distinct points of its file; the texts stay where they are while the points are few.
+    hit = body.join(small(materialise(points.select("source_file", "p").distinct())), "source_file").where(F.col("t").contains(F.col("p"))).select("source_file", "p").distinct().withColumn("hit", F.lit(1))
+    return points.join(hit, ["source_file", "p"], "left").groupBy("row_id").agg(F.count(F.lit(1)).alias("points"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missing"))
 
-@query(f"WITH {_BOTH} SELECT question, CASE WHEN new_hit > base_hit THEN 'miss->hit' ELSE 'hit->miss' END AS flip FROM j WHERE base_hit <> new_hit")
-def flip_details(spark: SparkSession, d: str) -> DataFrame:
-    return _both(spark, d).where("base_hit <> new_hit").select("question", F.when(F.col("new_hit") > F.col("base_hit"), "miss->hit").otherwise("hit->miss").alias("flip"))
 
-
-@query(f"""WITH {_BOTH}, m AS (SELECT avg(base_hit) AS b, avg(new_hit) AS n FROM j) SELECT round(b, 6) AS base, round(n, 6) AS new, CASE WHEN n - b > 1e-9 THEN 'up' WHEN n - b < -1e-9 THEN 'down' ELSE '=' END AS arrow FROM m""")
-def metric_delta(spark: SparkSession, d: str) -> DataFrame:
-    m = _both(spark, d).agg(F.avg("base_hit").alias("b"), F.avg("new_hit").alias("n"))
-    diff = F.col("n") - F.col("b")
-    return m.select(F.round("b", 6).alias("base"), F.round("n", 6).alias("new"), F.when(diff > 1e-9, "up").when(diff < -1e-9, "down").otherwise("=").alias("arrow"))
+@query("SELECT coalesce(sum(missing), 0)::BIGINT AS bad_points, coalesce(sum(points), 0)::BIGINT AS points, sum(CASE WHEN missing > 0 THEN 1 ELSE 0 END)::BIGINT AS items, printf('%.1f%%', 100.0 * coalesce(sum(missing), 0) / greatest(1, coalesce(sum(points), 0))) AS share FROM (" + SQL["audit_points"] + ")")
+def audit_point_totals(spark: SparkSession, d: str) -> DataFrame:
+    a = audit_points(spark, d).agg(F.coalesce(F.sum("missing"), F.lit(0)).alias("bad_points"), F.coalesce(F.sum("points"), F.lit(0)).alias("points"), F.sum(F.when(F.col("missing") > 0, 1).otherwise(0)).alias("items"))
+    return a.withColumn("share", E.percent(F.col("bad_points") / F.greatest(F.lit(1), F.col("points"))))
 
 
 @query("""WITH s AS (SELECT row_id, unnest(sources) AS x, generate_subscripts(sources, 1) AS i FROM rag_answers), c AS (SELECT row_id, unnest(contexts) AS t, generate_subscripts(contexts, 1) AS i FROM rag_answers)
@@ -133,33 +116,35 @@ def context_concat(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rag_answers").select("row_id", F.substring(F.array_join("contexts", "\n---\n"), 1, 6000).alias("context"))
 
 
-_RATES = "count(*) AS n, round(avg(CASE WHEN len(sources) > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS found, round(avg(CASE WHEN answer IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS answered, round(avg(latency_seconds), 4) AS latency"
-
+_COVER = f"""(CASE WHEN len(ks) > 0 THEN len(list_filter(ks, lambda k: contains(a, k)))::DOUBLE / len(ks) ELSE 0.0 END)"""
+_GENERATED = f"""{_FIRST}, j AS (SELECT r.row_id, f.id, f.category, r.mode, r.latency_seconds AS latency, coalesce(r.answer, '') AS answer, substr(array_to_string(coalesce(r.contexts, []), chr(10) || '---' || chr(10)), 1, 6000) AS ctx,
+{MATCH("r.answer")} AS a, list_transform(list_filter(coalesce(f.key_points, []), lambda k: length({NOSPACE("k")}) > 0), lambda k: {MATCH("k")}) AS ks FROM rag_answers r JOIN first f ON r.question = f.question),
+g AS (SELECT row_id, id, category, mode, round({_COVER}, 6) AS coverage, (CASE WHEN length({NOSPACE("answer")}) = 0 THEN 0 ELSE 1 + floor({_COVER} * 4) END)::INTEGER AS score, length({NOSPACE("answer")}) > 0 AND {_COVER} >= 0.5 AS correct,
+length({NOSPACE("answer")}) > 0 AND len(list_filter(regexp_extract_all(answer, '[0-9]+(?:[.][0-9]+)?'), lambda n: NOT contains(ctx, n))) = 0 AS faithful, latency FROM j)"""
+_GEN_RATES = "count(*) AS n, round(avg(correct::INTEGER::DOUBLE), 4) AS accuracy, round(avg(faithful::INTEGER::DOUBLE), 4) AS faithfulness, coalesce(round(avg(CASE WHEN score > 0 THEN score::DOUBLE END), 3), 0.0) AS score, round(avg(coverage), 4) AS coverage, coalesce(round(avg(CASE WHEN latency > 0 THEN latency END), 2), 0.0) AS latency"
 
-def _rates(df: DataFrame, *keys: str) -> DataFrame:
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), share(F.size("sources") > 0).alias("found"), share(F.col("answer").isNotNull()).alias("answered"), F.round(F.avg("latency_seconds"), 4).alias("latency"))
 
+@query(f"WITH {_GENERATED} SELECT * FROM g")
+def generation_details(spark: SparkSession, d: str) -> DataFrame:
+    return E.generation_details(table(spark, d, "rag_answers"), first_items(spark, d))
 
-@query(f"SELECT mode, {_RATES} FROM rag_answers GROUP BY mode")
-def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rates(table(spark, d, "rag_answers"), "mode")
 
-
-@query("""SELECT count(*) AS n, round(avg(nullif(length(answer), 0)), 4) AS mean_length, round(avg(CASE WHEN latency_seconds > 0 THEN latency_seconds END), 4) AS mean_latency, round(sum(CASE WHEN answer IS NULL THEN 1 ELSE 0 END)::DOUBLE / greatest(1, count(*)), 4) AS unanswered FROM rag_answers""")
+@query(f"WITH {_GENERATED} SELECT {_GEN_RATES} FROM g")
 def generation_summary(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "rag_answers")
-    return a.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.nullif(F.length("answer"), F.lit(0))), 4).alias("mean_length"), F.round(F.avg(F.when(F.col("latency_seconds") > 0, F.col("latency_seconds"))), 4).alias("mean_latency"), F.round(F.sum(F.when(F.col("answer").isNull(), 1).otherwise(0)) / F.greatest(F.lit(1), F.count(F.lit(1))), 4).alias("unanswered"))
+    return E.generation_summary(generation_details(spark, d))
 
 
-@query(f"WITH {_FIRST} SELECT f.category, {_RATES.replace('answer IS', 'a.answer IS')} FROM rag_answers a JOIN first f ON a.question = f.question GROUP BY f.category")
+@query(f"WITH {_GENERATED} SELECT category, {_GEN_RATES} FROM g GROUP BY category")
 def category_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rates(table(spark, d, "rag_answers").join(first_items(spark, d).select("question", "category"), "question"), "category")
+    return E.generation_summary(generation_details(spark, d), "category")
 
 
-@query(f"WITH {_FIRST} SELECT a.mode, f.category, {_RATES.replace('answer IS', 'a.answer IS')} FROM rag_answers a JOIN first f ON a.question = f.question GROUP BY a.mode, f.category")
-def strategy_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rates(table(spark, d, "rag_answers").join(first_items(spark, d).select("question", "category"), "question"), "mode", "category")
+@query("SELECT row_id, (CASE WHEN coalesce(question, '') <> '' AND coalesce(answer, '') <> '' THEN 1 ELSE 0 END)::INTEGER AS kept FROM eval_items")
+def parse_model_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items in a model's chatty output: those without question or answer are dropped."""
+    e = table(spark, d, "eval_items")
+    said = F.concat(F.lit("好的，题目如下：\n["), F.to_json(F.struct("question", "answer", "key_points")), F.lit("]\n以上。"))
+    return e.select("row_id", F.size(E.parse_items(said)).alias("kept"))
 
 
 @query("SELECT category, is_seed, count(*) AS n FROM eval_items GROUP BY category, is_seed")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from strataq import settings as S
 from strataq.common import materialise, table
 from strataq.functions import text as T
+from strataq.operators import evaluation as E
 from strataq.operators import retrieval as R
-from strataq.plans.registry import TOKENS, Registry
+from strataq.plans.registry import MATCH, NOSPACE, TOKENS, Registry
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -126,36 +127,105 @@ def pool_strategies(spark: SparkSession, d: str) -> DataFrame:
     return tag(fused.where(F.col("rank") <= S.DEFAULT.retrieval.pool), "rrf30").union(tag(fused, "rrf_all")).union(tag(both(v, b), "union")).union(tag(both(v.where(ten), b.where(ten)), "union2"))
 
 
-_GOLD = "gold AS (SELECT e.row_id AS query, c.row_id AS doc FROM eval_items e JOIN chunk_rows c ON lower(c.chunk_id) = lower(e.source_chunk_id) WHERE e.row_id % 100 = 0)"
+def GOLD(rows: str) -> str:  # noqa: N802
+    """SQL: rows (query, doc, rank, and what else they have) with gold and the passage."""
+    two_way = "(tit <> '' AND (contains(tit, sec) OR contains(sec, tit) OR (translate(tit, '条章节', '') <> '' AND (contains(translate(tit, '条章节', ''), translate(sec, '条章节', '')) OR contains(translate(sec, '条章节', ''), translate(tit, '条章节', ''))))))"
+    return f"""(SELECT *, same_id OR (same_file AND CASE WHEN coalesce(len(terms), 0) > 0 THEN len(list_filter(terms, lambda t: coalesce(t, '') <> '' AND (contains(body, {MATCH("t")}) OR contains(tit, {MATCH("t")})))) > 0 WHEN sec = '' THEN true ELSE {two_way} OR contains(body, sec) END) AS gold
+FROM (SELECT x.*, coalesce(lower(e.source_chunk_id) = lower(c.chunk_id), false) AS same_id, coalesce(e.source_file = c.file_name, false) AS same_file, e.match_terms AS terms, {MATCH("e.section")} AS sec, {MATCH("c.page_content")} AS body, {MATCH("c.section_title")} AS tit, c.page_content AS passage
+FROM ({rows}) x JOIN eval_items e ON e.row_id = x.query JOIN chunk_rows c ON c.row_id = x.doc))"""
 
 
-def gold(spark: SparkSession, d: str) -> DataFrame:
-    """(query, doc): the chunk rows that carry an asked item's gold id, in any writing."""
-    e = table(spark, d, "eval_items").where("row_id % 100 = 0 and source_chunk_id is not null").select(F.col("row_id").alias("query"), F.lower("source_chunk_id").alias("k"))
-    c = table(spark, d, "chunk_rows").where("chunk_id is not null").select(F.col("row_id").alias("doc"), F.lower("chunk_id").alias("k"))
-    return c.join(e, "k").select("query", "doc")
+def DETAILS(ranked: str, modes: tuple[str, ...]) -> str:  # noqa: N802
+    """SQL of retrieval_details over ranked (query, mode, doc, rank)."""
+    names = ", ".join(f"'{m}'" for m in modes)
+    points = f"list_transform(list_filter(coalesce(q.key_points, []), lambda k: length({NOSPACE('k')}) > 0), lambda k: {MATCH('k')})"
+    return f"""SELECT q.row_id AS query, x.mode, g.first IS NOT NULL AS hit, round(coalesce(1.0::DOUBLE / g.first, 0.0), 6) AS rr, round(CASE WHEN len({points}) > 0 THEN len(list_filter({points}, lambda k: contains({MATCH('g.context')}, k)))::DOUBLE / len({points}) ELSE 0.0 END, 6) AS context_recall, coalesce(g.n, 0)::INTEGER AS n_retrieved
+FROM (SELECT * FROM eval_items WHERE row_id % 100 = 0) q CROSS JOIN (SELECT unnest([{names}]) AS mode) x LEFT JOIN
+(SELECT query, mode, min(CASE WHEN gold THEN rank END) AS first, count(*) AS n, string_agg(passage, chr(10) ORDER BY rank) AS context FROM {GOLD(ranked)} GROUP BY query, mode) g ON g.query = q.row_id AND g.mode = x.mode"""
 
 
-@query(f"""WITH {_BASE}{_FUSED}{_RERANK}, m AS ({_MODES}), {_GOLD}, g AS (SELECT m.query, m.mode, min(m.rank) AS first FROM m JOIN gold USING (query, doc) WHERE m.rank <= 5 GROUP BY m.query, m.mode)
-SELECT q.query, x.mode, coalesce(g.first, 0) > 0 AS hit, round(coalesce(1.0::DOUBLE / g.first, 0.0), 6) AS rr FROM q CROSS JOIN (SELECT unnest(['vector', 'bm25', 'hybrid', 'hybrid_rerank']) AS mode) x LEFT JOIN g ON g.query = q.query AND g.mode = x.mode""")
+_DETAIL = f"WITH {_BASE}{_FUSED}{_RERANK}, m AS ({_MODES}), d AS (" + DETAILS("SELECT query, mode, doc, rank FROM m WHERE rank <= 5", S.MODES) + ")"
+
+
+def asked_items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").where("row_id % 100 = 0")
+
+
+@query(f"{_DETAIL} SELECT * FROM d")
+def retrieval_details(spark: SparkSession, d: str) -> DataFrame:
+    return E.retrieval_details(retrieve_modes(spark, d).select("query", "mode", "doc", "rank"), asked_items(spark, d), table(spark, d, "chunk_rows"), "row_id", S.MODES)
+
+
+@query(f"{_DETAIL} SELECT query, mode, hit, rr FROM d")
 def hit_mrr(spark: SparkSession, d: str) -> DataFrame:
-    modes = F.explode(F.array(*[F.lit(m) for m in S.MODES])).alias("mode")
-    first = retrieve_modes(spark, d).where(F.col("rank") <= S.DEFAULT.retrieval.final).join(gold(spark, d), ["query", "doc"]).groupBy("query", "mode").agg(F.min("rank").alias("first"))
-    each = questions(spark, d).select("query", modes).join(first, ["query", "mode"], "left")
-    return each.select("query", "mode", F.col("first").isNotNull().alias("hit"), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("rr"))
+    return retrieval_details(spark, d).select("query", "mode", "hit", "rr")
+
+
+_SUMMARY = "count(*) AS n, round(avg(hit::INTEGER::DOUBLE), 4) AS hit_rate, round(avg(rr), 4) AS mrr, round(avg(context_recall), 4) AS context_recall"
+
+
+@query(f"{_DETAIL} SELECT mode, {_SUMMARY} FROM d GROUP BY mode")
+def retrieval_summary(spark: SparkSession, d: str) -> DataFrame:
+    return E.retrieval_summary(retrieval_details(spark, d), "mode")
+
+
+_STRATEGIES = ("rrf30", "rrf_all", "union", "union2")
+_POOLED = f"""pool AS (SELECT 'rrf30' AS mode, query, doc, rank AS old FROM fr WHERE rank <= 30 UNION ALL SELECT 'rrf_all', query, doc, rank FROM fr
+UNION ALL SELECT 'union', query, doc, min(no * 1000 + rank) FROM (SELECT 0 AS no, * FROM v20 UNION ALL SELECT 1, * FROM b20) GROUP BY query, doc
+UNION ALL SELECT 'union2', query, doc, min(no * 1000 + rank) FROM (SELECT 0 AS no, * FROM v20 WHERE rank <= 10 UNION ALL SELECT 1, * FROM b20 WHERE rank <= 10) GROUP BY query, doc),
+again AS (SELECT pool.mode, pool.query, pool.doc, pool.old, round(len(list_filter(qd.qt, lambda t: list_contains({TOKENS("c.page_content")}, t)))::DOUBLE / greatest(len(qd.qt), 1), 6) AS score FROM pool JOIN qd USING (query) JOIN chunk_rows c ON c.row_id = pool.doc),
+pr AS (SELECT mode, query, doc, row_number() OVER (PARTITION BY mode, query ORDER BY score DESC, old) AS rank FROM again)"""
+
+
+@query(f"WITH {_BASE}{_FUSED}{_RERANK}, {_POOLED}, d AS (" + DETAILS("SELECT query, mode, doc, rank FROM pr WHERE rank <= 5", _STRATEGIES) + f") SELECT mode AS strategy, {_SUMMARY} FROM d GROUP BY mode")
+def strategy_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Hit, MRR and context recall of the four ways to make a pool, each re-ranked."""
+    v, b, fused = channels(spark, d)
+    lists = v.select("query", "doc", "rank", F.lit(0).alias("no")).unionByName(b.select("query", "doc", "rank", F.lit(1).alias("no")))
+    joined = lambda df: df.groupBy("query", "doc").agg(F.min(F.col("no") * 1000 + F.col("rank")).alias("rank"))
+    pools = {"rrf30": fused.where(F.col("rank") <= S.DEFAULT.retrieval.pool), "rrf_all": fused, "union": joined(lists), "union2": joined(lists.where("rank <= 10"))}
+    q, c, ranked = questions(spark, d), chunks(spark, d), None
+    for name, pool in pools.items():
+        part = R.rerank(pool.select("query", "doc", "rank"), q, c, "row_id", "page_content").select("query", F.lit(name).alias("mode"), "doc", "rank")
+        ranked = part if ranked is None else ranked.unionByName(part)
+    details = E.retrieval_details(ranked, asked_items(spark, d), table(spark, d, "chunk_rows"), "row_id", _STRATEGIES)
+    return E.retrieval_summary(details.withColumnRenamed("mode", "strategy"), "strategy")
+
+
+_COMPARED = f"{_DETAIL}, j AS (SELECT b.query, b.hit::INTEGER AS base_hit, n.hit::INTEGER AS new_hit FROM d b JOIN d n ON b.query = n.query WHERE b.mode = 'bm25' AND n.mode = 'hybrid_rerank')"
+
+
+@query(f"{_COMPARED} SELECT * FROM j")
+def compare_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of each question in a base report and a new one."""
+    one = materialise(retrieval_details(spark, d))
+    side = lambda mode, name: one.where(F.col("mode") == mode).select("query", F.col("hit").cast("int").alias(name))
+    return side("bm25", "base_hit").join(side("hybrid_rerank", "new_hit"), "query")
+
+
+@query(f"{_COMPARED} SELECT query, CASE WHEN new_hit > base_hit THEN 'miss->hit' ELSE 'hit->miss' END AS flip FROM j WHERE base_hit <> new_hit")
+def flip_details(spark: SparkSession, d: str) -> DataFrame:
+    return compare_reports(spark, d).where("base_hit <> new_hit").select("query", F.when(F.col("new_hit") > F.col("base_hit"), "miss->hit").otherwise("hit->miss").alias("flip"))
+
+
+@query(f"""{_COMPARED}, mean AS (SELECT avg(base_hit) AS b, avg(new_hit) AS n FROM j) SELECT printf('%.3f -> %.3f  (Δ%+.3f %s)', b, n, n - b, CASE WHEN n - b > 1e-9 THEN '↑' WHEN n - b < -1e-9 THEN '↓' ELSE '=' END) AS hit_rate FROM mean""")
+def metric_delta(spark: SparkSession, d: str) -> DataFrame:
+    m = compare_reports(spark, d).agg(F.avg("base_hit").alias("b"), F.avg("new_hit").alias("n"))
+    return m.select(E.delta_text(F.col("b"), F.col("n")).alias("hit_rate"))
 
 
-@query(f"""WITH {_BASE}{_FUSED}, {_GOLD}, v AS (SELECT query, min(rank) AS r FROM vr JOIN gold USING (query, doc) WHERE rank <= 100 GROUP BY query), b AS (SELECT query, min(rank) AS r FROM br JOIN gold USING (query, doc) WHERE rank <= 100 AND score > 0 GROUP BY query),
-f AS (SELECT query, min(rank) AS r FROM fr JOIN gold USING (query, doc) GROUP BY query)
-SELECT q.query, v.r::INTEGER AS vector_rank, b.r::INTEGER AS bm25_rank, f.r::INTEGER AS fused_rank, CASE WHEN f.r <= 30 THEN 'in pool' WHEN f.r IS NOT NULL THEN 'cut by pool' WHEN v.r IS NOT NULL OR b.r IS NOT NULL THEN 'too deep' ELSE 'not recalled' END AS verdict
-FROM q LEFT JOIN v USING (query) LEFT JOIN b USING (query) LEFT JOIN f USING (query)""")
+@query(f"""WITH {_BASE}{_FUSED}, l AS (SELECT 'v' AS mode, query, doc, rank FROM vr WHERE rank <= 100 UNION ALL SELECT 'b', query, doc, rank FROM br WHERE rank <= 100 AND score > 0 UNION ALL SELECT 'f', query, doc, rank FROM fr),
+g AS (SELECT query, min(CASE WHEN mode = 'v' THEN rank END) AS v, min(CASE WHEN mode = 'b' THEN rank END) AS b, min(CASE WHEN mode = 'f' THEN rank END) AS f FROM {GOLD("SELECT * FROM l")} WHERE gold GROUP BY query)
+SELECT q.query, v::INTEGER AS vector_rank, b::INTEGER AS bm25_rank, f::INTEGER AS fused_rank, CASE WHEN f <= 30 THEN 'in pool' WHEN f IS NOT NULL THEN 'cut by pool' WHEN v IS NOT NULL OR b IS NOT NULL THEN 'too deep' ELSE 'not recalled' END AS verdict FROM q LEFT JOIN g USING (query)""")
 def recall_attribution(spark: SparkSession, d: str) -> DataFrame:
     r = S.DEFAULT.retrieval
     v, b, _ = channels(spark, d, r.deep)
     fused = R.rrf([v.where(F.col("rank") <= r.top_k), b.where(F.col("rank") <= r.top_k)])
-    g = materialise(gold(spark, d))
-    best = lambda df, name: df.join(g, ["query", "doc"]).groupBy("query").agg(F.min("rank").alias(name))
-    out = questions(spark, d).select("query").join(best(v, "vector_rank"), "query", "left").join(best(b, "bm25_rank"), "query", "left").join(best(fused, "fused_rank"), "query", "left")
+    tag = lambda df, m: df.select(F.lit(m).alias("mode"), "query", "doc", "rank")
+    lists = tag(v, "v").unionByName(tag(b, "b")).unionByName(tag(fused, "f"))
+    good = E.labelled(lists, asked_items(spark, d), table(spark, d, "chunk_rows"), "row_id").where("gold")
+    best = good.groupBy("query").agg(*[F.min(F.when(F.col("mode") == m, F.col("rank"))).alias(n) for m, n in (("v", "vector_rank"), ("b", "bm25_rank"), ("f", "fused_rank"))])
+    out = questions(spark, d).select("query").join(best, "query", "left")
     verdict = F.when(F.col("fused_rank") <= r.pool, "in pool").when(F.col("fused_rank").isNotNull(), "cut by pool").when(F.col("vector_rank").isNotNull() | F.col("bm25_rank").isNotNull(), "too deep").otherwise("not recalled")
     return out.withColumn("verdict", verdict)
 
