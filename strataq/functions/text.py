@@ -111,6 +111,22 @@ def metadata_string(cols: list[str]) -> Column:
     return F.array_join(F.array_compact(F.array(*parts)), ";")
 
 
+def accept_ocr(page: Column, ocr: Column) -> Column:
+    """The cleaned OCR text if it is neither empty nor garbled, else the page's own."""
+    got = clean_text(F.coalesce(ocr, F.lit("")))
+    return F.when((got != "") & ~is_garbled(got), got).otherwise(page)
+
+
+def needs_tables(size_bytes: Column, pages: Column, most_mb: float = S.DEFAULT.quality.table_mb, most_pages: int = S.DEFAULT.quality.table_pages) -> Column:
+    """Whether tables are looked for in a PDF: not above a size or a number of pages."""
+    return (size_bytes <= most_mb * 1024 * 1024) & (pages <= most_pages)
+
+
+def embedding_text(t: Column) -> Column:
+    """What an embedding model is sent: lone surrogates as question marks, null and empty text as one blank."""
+    return F.coalesce(F.nullif(F.regexp_replace(t, r"\p{Cs}", "?"), F.lit("")), F.lit(" "))
+
+
 def path_category(rel_path: Column) -> Column:
     """The first folder of a relative path, the root's name for a file in the root, another for null (outside)."""
     return F.when(rel_path.isNull(), "外部").when(rel_path.contains("/"), F.substring_index(rel_path, "/", 1)).otherwise("根目录")

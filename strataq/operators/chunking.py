@@ -9,21 +9,27 @@ from strataq import settings as S
 from strataq.functions import text as T
 
 
-def table_to_markdown(rows: DataFrame, keys: list[str], order: str, cells: Column, caption: Column) -> DataFrame:
-    """keys, markdown: rows of a table, in order, as a markdown table under a caption line.
+def rows_to_markdown(rows: Column, caption: Column) -> Column:
+    """An array of rows of cells as a markdown table under a caption line; null where nothing is left.
 
     Rows whose cells are all null or empty go first; cells are stripped, newlines become blanks; short rows are
     padded; an empty cell shows as one blank.
     """
-    shown = F.transform(cells, lambda c: T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), "\n", " ")))
-    kept = rows.withColumn("_cells", cells).where(F.exists("_cells", lambda c: F.coalesce(c, F.lit("")) != "")).withColumn("_cells", shown)
-    grouped = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_cells").alias("c")))).alias("rows"), F.max(F.size("_cells")).alias("w"), F.min(caption).alias("cap"))
-    pad = lambda r: F.concat(r["c"], F.array_repeat(F.lit(""), F.col("w") - F.size(r["c"])))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(pad(r), lambda c: F.when(c == "", " ").otherwise(c)), " | "), F.lit(" |"))
-    lines = F.transform("rows", line)
-    head = F.when(F.coalesce("cap", F.lit("")) == "", "【表格】").otherwise(F.concat(F.lit("【表格：") , "cap", F.lit("】")))
-    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.col("w")))
-    return grouped.select(*keys, F.concat_ws("\n", head, F.element_at(lines, 1), rule, F.array_join(F.slice(lines, 2, F.size(lines)), "\n")).alias("markdown"))
+    shown = lambda r: F.transform(r, lambda c: T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), "\n", " ")))
+    kept = F.transform(F.filter(rows, lambda r: F.exists(r, lambda c: F.coalesce(c, F.lit("")) != "")), shown)
+    width = F.array_max(F.transform(kept, lambda r: F.size(r)))
+    pad = lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
+    lines = F.transform(kept, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(pad(r), lambda c: F.when(c == "", " ").otherwise(c)), " | "), F.lit(" |")))
+    head = F.when(F.coalesce(caption, F.lit("")) == "", "【表格】").otherwise(F.concat(F.lit("【表格："), T.strip(caption), F.lit("】")))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
+    return F.when(F.size(kept) > 0, F.concat_ws("\n", head, F.element_at(lines, 1), rule, F.nullif(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n"), F.lit(""))))
+
+
+def table_to_markdown(rows: DataFrame, keys: list[str], order: str, cells: Column, caption: Column) -> DataFrame:
+    """keys, markdown: rows of a table, in order, as a markdown table; tables without a filled cell are left out."""
+    kept = rows.withColumn("_cells", cells).where(F.exists("_cells", lambda c: F.coalesce(c, F.lit("")) != ""))
+    grouped = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("_cells").alias("c")))).alias("rows"), F.min(caption).alias("cap"))
+    return grouped.select(*keys, rows_to_markdown(F.transform("rows", lambda r: r["c"]), F.col("cap")).alias("markdown"))
 
 
 def pack_rows(lines: Column, head_length: Column, limit: int = S.DEFAULT.chunking.table_max) -> Column:
@@ -58,7 +64,7 @@ def table_parts(t: Column, limit: int = S.DEFAULT.chunking.table_max) -> Column:
 
 def structure_units(t: Column) -> Column:
     """Text cut before every line that starts a section; stripped, blanks dropped; the whole text if nothing is left."""
-    cut = F.split(t, r"\n+(?=(?:" + "|".join(S.SECTION_STARTS[:4]) + r"|\d+\.\d+(?!\d)|" + S.SECTION_STARTS[5] + "))")
+    cut = F.split(t, r"\n+(?=(?:" + "|".join(S.SECTION_STARTS) + "))")
     units = F.filter(F.transform(cut, T.strip), lambda u: u != "")
     return F.when(F.size(units) > 0, units).otherwise(F.array(T.strip(t)))
 

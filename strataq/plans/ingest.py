@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataq import settings as S
-from strataq.common import table
+from strataq.common import materialise, table
 from strataq.functions import text as T
 from strataq.functions.unicode import normalise_question as nfkc
 from strataq.operators import retrieval as R
 from strataq.operators import stateful, store
 from strataq.plans.pages import META
-from strataq.plans.registry import CJK, Registry
+from strataq.plans.registry import CJK, TOKENS, WS, Registry
 
 query = Registry()
 QUERIES, SQL = query.queries, query.sql
@@ -80,24 +80,44 @@ def manifest_lookup(spark: SparkSession, d: str) -> DataFrame:
     return f.join(m.select("path", F.col("size").alias("a")), "path", "left").join(by_name, "file_name", "left").select("path", F.coalesce("a", "b").alias("known_size"))
 
 
-@query(f"""WITH m AS ({_MANIFEST}), f AS ({_FILES}) SELECT f.path, CASE WHEN m.path IS NULL THEN 'new' WHEN m.size = f.size THEN 'unchanged' ELSE 'changed' END AS status FROM f LEFT JOIN m ON m.path = f.path""")
+_STATES = """SELECT source AS path, min(file_name) AS file_name, max(loaded_at) AS mtime, sum(coalesce(strlen(page_content), 0))::BIGINT AS size FROM page_docs WHERE source IS NOT NULL {more} GROUP BY source"""
+#: The manifest is what was loaded when the last chunk was indexed; the files are what is there now.
+_STATUS = f"""known AS ({_STATES.format(more="AND loaded_at <= (SELECT max(indexed_at) FROM chunk_rows)")}), now AS ({_STATES.format(more="")}),
+st AS (SELECT now.path, now.file_name, CASE WHEN known.path IS NULL THEN 'new' WHEN known.mtime IS NOT DISTINCT FROM now.mtime AND known.size IS NOT DISTINCT FROM now.size THEN 'unchanged' ELSE 'changed' END AS status FROM now LEFT JOIN known ON known.path = now.path)"""
+
+
+def _known(spark: SparkSession, d: str) -> DataFrame:
+    last = table(spark, d, "chunk_rows").agg(F.max("indexed_at").alias("_last"))  # one row
+    return store.file_states(table(spark, d, "page_docs").crossJoin(F.broadcast(last)).where("loaded_at <= _last"))
+
+
+@query(f"WITH {_STATUS} SELECT path, status FROM st")
 def manifest_diff(spark: SparkSession, d: str) -> DataFrame:
-    m, f = _files(table(spark, d, "chunk_rows")), _files(table(spark, d, "page_docs"))
-    j = f.join(m.select("path", F.col("size").alias("old")), "path", "left")
-    return j.select("path", F.when(F.col("old").isNull(), "new").when(F.col("old") == F.col("size"), "unchanged").otherwise("changed").alias("status"))
+    return store.file_status(_known(spark, d), store.file_states(table(spark, d, "page_docs"))).select("path", "status")
+
 
+#: The text index holds what isn't staged: scanned chunks are.
+_INDEXED = "(SELECT * FROM chunk_rows WHERE NOT coalesce(is_ocr, false))"
+_MISSING = f"""SELECT path FROM ({_FILES}) f WHERE NOT EXISTS (SELECT 1 FROM {_INDEXED} c WHERE c.source = f.path) AND NOT EXISTS (SELECT 1 FROM {_INDEXED} c WHERE c.file_name = f.file_name)"""
 
-@query(f"""WITH f AS ({_FILES}) SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM chunk_rows c WHERE c.source = f.path) AND NOT EXISTS (SELECT 1 FROM chunk_rows c WHERE c.file_name = f.file_name)""")
+
+@query(_MISSING)
 def missing_files(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "chunk_rows")
+    c = table(spark, d, "chunk_rows").where(~F.coalesce("is_ocr", F.lit(False)))
     f = _files(table(spark, d, "page_docs"))
     return f.join(c.select(F.col("source").alias("path")).distinct(), "path", "left_anti").join(c.select("file_name").distinct(), "file_name", "left_anti").select("path")
 
 
-@query("""WITH gone AS (SELECT DISTINCT source_file AS f FROM eval_items WHERE is_seed) SELECT row_id FROM chunk_rows WHERE file_name IS NULL OR file_name NOT IN (SELECT f FROM gone WHERE f IS NOT NULL)""")
+_GONE = "gone AS (SELECT min(source) AS path, file_name FROM chunk_rows WHERE source IS NOT NULL AND file_name IN (SELECT source_file FROM eval_items WHERE is_seed) GROUP BY file_name)"
+
+
+@query(f"""WITH {_GONE} SELECT row_id FROM chunk_rows c WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.path = c.source) AND NOT (coalesce(c.source, '') = '' AND EXISTS (SELECT 1 FROM gone WHERE gone.file_name = c.file_name))""")
 def delete_by_file(spark: SparkSession, d: str) -> DataFrame:
-    gone = table(spark, d, "eval_items").where("is_seed and source_file is not null").select(F.col("source_file").alias("file_name")).distinct()
-    return table(spark, d, "chunk_rows").select("row_id", "file_name").join(gone, "file_name", "left_anti").select("row_id")
+    """The store without the files that seeds point to: rows of such a source, or of such a name where the source is empty."""
+    c = table(spark, d, "chunk_rows")
+    names = table(spark, d, "eval_items").where("is_seed and source_file is not null").select(F.col("source_file").alias("file_name")).distinct()
+    gone = c.where("source is not null").join(names, "file_name", "left_semi").groupBy("file_name").agg(F.min("source").alias("path"))
+    return store.delete_by_file(c.select("row_id", "source", "file_name"), gone).select("row_id")
 
 
 _DIAG = f"""SELECT coalesce(nullif(source, ''), nullif(file_name, ''), '?') AS source, count(*) AS chunks,
@@ -127,7 +147,7 @@ def diagnose_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BADLIST = f"""SELECT source AS path, chunks, {_REASON} AS reason FROM ({_DIAG}) WHERE {_BAD} UNION ALL
-SELECT path, 0 AS chunks, '缺失' AS reason FROM ({_FILES}) f WHERE NOT EXISTS (SELECT 1 FROM chunk_rows c WHERE c.source = f.path) AND NOT EXISTS (SELECT 1 FROM chunk_rows c WHERE c.file_name = f.file_name)"""
+SELECT path, 0 AS chunks, '缺失' AS reason FROM ({_MISSING})"""
 
 
 @query(_BADLIST)
@@ -172,34 +192,30 @@ def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("row_id", F.col("x.file_name").alias("file_name"), F.col("x.section_title").alias("section_title"), F.col("x.page").alias("page")).agg(F.min("i").alias("first_pos"))
 
 
-@query("""WITH n AS (SELECT lower(coalesce(chunk_id, '')) AS k, max(indexed_at) AS newest FROM chunk_rows GROUP BY 1) SELECT count(*) AS ids, count(newest) AS dated FROM n""")
+@query(f"""WITH live AS (SELECT row_id FROM (SELECT row_id, row_number() OVER (PARTITION BY lower(chunk_id) ORDER BY indexed_at DESC NULLS LAST, row_id) AS n FROM chunk_rows WHERE chunk_id IS NOT NULL) WHERE n = 1 UNION ALL SELECT row_id FROM chunk_rows WHERE chunk_id IS NULL)
+SELECT term, doc, count(*) AS tf FROM (SELECT row_id AS doc, unnest({TOKENS("page_content")}) AS term FROM chunk_rows WHERE row_id IN (SELECT row_id FROM live)) GROUP BY term, doc""")
 def bm25_merge_staged(spark: SparkSession, d: str) -> DataFrame:
-    # Counts of ids alone, as its SQL says; bm25_merged is the merge.
-    c = table(spark, d, "chunk_rows").select(F.lower(F.coalesce("chunk_id", F.lit(""))).alias("k"), "indexed_at", "is_ocr")
-    base, delta = c.where(~F.coalesce("is_ocr", F.lit(False))), c.where(F.coalesce("is_ocr", F.lit(False)))
-    return base.unionByName(delta).groupBy("k").agg(F.max("indexed_at").alias("newest")).agg(F.count(F.lit(1)).alias("ids"), F.count("newest").alias("dated"))
-
-
-@query()
-def bm25_merged(spark: SparkSession, d: str) -> DataFrame:
-    # Scanned chunks stand for the staged part; compaction is a rewrite of the same plan.
+    """Postings of base and staged part as one index: of each id the newest entry. Scanned chunks stand for the staged part."""
     c, scanned = table(spark, d, "chunk_rows"), F.coalesce("is_ocr", F.lit(False))
     return store.merge_staged(c.where(~scanned), c.where(scanned), "row_id", "chunk_id", "indexed_at", "page_content")
 
 
-@query(f"""WITH m AS ({_MANIFEST}), f AS ({_FILES}), todo AS (SELECT f.path FROM f LEFT JOIN m ON m.path = f.path WHERE m.path IS NULL OR m.size <> f.size) SELECT p.row_id FROM page_docs p JOIN todo ON p.source = todo.path""")
-def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    # The first step alone, as its SQL says: the pages to ingest. The whole job is incremental_ingest_rows and the three after it.
-    todo = manifest_diff(spark, d).where("status <> 'unchanged'").select(F.col("path").alias("source"))
-    return table(spark, d, "page_docs").select("row_id", "source").join(todo, "source", "left_semi").select("row_id")
+@query()
+def repair_run(spark: SparkSession, d: str) -> DataFrame:
+    """The store after bad and missing files were deleted and ingested anew from their pages."""
+    bad = bad_files(spark, d).select("path").distinct()
+    pages = table(spark, d, "page_docs")
+    todo = materialise(store.file_states(pages).join(bad, "path", "left_semi").select("path", "file_name"))
+    return store.replace_files(table(spark, d, "chunk_rows"), pages, todo)
 
 
 def _ingested(spark: SparkSession, d: str) -> DataFrame:
-    return store.ingest(table(spark, d, "chunk_rows"), table(spark, d, "page_docs"))
+    return store.ingest(table(spark, d, "chunk_rows"), table(spark, d, "page_docs"), _known(spark, d))
 
 
 @query()
-def incremental_ingest_rows(spark: SparkSession, d: str) -> DataFrame:
+def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The store after the run; its manifest, its postings and the answers that it makes stale are the three after it."""
     return _ingested(spark, d)
 
 
@@ -215,10 +231,10 @@ def incremental_ingest_index(spark: SparkSession, d: str) -> DataFrame:
     return R.postings(rows, "id", "page_content")
 
 
-@query()
+@query(f"WITH {_STATUS} SELECT row_id FROM rag_answers WHERE EXISTS (SELECT 1 FROM st WHERE status <> 'unchanged')")
 def incremental_ingest_stale(spark: SparkSession, d: str) -> DataFrame:
     # Any change of the store makes every cached answer stale.
-    todo = store.changed_files(table(spark, d, "chunk_rows"), table(spark, d, "page_docs")).limit(1).select(F.lit(1).alias("one"))
+    todo = manifest_diff(spark, d).where("status <> 'unchanged'").limit(1).select(F.lit(1).alias("one"))
     return table(spark, d, "rag_answers").select("row_id").crossJoin(F.broadcast(todo)).select("row_id")
 
 
@@ -265,11 +281,16 @@ def resume_pending(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("row_id", "question").join(done, "question", "left_anti").select("row_id")
 
 
-@query()
+#: NFKC of what questions are written in: full-width ASCII forms and the wide space (letters are composed already).
+_FLAT = lambda c: f"trim(regexp_replace(lower(translate(nfc_normalize({c}), '{''.join(chr(0xFF01 + i) for i in range(94)).replace(chr(39), chr(39) * 2)}', '{''.join(chr(0x21 + i) for i in range(94)).replace(chr(39), chr(39) * 2)}')), '{WS}+', ' ', 'g'))"
+
+
+@query(f"SELECT row_id, {_FLAT('question')} AS normal FROM rag_answers")
 def normalize_question(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "rag_answers").select("row_id", nfkc("question").alias("normal"))
 
 
-@query("""SELECT row_id, 'strataq:answer:' || substr(sha1(concat_ws('|', question, mode)), 1, 20) AS key FROM rag_answers""")
+@query(f"""SELECT row_id, 'strataq:answer:' || substr(sha1(concat_ws('|', {_FLAT('question')}, mode)), 1, 20) AS key FROM rag_answers""")
 def cache_key(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "rag_answers").select("row_id", T.cache_key("answer", F.col("question"), F.col("mode")).alias("key"))
+    """The key of the normalised question, as the cache looks it up."""
+    return table(spark, d, "rag_answers").select("row_id", T.cache_key("answer", nfkc("question"), F.col("mode")).alias("key"))

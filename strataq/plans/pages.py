@@ -155,7 +155,7 @@ def clean_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT o_orderkey, o_orderpriority, l_linenumber AS n, '| ' || concat_ws(' | ', l_partkey::VARCHAR, l_suppkey::VARCHAR, l_quantity::BIGINT::VARCHAR, CASE WHEN l_returnflag = '' THEN ' ' ELSE l_returnflag END, l_linestatus) || ' |' AS line
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey), g AS (SELECT o_orderkey, min(o_orderpriority) AS cap, list(line ORDER BY n, line) AS lines FROM r GROUP BY o_orderkey)
-SELECT o_orderkey, concat_ws(chr(10), '【表格：' || cap || '】', lines[1], '|---|---|---|---|---|', array_to_string(lines[2:], chr(10))) AS markdown FROM g""")
+SELECT o_orderkey, concat_ws(chr(10), '【表格：' || cap || '】', lines[1], '|---|---|---|---|---|', nullif(array_to_string(lines[2:], chr(10)), '')) AS markdown FROM g""")
 def table_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     cells = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("bigint").cast("string"), "l_returnflag", "l_linestatus")

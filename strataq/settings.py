@@ -10,7 +10,7 @@ SECTION_STARTS = (
     r"第[一二三四五六七八九十百零〇\d]+章",
     r"第[一二三四五六七八九十百零〇\d]+节",
     r"\d+\.\d+\.\d+",
-    r"\d+\.\d+",
+    r"\d+\.\d+(?!\d)",
     r"[一二三四五六七八九十]+、",
 )
 TITLES = (r"第[一二三四五六七八九十百零〇\d]+[章节条]", r"\d+\.\d+\.\d+", r"[一二三四五六七八九十]+、")
@@ -36,6 +36,8 @@ class Quality:
     garbage_ratio: float = 0.7
     garbage_min_cells: int = 8
     sample_pages: int = 6
+    table_mb: float = 30
+    table_pages: int = 120
 
 
 @dataclass(frozen=True)

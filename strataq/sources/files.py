@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq import settings as S
+from strataq.common import numbered
 from strataq.functions.text import path_category
+from strataq.operators.chunking import rows_to_markdown
 
 SCHEMA = "path string, page int, total_pages int, doc_type string, has_table boolean, sheet string, page_content string, error string"
-SHEET_ROWS = 2000
 Rows = list[dict]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -45,51 +47,33 @@ def decode(raw: bytes) -> str:
     return raw.decode("utf-8", "ignore")
 
 
-def markdown(rows: list[list[str | None]], caption: str = "") -> str:
-    """Rows as a markdown table under a caption line; empty rows go, short ones are padded; '' if nothing is left."""
-    kept = [[(c or "").strip().replace("\n", " ") for c in r] for r in rows if any(c not in (None, "") for c in r)]
-    if not kept:
-        return ""
-    width = max(map(len, kept))
-    line = lambda r: "| " + " | ".join(c or " " for c in [*r, *[""] * (width - len(r))]) + " |"
-    return "\n".join([f"【表格：{caption}】" if caption else "【表格】", line(kept[0]), "|" + "---|" * width, *map(line, kept[1:])])
-
-
 def parse_text(path: str, raw: bytes) -> Rows:
     text = decode(raw)
     return [{"page_content": text, "doc_type": "markdown" if path.lower().endswith(".md") else "text"}] if text.strip() else []
 
 
 def parse_docx(path: str, raw: bytes) -> Rows:
-    """Body order: paragraphs in one run of text (headings on lines of their own), each table as a row of its own."""
+    """Body order: runs of paragraphs (headings on lines of their own) between tables, and the cells of each table."""
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(raw)).read("word/document.xml")).find(f"{_W}body")
-    out: Rows = []
-    text: list[str] = []
+    words = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t"))
 
-    def flush() -> None:
-        if "\n".join(text).strip():
-            out.append({"page_content": "\n".join(text).strip(), "doc_type": "text"})
-        text.clear()
+    def line(e) -> str:
+        style = e.find(f"{_W}pPr/{_W}pStyle")
+        heading = style is not None and "heading" in style.get(f"{_W}val", "").lower()
+        return ("\n## " if heading else "") + words(e).strip() if words(e).strip() else ""
 
-    words = lambda e: "".join(t.text or "" for t in e.iter(f"{_W}t"))
-    for e in body if body is not None else ():
-        if e.tag == f"{_W}p":
-            style = e.find(f"{_W}pPr/{_W}pStyle")
-            heading = style is not None and "heading" in style.get(f"{_W}val", "").lower()
-            line = words(e).strip()
-            if line:
-                text.append(f"\n## {line}" if heading else line)
-        elif e.tag == f"{_W}tbl":
-            flush()
-            table = markdown([[words(c) for c in r.iter(f"{_W}tc")] for r in e.iter(f"{_W}tr")])
-            if table:
-                out.append({"page_content": table, "doc_type": "table", "has_table": True})
-    flush()
+    out: Rows = []
+    for kind, run in groupby((e for e in body if e.tag in (f"{_W}p", f"{_W}tbl")) if body is not None else (), key=lambda e: e.tag):
+        if kind == f"{_W}p":
+            text = "\n".join(filter(None, map(line, run))).strip()
+            out += [{"page_content": text, "doc_type": "text"}] if text else []
+        else:
+            out += [{"cells": [[words(c) for c in r.iter(f"{_W}tc")] for r in e.iter(f"{_W}tr")], "doc_type": "table", "has_table": True} for e in run]
     return out
 
 
 def parse_xlsx(path: str, raw: bytes) -> Rows:
-    """One row a sheet, the first SHEET_ROWS rows of each, as a table with the sheet's name in the caption."""
+    """The cells of every sheet, with the sheet's name in the caption."""
     z = zipfile.ZipFile(io.BytesIO(raw))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
@@ -100,8 +84,6 @@ def parse_xlsx(path: str, raw: bytes) -> Rows:
         target = rels.get(sheet.get(f"{_R}id"), "").lstrip("/")
         rows: list[list[str | None]] = []
         for row in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_X}row"):
-            if len(rows) == SHEET_ROWS:
-                break
             cells: list[str | None] = []
             for c in row.iter(f"{_X}c"):
                 at = 0
@@ -113,9 +95,7 @@ def parse_xlsx(path: str, raw: bytes) -> Rows:
                 cells.append("".join(t.text or "" for t in c.iter(f"{_X}t")) if kind == "inlineStr" else None if v is None else shared[int(v.text)] if kind == "s" else v.text)
             rows.append(cells)
         name = sheet.get("name", "")
-        table = markdown(rows, f"工作表 {name}")
-        if table:
-            out.append({"page_content": table, "doc_type": "table", "has_table": True, "sheet": name})
+        out.append({"cells": rows, "caption": f"工作表 {name}", "doc_type": "table", "has_table": True, "sheet": name})
     return out
 
 
@@ -126,12 +106,18 @@ def _missing(path: str, raw: bytes) -> Rows:
 PARSERS: dict[str, Callable[[str, bytes], Rows]] = {"txt": parse_text, "md": parse_text, "docx": parse_docx, "xlsx": parse_xlsx, "pdf": _missing, "doc": _missing, "xls": _missing}
 
 
+_PARSED = "path string, page int, total_pages int, doc_type string, has_table boolean, sheet string, page_content string, error string, cells array<array<string>>, caption string"
+
+
 def load(spark: SparkSession, root: str, parsers: dict[str, Callable[[str, bytes], Rows]] | None = None) -> DataFrame:
-    """SCHEMA rows of all supported files; a file that fails is one row with `error` and no content."""
+    """SCHEMA rows of all supported files; a file that fails is one row with `error` and no content.
+
+    Parsers give texts or cells; tables are written as text by the plan, and empty ones are left out.
+    """
     use = {**PARSERS, **(parsers or {})}
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
     files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*use) & ~F.col("path").endswith("/README.md"))
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    names = [x.split()[0] for x in _PARSED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -141,10 +127,25 @@ def load(spark: SparkSession, root: str, parsers: dict[str, Callable[[str, bytes
                     rows = use[path.rsplit(".", 1)[-1].lower()](path, raw)
                     out += [{"path": path, "page": None, "total_pages": len(rows), **r} for r in rows]
                 except Exception as e:  # one bad file must not end the scan
-                    out.append({"path": path, "error": f"{type(e).__name__}: {e}"[:500]})
-            yield pd.DataFrame(out, columns=names).astype(object).where(lambda x: x.notna(), None)
+                    out.append({"path": path, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame([[r.get(c) for c in names] for r in out], columns=names, dtype=object)
+
+    parsed = files.mapInPandas(run, _PARSED)
+    content = F.when(F.col("cells").isNull(), F.col("page_content")).otherwise(rows_to_markdown(F.col("cells"), F.col("caption")))
+    kept = parsed.withColumn("page_content", content).where("page_content is not null or error is not null")
+    return kept.select(*[x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def batch_report(loaded: DataFrame, root: str) -> DataFrame:
+    """(category, files, failed, rows) by first folder: what a batch of folders gave; a failed file costs nothing but itself."""
+    rel = F.regexp_replace(F.col("path"), "^(?:file:)?/*" + re.escape(root.strip("/")) + "/", "")
+    one = loaded.groupBy("path").agg(F.max(F.when(F.col("error").isNotNull(), 1).otherwise(0)).alias("bad"), F.count("page_content").alias("rows")).withColumn("category", path_category(rel))
+    return one.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.sum("bad").alias("failed"), F.sum("rows").alias("rows"))
+
 
-    return files.mapInPandas(run, SCHEMA)
+def write_json(df: DataFrame, path: str) -> None:
+    """A dataset, manifest or report as JSON lines, one file a partition; written whole or not at all."""
+    df.write.mode("overwrite").json(path)
 
 
 def unparsed(files: DataFrame, cache: DataFrame) -> DataFrame:
@@ -161,8 +162,9 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.inline(rows))
 
 
-def report(summary: DataFrame, title: str) -> str:
-    """A markdown report of a summary, which has one row a mode or category."""
-    rows = summary.collect()
-    head = summary.columns
-    return "\n".join([f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(str(r[c]) for c in head) + " |" for r in rows)])
+def report(summary: DataFrame, title: str) -> DataFrame:
+    """(line_no, line) of a markdown report of a summary, one line a row after the head; in the order of its columns."""
+    cells = F.array_join(F.transform(F.array(*[F.col(c).cast("string") for c in summary.columns]), lambda c: F.coalesce(c, F.lit(""))), " | ")
+    body = numbered(summary.select(F.concat(F.lit("| "), cells, F.lit(" |")).alias("line")), [F.col("line").asc()]).select((F.col("n") + 4).alias("line_no"), "line")
+    head = [(1, f"# {title}"), (2, ""), (3, "| " + " | ".join(summary.columns) + " |"), (4, "|" + "---|" * len(summary.columns))]
+    return summary.sparkSession.createDataFrame(head, "line_no bigint, line string").unionByName(body)

@@ -149,3 +149,60 @@ def test_answers(spark):
     assert got[7]["context"] == "[片段1] 《甲.pdf》第五条，第3页\n应当检查。其余。\n\n[片段2] 《乙.docx》\n不得进入。\n\n[片段3] 《甲.pdf》第五条，第3页\n另一段。"
     assert got[7]["answer"] == "应当检查。" and [s["file_name"] for s in got[7]["sources"]] == ["甲.pdf", "乙.docx"]
     assert got[8]["answer"] is None and got[8]["sources"] == []
+
+
+def test_ocr_tables_and_embedding_text(spark):
+    from strataq.functions import text as T
+
+    df = spark.createDataFrame([(1, "page", "识别出的文字。"), (2, "page", "abc"), (3, "page", None), (4, "page", " ")], "i int, page string, ocr string")
+    assert [r[0] for r in df.orderBy("i").select(T.accept_ocr(F.col("page"), F.col("ocr"))).collect()] == ["识别出的文字。", "page", "page", "page"]
+    sizes = spark.createDataFrame([(1, 31_457_280, 120), (2, 31_457_281, 1), (3, 1, 121)], "i int, size bigint, pages int")
+    assert [r[0] for r in sizes.orderBy("i").select(T.needs_tables(F.col("size"), F.col("pages"))).collect()] == [True, False, False]
+    assert tuple(df.limit(1).select(T.embedding_text(F.lit(None).cast("string")).alias("a"), T.embedding_text(F.lit("")).alias("b"), T.embedding_text(F.lit("a")).alias("c")).first()) == (" ", " ", "a")
+
+
+def test_limits_deltas_and_model_output(spark):
+    from strataq.operators import evaluation as E
+
+    df = spark.createDataFrame([(["boom", "HTTP 429: Rate limit exceeded"],), (["429"],), (["Rate limit"],)], "chain array<string>")
+    assert [r[0] for r in df.select(E.is_daily_limit(F.col("chain"))).collect()] == [True, False, False]
+    one = spark.range(1)
+    assert one.select(E.delta_text(F.lit(0.5), F.lit(0.5)).alias("x")).first()["x"] == "0.500 -> 0.500  (Δ+0.000 =)"
+    said = 'Here: [{"question": "q", "answer": "a"}, {"question": "", "answer": "a"}] done'
+    assert one.select(F.size(E.parse_items(F.lit(said))).alias("n"), F.size(E.parse_items(F.lit("[broken"))).alias("m")).first().asDict() == {"n": 1, "m": 0}
+
+
+def test_windows_longer_than_slices(spark):
+    from datetime import datetime
+
+    from strataq.operators import stateful
+
+    rows = [(1, "k", datetime(2024, 1, 1, 0, 10)), (2, "k", datetime(2024, 1, 1, 1, 10)), (3, "k", datetime(2024, 1, 1, 2, 5))]
+    df = spark.createDataFrame(rows, "id int, key string, ts timestamp")
+    assert {r["rid"]: r["in_window"] for r in stateful.in_window(df, "key", "ts", "id", 7200).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_episodes_leave_results_alone(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    from strataq.operators import stateful
+
+    rng = random.Random(4)
+    at, rows = datetime(2024, 1, 1), []
+    for i in range(400):
+        at += timedelta(seconds=rng.choice((0, 1, 5, 20, 59, 60, 61, 200)))
+        rows.append((i, rng.choice("aab"), at))
+    df = spark.createDataFrame(rows, "id int, key string, ts timestamp")
+    want_rate, want_hit, kept, written = {}, {}, {}, {}
+    for i, k, t in rows:
+        kept[k] = [x for x in kept.get(k, []) if (t - x).total_seconds() <= 60]
+        want_rate[i] = len(kept[k]) < 3
+        if want_rate[i]:
+            kept[k].append(t)
+        want_hit[i] = k in written and (t - written[k]).total_seconds() <= 100
+        if not want_hit[i]:
+            written[k] = t
+    for s in (50, 300, 3600):
+        assert {r["rid"]: r["admitted"] for r in stateful.rate_limit(df, "key", "ts", "id", 3, 60, s).collect()} == want_rate
+        assert {r["rid"]: r["hit"] for r in stateful.cache_hits(df, F.col("key"), "ts", "id", 100, s).collect()} == want_hit

@@ -63,4 +63,26 @@ def test_items_both_shapes(spark, tmp_path):
 
 
 def test_report(spark):
-    assert S.report(spark.createDataFrame([("bm25", 0.5)], "mode string, hit double"), "T").splitlines()[-1] == "| bm25 | 0.5 |"
+    got = S.report(spark.createDataFrame([("bm25", 0.5), ("hybrid", None)], "mode string, hit double"), "T").orderBy("line_no")
+    assert [r["line"] for r in got.collect()] == ["# T", "", "| mode | hit |", "|---|---|", "| bm25 | 0.5 |", "| hybrid |  |"]
+
+
+def test_long_sheet_is_whole(spark):
+    row = lambda i: f'<row><c r="A{i}"><v>{i}</v></c></row>'
+    raw = io.BytesIO(xlsx())
+    out = io.BytesIO()
+    with zipfile.ZipFile(raw) as a, zipfile.ZipFile(out, "w") as z:
+        for name in a.namelist():
+            z.writestr(name, a.read(name) if "sheet1" not in name else '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>' + "".join(map(row, range(1, 2502))) + "</sheetData></worksheet>")
+    assert len(S.parse_xlsx("a.xlsx", out.getvalue())[0]["cells"]) == 2501
+
+
+def test_batch_report_and_json(spark, tmp_path):
+    (tmp_path / "in" / "a").mkdir(parents=True)
+    (tmp_path / "in" / "a" / "x.txt").write_text("甲")
+    (tmp_path / "in" / "a" / "y.docx").write_bytes(b"broken")
+    (tmp_path / "in" / "z.txt").write_text("乙")
+    got = S.batch_report(S.load(spark, str(tmp_path / "in")), str(tmp_path / "in"))
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 1, 1), ("根目录", 1, 0, 1)}
+    S.write_json(got, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
