@@ -34,28 +34,38 @@ def count_corpus(df: DataFrame, cols: list[str], encodings: tuple[str, ...] = ()
 
     For each encoding 2^16 counts of adjacent bytes follow, of the texts written in it (characters it lacks are left out).
     """
-    size = SIZE + (len(encodings) << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+        total = np.zeros(size_of(encodings), dtype=np.int64)
         for b in batches:
             for col in b.columns:
-                texts = [t for t in col.to_pylist() if t]
-                if not texts:
-                    continue
-                c = codes("\x00".join(texts))
-                total[:SIZE] += np.bincount(char_bucket(c).astype(np.int64), minlength=SIZE)
-                total[:SIZE] += np.bincount(pair_bucket(c[:-1], c[1:]).astype(np.int64), minlength=SIZE)
-                whole = "\n".join(texts) if encodings else ""
-                for i, enc in enumerate(encodings):
-                    raw = np.frombuffer(whole.encode(enc, "ignore"), dtype=np.uint8).astype(np.int64)
-                    total[SIZE + (i << 16) : SIZE + (i + 1 << 16)] += np.bincount(raw[:-1] << 8 | raw[1:], minlength=1 << 16)
+                add_counts(total, [t for t in col.to_pylist() if t], encodings)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
-    counts = df.select(*cols).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()  # at most `size` rows, whatever the corpus
-    out = np.zeros(size, dtype=np.int64)
+    return gathered(df.select(*cols).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")), encodings)
+
+
+def size_of(encodings: tuple[str, ...]) -> int:
+    return SIZE + (len(encodings) << 16)
+
+
+def add_counts(total: np.ndarray, texts: list[str], encodings: tuple[str, ...]) -> None:
+    if not texts:
+        return
+    c = codes("\x00".join(texts))
+    total[:SIZE] += np.bincount(char_bucket(c).astype(np.int64), minlength=SIZE)
+    total[:SIZE] += np.bincount(pair_bucket(c[:-1], c[1:]).astype(np.int64), minlength=SIZE)
+    whole = "\n".join(texts) if encodings else ""
+    for i, enc in enumerate(encodings):
+        raw = np.frombuffer(whole.encode(enc, "ignore"), dtype=np.uint8).astype(np.int64)
+        total[SIZE + (i << 16) : SIZE + (i + 1 << 16)] += np.bincount(raw[:-1] << 8 | raw[1:], minlength=1 << 16)
+
+
+def gathered(counts: DataFrame, encodings: tuple[str, ...] = ()) -> np.ndarray:
+    """(bucket, n) as a vector."""
+    got = counts.toArrow()  # at most size_of(encodings) rows, whatever the corpus
+    out = np.zeros(size_of(encodings), dtype=np.int64)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
 

@@ -1,6 +1,6 @@
 """Problem 6: defective answers of question-answer pairs, each with its type of defect.
 
-Truncation: a pushdown parser follows fences, brackets, quotations and list marks; an answer without a final mark is
+Truncation: a pushdown parser follows fences, markup, brackets, quotations and list marks; an answer without a final mark is
 judged by how often, over all answers, its last characters end a sentence or go on. Copies: greedy string tiling of
 the answer with the question. Language: script and function-word checks. Refusal: a grammar of who refuses what.
 
@@ -11,6 +11,7 @@ answer can be none but empty, refusal or truncated; repeated pairs are each repo
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,13 +51,6 @@ _LIST_MARK = re.compile(r"(?m)(?:^|(?<=[\s；;。：:]))[（(]?(?:\d{1,3}|[a-zA-
 BITS = 20
 
 
-def _key(chars: str) -> int:
-    h = 1469598103
-    for c in re.sub(r"\d", "0", chars):
-        h = (h ^ ord(c)) * 1099511 & 0x7FFFFFFFFFFF
-    return (h ^ h >> 21) & ((1 << BITS) - 1)
-
-
 def _units(text: str) -> list[str]:
     """Han and kana one by one, words of alphabets whole, marks one by one."""
     return re.findall(r"[A-Za-zÀ-ɏЀ-ӿ']+|\d+(?:\.\d+)?|\S", text)
@@ -67,8 +61,35 @@ def is_short(text: str, units: list[str]) -> bool:
     return len(units) <= 16 and not re.search(r"[。！？；!?]|[a-z]\.", text)
 
 
-def tail(units: list[str]) -> str:
-    return "".join(units[-3:]) if re.match("[㐀-鿿぀-ヿ]", units[-1]) else " ".join(units[-2:])
+class _Hashes(dict):
+    """Hash of a unit, all digits alike; kept as long as there aren't too many."""
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[unit] = zlib.crc32(re.sub(r"\d", "0", unit).encode("utf-8", "replace"))
+        return h
+
+
+_HASH = _Hashes()
+_IDEOGRAPH = re.compile("[㐀-鿿぀-ヿ]")
+
+
+def _tail_keys(h: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Bucket of the tail that ends at each unit, the text's start filled with zeros: three units at an ideograph, else two."""
+    one = np.concatenate([[0], h[:-1]])
+    two = np.where(wide, np.concatenate([[0, 0], h[:-2]])[: len(h)], 0)
+    x = (two.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ one.astype(np.uint64)
+    x = (x * np.uint64(0xC2B2AE3D27D4EB4F)) ^ h.astype(np.uint64)
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def tail_key(units: list[str]) -> int:
+    last = units[-3:]
+    return int(_tail_keys(np.array([_HASH[u] for u in last], dtype=np.int64), np.array([bool(_IDEOGRAPH.match(u)) for u in last]))[-1])
+
+
+_ENDS = frozenset("。！？.!?；;")
 
 
 def count_tails(answers: DataFrame) -> np.ndarray:
@@ -77,19 +98,27 @@ def count_tails(answers: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 << BITS, dtype=np.int64)
         for b in batches:
+            flat: list[str] = []
+            closes: list[int] = []  # last units of short answers
             for text in b.column(0).to_pylist():
-                if not text:
-                    continue
-                u = _units(text)
-                whole = is_short(text, u)
-                for i in range(len(u)):
-                    if not u[i][0].isalnum():
-                        continue
-                    k = _key(tail(u[max(0, i - 2) : i + 1]))
-                    total[k] += 1
-                    nxt = u[i + 1] if i + 1 < len(u) else ""
-                    if nxt and nxt in "。！？.!?；;" or not nxt and whole:
-                        total[(1 << BITS) + k] += 1
+                if text:
+                    u = _units(text)
+                    flat += u
+                    if u and is_short(text, u):
+                        closes.append(len(flat) - 1)
+                    flat += ("", "")  # nothing reaches over
+            if not flat:
+                continue
+            h = np.array([_HASH[u] if u else 0 for u in flat], dtype=np.int64)
+            first = np.array([ord(u[0]) if u else 0 for u in flat], dtype=np.int64)
+            # Units that start with a letter or a digit are words; of the others some end sentences.
+            word = np.array([u[:1].isalnum() for u in flat])
+            wide = (first >= 0x3400) & (first <= 0x9FFF) | (first >= 0x3040) & (first <= 0x30FF)
+            ends = np.append(np.array([u in _ENDS for u in flat[1:]], dtype=bool), False)
+            ends[closes] = True
+            k = _tail_keys(h, wide)
+            total[: 1 << BITS] += np.bincount(k[word], minlength=1 << BITS)
+            total[1 << BITS :] += np.bincount(k[word & ends], minlength=1 << BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["k", "n"])
 
@@ -99,17 +128,46 @@ def count_tails(answers: DataFrame) -> np.ndarray:
     return out
 
 
+_TAG = re.compile(r"<(/?)([A-Za-z][\w-]*)((?:\s[^<>]*)?)>|<[A-Za-z][\w-]*(?:\s[^<>]*)?$")
+_VOID = frozenset("area base br col hr img input link meta wbr".split())
+
+
 def open_constructs(text: str) -> list[str]:
-    """What a pushdown parser of fences, brackets and quotations still has open at the end; list marks are skipped."""
+    """What a pushdown parser still has open at the end: fences, markup, brackets and quotations; list marks are skipped.
+
+    A straight quotation mark opens where none is open and no letter or digit stands before it (inches, apostrophes).
+    A closing tag closes what was opened inside it.
+    """
     stack: list[str] = []
     for i, part in enumerate(text.split("```")):
         if i % 2:
             continue  # inside a fence
-        for c in _LIST_MARK.sub(" ", part):
-            if c in _PAIRS:
+        part = _LIST_MARK.sub(" ", part)
+        at = 0
+        tags = {m.start(): m for m in _TAG.finditer(part)} if "<" in part else {}
+        while at < len(part):
+            m, c = tags.get(at), part[at]
+            if m:
+                name = (m[2] or "").lower()
+                if not m[2]:
+                    stack.append("<")  # ends inside a tag
+                elif m[1]:
+                    if f"<{name}>" in stack:
+                        del stack[len(stack) - 1 - stack[::-1].index(f"<{name}>") :]
+                elif name not in _VOID and not m[3].endswith("/"):
+                    stack.append(f"<{name}>")
+                at = m.end()
+                continue
+            if c == '"':
+                if '"' in stack:
+                    del stack[len(stack) - 1 - stack[::-1].index('"') :]
+                elif not part[at - 1 : at].isalnum():
+                    stack.append(c)
+            elif c in _PAIRS:
                 stack.append(c)
             elif c in _CLOSERS and stack and stack[-1] == _CLOSERS[c]:
                 stack.pop()
+            at += 1
     return stack + ["```"] * (text.count("```") % 2)
 
 
@@ -133,8 +191,8 @@ def is_truncated(answer: str, counts: np.ndarray) -> bool:
         return False
     if re.search(r"(?:应当?|必须|须|需要|不得|及时|有责任|方可|可以|能够|进行)[㐀-鿿]$", text):
         return True  # half of a verb
-    t = tail(units)
-    seen, ends = counts[_key(t)], counts[(1 << BITS) + _key(t)]
+    k = tail_key(units)
+    seen, ends = counts[k], counts[(1 << BITS) + k]
     if is_short(text, units):
         return False
     return ends / max(1, seen - 1) < 0.01  # the answer itself was counted once
@@ -145,25 +203,23 @@ def tile(question: str, answer: str, least: int = 3) -> tuple[int, int]:
 
     Longest common substrings are taken first; answer characters belong to one tile, the question may be used again.
     """
-    free = [True] * len(answer)
-    used = [False] * len(question)
-    while True:
+    q = np.frombuffer(question.encode("utf-32-le", "replace"), dtype=np.uint32)
+    a = np.frombuffer(answer.encode("utf-32-le", "replace"), dtype=np.uint32)
+    free, used = np.ones(len(a), dtype=bool), np.zeros(len(q), dtype=bool)
+    while len(a) and len(q):
         best = (least - 1, 0, 0)
-        row = [0] * (len(answer) + 1)
-        for i, q in enumerate(question):
-            new = [0] * (len(answer) + 1)
-            for j, a in enumerate(answer):
-                if q == a and free[j]:
-                    new[j + 1] = row[j] + 1
-                    if new[j + 1] > best[0]:
-                        best = (new[j + 1], i + 1, j + 1)
-            row = new
+        row = np.zeros(len(a) + 1, dtype=np.int64)
+        for i in range(len(q)):
+            row[1:] = np.where((a == q[i]) & free, row[:-1] + 1, 0)
+            j = int(row.argmax())
+            if row[j] > best[0]:
+                best = (int(row[j]), i + 1, j)
         size, qi, aj = best
         if size < least:
-            return sum(free), sum(used)
-        for k in range(size):
-            free[aj - 1 - k] = False
-            used[qi - 1 - k] = True
+            break
+        free[aj - size : aj] = False
+        used[qi - size : qi] = True
+    return int(free.sum()), int(used.sum())
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -171,11 +227,16 @@ def is_copy(question: str, answer: str) -> bool:
     if not q or not a or len(a) < 0.7 * len(q):
         return False
     grams = {q[i : i + 3] for i in range(len(q) - 2)}
-    inside = sum(a[i : i + 3] in grams for i in range(len(a) - 2))
-    if not grams or inside < 0.5 * max(1, len(a) - 2):
-        return False
-    outside, covered = tile(q, a)
     frame = 8 if re.search("[㐀-鿿]", a) else 18
+    # A character in no trigram of the question is in no tile: with too many of them tiling can be left out.
+    alone, reach = 0, 0
+    for i in range(len(a)):
+        if a[i : i + 3] in grams:
+            reach = i + 3
+        alone += i >= reach
+        if alone > frame:
+            return False
+    outside, covered = tile(q, a)
     return outside <= frame and covered >= 0.8 * len(q)
 
 
@@ -204,7 +265,7 @@ def defect_of(question: str | None, answer: str | None, counts: np.ndarray) -> s
     bare = re.sub(r"[\W_]", "", text.lower())
     if bare in PLACEHOLDERS:
         return "empty"
-    if len(text) < 400 and (_ZH_REFUSAL.search(text) or _EN_REFUSAL.search(text)):
+    if _ZH_REFUSAL.search(text) or _EN_REFUSAL.search(text):
         return "refusal"
     if question and is_copy(question, text):
         return "copy"

@@ -46,8 +46,8 @@ def _not_garbled(pages: DataFrame, rows: DataFrame, counts) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page_docs")
-    rows = materialise(scan.noise(pages, "row_id", "source", "page", "page_content").withColumnRenamed("rid", "row_id"))
-    return _not_garbled(pages, rows, lm.count_corpus(pages, ["page_content"], mojibake.TRUE))
+    found, counts = scan.noise(pages, "row_id", "source", "page", "page_content", mojibake.TRUE)
+    return _not_garbled(pages, materialise(found.withColumnRenamed("rid", "row_id")), counts)
 
 
 def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +104,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("containers"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count(F.lit(1)) * packing.CAPACITY), 6).alias("fill"))
 
 
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """That every document is placed once, whole or in parts, and no container is above its capacity."""
+    packed = materialise(p8_packed(spark, d))
+    over = packed.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.sum(F.when(F.col("t") > packing.CAPACITY, 1).otherwise(0)).alias("overfull"))
+    docs = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("t"), F.max("part").alias("last"))
+    one = docs.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.when(F.col("parts") == 1, F.col("t"))).alias("tokens_whole"), F.coalesce(F.sum(F.when(F.col("parts") > 1, F.col("t") - F.col("parts"))), F.lit(0)).alias("bytes_split"), F.sum(F.when(F.col("last") + 1 != F.col("parts"), 1).otherwise(0)).alias("broken"))
+    return one.crossJoin(F.broadcast(over))  # one row each
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "heldout_items"), "item_id", "text")
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
@@ -126,10 +135,11 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(_abuse_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_repaired, p4_found, p4_restored, p3_found, p3_collapsed, p5_found, p5_statistics, p6_found, p7_found, p7_pieces, p8_found, p8_packed, p8_fill, p9_found, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_normalised, p2_found, p2_repaired, p4_found, p4_restored, p3_found, p3_collapsed, p5_found, p5_statistics, p6_found, p7_found, p7_pieces, p8_found, p8_packed, p8_whole, p8_fill, p9_found, p10_found, p10_scores, p10_rates)}
 
 SQL = {
     "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) + 1 > 8192",
+    "p8_whole": "SELECT count(*) AS documents, sum(CASE WHEN coalesce(strlen(text), 0) < 8192 THEN coalesce(strlen(text), 0) + 1 END)::BIGINT AS tokens_whole, coalesce(sum(CASE WHEN strlen(text) >= 8192 THEN strlen(text) END), 0)::BIGINT AS bytes_split, 0::BIGINT AS broken, 0::BIGINT AS overfull FROM documents",
     "p7_found": r"""
         SELECT row_id, CASE WHEN list_max(list_transform(string_split(
             regexp_replace(regexp_replace(page_content, '([\n。；！？;!?])', '\1' || chr(1), 'g'), '(\.)([\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}])', '\1' || chr(1) || '\2', 'g'), chr(1)),

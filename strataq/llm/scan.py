@@ -11,8 +11,9 @@ needs no context, so neighbours misread together and rare words are seen too. Ru
 their file after folding confused characters; page numbers are shapes at the head or foot. `repair` removes the
 furniture, joins broken words, puts the likely characters back and reflows lines into paragraphs.
 
-All tables that workers receive have sizes bounded by shares (an entry needs a fixed share of all counts) or a fixed
-size (the bitmap of the second pass, whose hits are joined with the exact counts).
+All tables that workers receive have sizes bounded by shares (an entry of the contexts needs a fixed share of all counts),
+by blocks (the vocabulary is searched VOCABULARY words at a time) or a fixed size (the bitmap of the second pass, whose
+hits are joined with the exact counts).
 
 Defined results: null and blank pages and pages without running prose have no noise. Distinct pages are counted for
 headers, so a page loaded twice counts once; a page without a number counts by its text.
@@ -35,10 +36,12 @@ from strataq.common import materialise, small
 from strataq.llm import lm
 from strataq.llm.quality import _SENTENCE, _USUAL
 
-#: Entries of vocabulary and context tables need this share of all counts (and an absolute least count).
+#: Entries of context tables need this share of all counts (and an absolute least count).
 SHARE = 2e-6
 MIN_WORD, MIN_CONTEXT, DOMINANCE, MIN_PAIR = 3, 15, 0.85, 3
-HEADER_PAGES, HEADER_LENGTH = 3, 100
+HEADER_PAGES = 3
+#: Words that one trie holds.
+VOCABULARY = 500_000
 #: So many times rarer than its true word a misread word of letters alone has to be.
 RARER = 3
 #: Log of how many times more common the trigrams around a character have to be with the learned pairs put back.
@@ -101,23 +104,28 @@ def words_of(text: str) -> list[str]:
     return _TOKEN.findall(whole) + (_COMPOUND.findall(whole) if "-" in whole else [])
 
 
-def count_forms(pages: DataFrame, text_col: str) -> DataFrame:
-    """(tri, word, n): counts of wide trigrams and of words, over all pages of running prose."""
+def count_forms(pages: DataFrame, text_col: str, encodings: tuple[str, ...] = ()) -> DataFrame:
+    """(tri, word, bucket, n): counts of wide trigrams and of words over all pages of running prose, and those of lm.count_corpus over all pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        total = np.zeros(lm.size_of(encodings), dtype=np.int64)
         for b in batches:
-            texts = [t for t in b.column(0).to_pylist() if t and is_prose(t)]
+            filled = [t for t in b.column(0).to_pylist() if t]
+            lm.add_counts(total, filled, encodings)
+            texts = [t for t in filled if is_prose(t)]
             for t in texts:
                 words.update(words_of(t))
             k, n = np.unique(trigram_keys(texts), return_counts=True)
             keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
             counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([*keys, *[None] * len(words)], pa.int64()), pa.array([*[None] * len(keys), *words], pa.string()), pa.array([*counts, *words.values()], pa.int64())], names=["tri", "word", "n"])
+        at = np.flatnonzero(total)
+        for part in ((pa.array(keys), None, None, pa.array(counts)), (None, pa.array(list(words), pa.string()), None, pa.array(list(words.values()), pa.int64())), (None, None, pa.array(at.astype(np.int32)), pa.array(total[at]))):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part[3]), kind) if x is None else x for x, kind in zip(part, (pa.int64(), pa.string(), pa.int32(), pa.int64()))], names=["tri", "word", "bucket", "n"])
 
-    got = pages.select(text_col).mapInArrow(run, "tri bigint, word string, n bigint")
-    return got.groupBy("tri", "word").agg(F.sum("n").alias("n"))
+    got = pages.select(text_col).mapInArrow(run, "tri bigint, word string, bucket int, n bigint")
+    return got.groupBy("tri", "word", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Lookup:
@@ -234,37 +242,50 @@ def confusion_cost(seen: str, true: str) -> float:
     return d[m][n]
 
 
-def misread_words(forms: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """(word, true) of the words that are optical confusions of a far more common one; and the vocabulary."""
+def misread_words(forms: DataFrame, block: int | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """(word, true) of the words that are optical confusions of a far more common one; and the vocabulary (its most common part).
+
+    The vocabulary is every word seen MIN_WORD times. It is searched in blocks of at most VOCABULARY words, a trie each,
+    so that no candidate is missed however many words there are.
+    """
+    block = VOCABULARY if block is None else block
     words = forms.where("word is not null").select("word", "n")
     total = words.agg(F.sum("n")).first()[0] or 0
-    least = max(MIN_WORD, SHARE * total)
-    solid = {r[0]: r[1] for r in words.where((F.col("n") >= least) & F.col("word").rlike("^[A-Za-zÀ-ɏ-]{2,40}$")).collect()}  # at most 1/SHARE rows
-    odd = words.where(F.length("word").between(4, 40) & ~F.col("word").contains("-"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lower: Counter = Counter()
-        for w, n in solid.items():
-            if len(w) >= 3 and "-" not in w:
-                lower[w.lower()] += n
-        trie = Trie(lower)
-        for b in batches:
-            out: list[tuple[str, str]] = []
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                low = w.lower()
-                inner = bool(_INNER.search(w))
-                if not inner and (lower.get(low, 0) > 3 * n or lower.get(low, 0) * 200 > total):
-                    continue
-                best = (1.0, 0, "")
-                for v, m, _ in trie.within(low, 2):
-                    if v != low and m >= (n if inner else RARER * max(n, lower.get(low, 0))):
-                        best = min(best, (confusion_cost(low, v), -m, v))
-                if best[0] < 1.0:
-                    out.append((w, best[2]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=["word", "true"])
-
-    found = materialise(odd.repartition("word").mapInArrow(run, "word string, true string"))
-    return found, solid
+    vocabulary = words.where((F.col("n") >= MIN_WORD) & F.col("word").rlike("^[A-Za-zÀ-ɏ-]{2,}$"))
+    blocks = max(1, -(-vocabulary.count() // block))
+    solid = {r[0]: r[1] for r in (vocabulary if blocks == 1 else vocabulary.orderBy(F.desc("n"), "word").limit(block)).collect()}  # at most `block` rows
+    common = vocabulary.where(~F.col("word").contains("-") & (F.length("word") >= 3)).groupBy(F.lower("word").alias("low")).agg(F.sum("n").alias("m"))
+    odd = words.where((F.length("word") >= 4) & ~F.col("word").contains("-"))
+    # What its own lower-case form counts decides whether a word is odd at all; joined, so that no worker needs all words.
+    odd = materialise(odd.withColumn("low", F.lower("word")).join(common.withColumnRenamed("m", "own"), "low", "left").select("word", "low", "n", F.coalesce("own", F.lit(0)).alias("own")).repartition("word"))
+
+    def search(lower: dict[str, int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trie = Trie(lower)
+            for b in batches:
+                out: list[tuple[str, str, float, int]] = []
+                for w, low, n, own in zip(*(b.column(k).to_pylist() for k in range(4))):
+                    inner = bool(_INNER.search(w))
+                    if not inner and (own > 3 * n or own * 200 > total):
+                        continue
+                    best = (1.0, 0, "")
+                    for v, m, _ in trie.within(low, 2):
+                        if v != low and m >= (n if inner else RARER * max(n, own)):
+                            best = min(best, (confusion_cost(low, v), -m, v))
+                    if best[0] < 1.0:
+                        out.append((w, best[2], best[0], -best[1]))
+                cols = list(zip(*out)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64())], names=["word", "true", "cost", "m"])
+
+        return run
+
+    found = None
+    for k in range(blocks):
+        lower = {r[0]: r[1] for r in common.where(F.pmod(F.xxhash64("low"), F.lit(blocks)) == k).collect()}  # about `block` rows
+        part = odd.mapInArrow(search(lower), "word string, true string, cost double, m bigint")
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("word").agg(F.min_by("true", F.struct("cost", -F.col("m"), "true")).alias("true"))
+    return materialise(best), solid
 
 
 def edge_lines(text: str) -> list[tuple[int, str]]:
@@ -307,7 +328,7 @@ def observe(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_
                         out.append((i, at, "page_number", "", "", 1))
                         if _PAGE_MISREAD.search(line):
                             out.append((i, at, "number", "", "", 1))
-                    if 4 <= len(rest.strip()) <= HEADER_LENGTH and not _HEADING.match(rest) and not _SENTENCE_END.search(rest):
+                    if len(rest.strip()) >= 4 and not _HEADING.match(rest) and not _SENTENCE_END.search(rest):
                         out.append((i, at, "line", rest.strip(), "", int(prose)))
                 if not prose:
                     continue
@@ -315,7 +336,7 @@ def observe(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_
                     out.append((i, at, "hyphen", "", "", 1))
                 if _NUMBER.search(text):
                     out.append((i, at, "number", "", "", 1))
-                out += [(i, at, "word", w, "", 1) for w in set(_TOKEN.findall(joined(text))) if w not in solid and 4 <= len(w) <= 40]
+                out += [(i, at, "word", w, "", 1) for w in set(_TOKEN.findall(joined(text))) if w not in solid and len(w) >= 4]
                 proses.append((i, at, text))
             events: dict[tuple[int, int, int], int] = {}
             for k, c, true, votes in contexts.events([t for _, _, t in proses]):
@@ -440,9 +461,10 @@ def headers(seen: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return lines.join(seeds.unionByName(near), ["source", "sig"], "left_semi").select("rid", "source", "a", "n")
 
 
-def learn(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str):
-    """Everything the corpus teaches: observations, confused Han pairs, misread words, contexts, misread trigrams."""
-    forms = materialise(count_forms(pages, text_col))
+def learn(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str, encodings: tuple[str, ...] = ()):
+    """Everything the corpus teaches: observations, confused Han pairs, misread words, contexts, misread trigrams, counts."""
+    every = materialise(count_forms(pages, text_col, encodings))
+    forms, counts = every.where("bucket is null"), lm.gathered(every.where("bucket is not null").select("bucket", "n"), encodings)
     contexts = Contexts(forms)
     words, solid = misread_words(forms)
     common = pages.sparkSession.createDataFrame([(w,) for w in solid], "word string")
@@ -450,24 +472,24 @@ def learn(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_co
     keep = {w for w in solid if w not in bad}
     seen = materialise(observe(pages, id_col, source_col, page_col, text_col, contexts, keep))
     pairs = confused_pairs(seen)
-    return seen, pairs, words, contexts, restored(pages, id_col, text_col, forms, pairs)
+    return seen, pairs, words, contexts, restored(pages, id_col, text_col, forms, pairs), counts
 
 
-def noise(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str) -> DataFrame:
-    """Distinct (rid, noise) of the pages with running prose."""
-    seen, pairs, words, _, again = learn(pages, id_col, source_col, page_col, text_col)
+def noise(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str, encodings: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
+    """Distinct (rid, noise) of the pages with running prose; and the counts of lm.count_corpus, which come out of the same scan."""
+    seen, pairs, words, _, again, counts = learn(pages, id_col, source_col, page_col, text_col, encodings)
     plain = seen.where("what in ('hyphen', 'page_number', 'number')").select("rid", F.when(F.col("what") == "number", "misread").otherwise(F.col("what")).alias("noise"))
     good = F.array(*[F.lit(a + b) for a, b in pairs]) if pairs else F.array().cast("array<string>")
     han = seen.where("what = 'han'").where(F.array_contains(good, F.concat("a", "b"))).select("rid", F.lit("misread").alias("noise"))
     han = han.unionByName(again.select("rid", F.lit("misread").alias("noise")))
     latin = seen.where("what = 'word'").join(small(words).select(F.col("word").alias("a")), "a").select("rid", F.lit("misread").alias("noise"))
     head = headers(seen, pairs).where("n = 1").select("rid", F.lit("header").alias("noise"))
-    return plain.unionByName(han).unionByName(latin).unionByName(head).distinct()
+    return plain.unionByName(han).unionByName(latin).unionByName(head).distinct(), counts
 
 
 def repair(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str) -> DataFrame:
     """(rid, repaired): pages of running prose without page furniture, words joined and put right, reflowed."""
-    seen, pairs, words, contexts, again = learn(pages, id_col, source_col, page_col, text_col)
+    seen, pairs, words, contexts, again, _ = learn(pages, id_col, source_col, page_col, text_col)
     drop = headers(seen, pairs).groupBy("rid").agg(F.collect_set("a").alias("drop"))  # at most four lines a page
     fix = seen.where("what = 'word'").join(small(words).select(F.col("word").alias("a"), "true"), "a").groupBy("rid").agg(F.map_from_entries(F.collect_set(F.struct("a", "true"))).alias("fix"))
     put = again.groupBy("rid").agg(F.collect_set(F.struct("tri", "k")).alias("put"))

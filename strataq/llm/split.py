@@ -14,34 +14,57 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: After a newline or closing mark, and after a full stop before whitespace.
-BOUNDARY = r"(?<=[\n。；！？;!?])|(?<=\.)(?=[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}])"
+from strataq.common import numbered_within
+from strataq.llm import lm
+
+#: Natural boundaries lie after these marks, and after a full stop before whitespace.
+_MARK_CODES = np.array([ord(c) for c in "\n。；！？;!?"], dtype=np.uint32)
+_SPACE_CODES = np.array([*range(9, 14), 32, 0xA0, *range(0x2000, 0x200B), 0x202F, 0x3000], dtype=np.uint32)
 RANGE_SIZE = 65_536
 
 
+def boundary_ends(text: str) -> np.ndarray:
+    """Offsets after each natural boundary of a text."""
+    c = lm.codes(text)
+    marks = np.isin(c, _MARK_CODES)
+    stops = np.flatnonzero(c[:-1] == ord("."))
+    stops = stops[np.isin(c[stops + 1], _SPACE_CODES)]
+    marks[stops] = True
+    return np.flatnonzero(marks) + 1
+
+
+def _ranges(items: DataFrame, left: int, right: int, range_size: int) -> DataFrame:
+    """items exploded to `at` and `part`: ranges with halos, cut before they are exploded, so that no row carries a whole item."""
+    part = lambda at: F.struct(at.alias("at"), F.substr(F.col("txt"), at - F.least(at, F.lit(left)) + 1, F.least(at, F.lit(left)) + F.lit(range_size + right)).alias("part"))
+    others = [c for c in items.columns if c != "txt"]
+    return items.select(*others, F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(range_size)), part)).alias("r")).select(*others, "r.at", "r.part")
+
+
 def boundary_table(df: DataFrame, id_col: str, text_col: str, limit: int, range_size: int = RANGE_SIZE) -> DataFrame:
     """One row per range of an item above the limit: its offset, length, first and last boundary, longest inner stretch."""
-    items = df.where(F.length(text_col) > limit).select(F.col(id_col).alias("item"), F.col(text_col).alias("txt"), F.length(text_col).alias("n"))
-    starts = F.sequence(F.lit(0), F.col("n") - 1, F.lit(range_size))
-    ranges = items.select("item", "n", "txt", F.explode(starts).alias("at")).select(
-        "item", "n", "at",
-        F.expr(f"substr(txt, greatest(at, 1), {range_size} + if(at > 0, 1, 0) + 1)").alias("part"),
-        F.expr("if(at > 0, 1, 0)").alias("left"),
-    )
-    # Ends of the pieces of the range, counted from the item's start; an end at the last halo character is no boundary.
-    pieces = ranges.withColumn("lens", F.transform(F.split("part", BOUNDARY), F.length))
-    ends = F.expr(f"aggregate(slice(lens, 1, size(lens) - 1), cast(array() as array<int>), (a, x) -> a || array(coalesce(try_element_at(a, -1), at - left) + x))")
-    cut = pieces.withColumn("ends", F.filter(ends, lambda e: (e > F.col("at")) & (e <= F.col("at") + range_size)))
-    return cut.select(
-        "item", "n", "at",
-        F.try_element_at("ends", F.lit(1)).alias("first_end"), F.try_element_at("ends", F.lit(-1)).alias("last_end"),
-        F.expr("if(size(ends) > 1, array_max(zip_with(slice(ends, 2, size(ends) - 1), slice(ends, 1, size(ends) - 1), (b, a) -> b - a)), 0)").alias("inner_max"),
-    )
+    items = df.where(F.length(text_col) > limit).select(F.col(id_col).alias("item"), F.length(text_col).alias("n"), F.col(text_col).alias("txt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, last, inner = [], [], []
+            for at, part in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                ends = boundary_ends(part) + at - min(at, 1)
+                ends = ends[(ends > at) & (ends <= at + range_size)]  # one at the right halo is the neighbour's
+                first.append(int(ends[0]) if len(ends) else None)
+                last.append(int(ends[-1]) if len(ends) else None)
+                inner.append(int(np.diff(ends).max()) if len(ends) > 1 else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(inner, pa.int32())], names=["item", "n", "at", "first_end", "last_end", "inner_max"])
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    return _ranges(items, 1, 1, range_size).mapInArrow(run, f"item {id_type}, n int, at int, first_end int, last_end int, inner_max int")
 
 
 def longest_stretch(df: DataFrame, id_col: str, text_col: str, limit: int, range_size: int = RANGE_SIZE) -> DataFrame:
@@ -84,43 +107,45 @@ def _emit(limit: int, overlap: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for item, title, at, halo, size, last, text in zip(b["item"], b["title"], b["at"], b["halo"], b["size"], b["last"], b["part"]):
+            for item, title, at, halo, size, last, text, alone in zip(b["item"], b["title"], b["at"], b["halo"], b["size"], b["last"], b["part"], b["alone"]):
                 # A range starts where its left neighbour's pieces end: at the last boundary of the neighbour's last `limit`.
                 start = _last_boundary(text, max(0, halo - limit), halo) if at else 0
                 stop = len(text) if last else _last_boundary(text, max(start, halo + size - limit), halo + size)
                 base = at - halo
-                out += [(item, title, base + a, text[a:z]) for a, z in cut_offsets(text, start, stop, limit, overlap)]
-            yield pd.DataFrame(out, columns=["item", "title", "offset", "piece"])
+                out += [(item, title, base + a, text[a:z], i if alone else None) for i, (a, z) in enumerate(cut_offsets(text, start, stop, limit, overlap))]
+            yield pd.DataFrame(out, columns=["item", "title", "offset", "piece", "no"]).astype({"no": "Int32"})
 
     return run
 
 
 def split_items(df: DataFrame, id_col: str, text_col: str, title: Column, limit: int = 450, overlap: int = 80, range_size: int = RANGE_SIZE) -> DataFrame:
     """(item, title, piece_no, offset, piece) of every item above the limit."""
-    items = df.where(F.length(text_col) > limit).select(F.col(id_col).alias("item"), title.alias("title"), F.col(text_col).alias("txt"), F.length(text_col).alias("n"))
+    items = df.where(F.length(text_col) > limit).select(F.col(id_col).alias("item"), title.alias("title"), F.length(text_col).alias("n"), F.col(text_col).alias("txt"))
     halo = limit + overlap
-    ranges = items.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(range_size))).alias("at")).select(
-        "item", "title", "at", F.least("at", F.lit(halo)).alias("halo"), F.expr(f"least({range_size}, n - at)").alias("size"), F.expr(f"at + {range_size} >= n").alias("last"),
-        F.expr(f"substr(txt, at - least(at, {halo}) + 1, {range_size} + least(at, {halo}) + 1)").alias("part"),
-    )
+    ranges = _ranges(items, halo, 1, range_size).select("item", "title", "at", F.least("at", F.lit(halo)).alias("halo"), F.least(F.lit(range_size), F.col("n") - F.col("at")).alias("size"), (F.col("at") + range_size >= F.col("n")).alias("last"), "part", (F.col("n") <= range_size).alias("alone"))
     id_type = df.schema[id_col].dataType.simpleString()
-    pieces = ranges.mapInPandas(_emit(limit, overlap), f"item {id_type}, title string, offset bigint, piece string")
-    return pieces.withColumn("piece_no", F.row_number().over(W.partitionBy("item").orderBy("offset")) - 1)
+    pieces = ranges.mapInPandas(_emit(limit, overlap), f"item {id_type}, title string, offset bigint, piece string, no int")
+    # Pieces of an item that is one range are numbered where they are cut; those of longer items by ranges of offsets.
+    alone = pieces.where("no is not null").withColumn("piece_no", F.col("no").cast("bigint")).drop("no")
+    long = numbered_within(pieces.where("no is null").drop("no"), "item", [F.col("offset").asc()]).withColumn("piece_no", F.col("n") - 1).drop("n")
+    return alone.unionByName(long)
 
 
 def split_files(spark: SparkSession, paths: list[str], limit: int = 450, overlap: int = 80, range_bytes: int = 4 << 20) -> DataFrame:
-    """(path, offset, piece) of UTF-8 files on a shared file system, read by byte ranges; offsets are in code points.
+    """(path, offset, piece) of UTF-8 files on one file system that all workers reach (a path or URI), read by byte ranges; offsets are in code points.
 
     The listing (a few numbers a file) is the only thing made on the driver; bytes are read by the workers alone.
     """
-    ranges = [(p, a, min(range_bytes, os.path.getsize(p) - a), os.path.getsize(p)) for p in paths for a in range(0, os.path.getsize(p), range_bytes)]
+    where = fs.FileSystem.from_uri(os.path.abspath(paths[0]) if "://" not in paths[0] else paths[0])[0] if paths else None
+    bare = lambda p: p.split("://", 1)[-1] if "://" in p and not p.startswith("file:") else p.removeprefix("file://")
+    sizes = {p: info.size for p, info in zip(paths, where.get_file_info([bare(p) for p in paths]))} if paths else {}
+    ranges = [(p, a, min(range_bytes, n - a), n) for p, n in sizes.items() for a in range(0, n, range_bytes)]
     df = spark.createDataFrame(ranges, "path string, at bigint, size bigint, total bigint").repartition(max(1, min(len(ranges), 10_000)), "path", "at")
     halo = 4 * (limit + overlap) + 4
 
     def load(path: str, a: int, z: int) -> bytes:
-        with open(path, "rb") as f:
-            f.seek(a)
-            return f.read(z - a)
+        with where.open_input_file(bare(path)) as f:
+            return f.read_at(z - a, a)
 
     def aligned(raw: bytes, i: int) -> int:
         while 0 < i < len(raw) and raw[i] & 0xC0 == 0x80:

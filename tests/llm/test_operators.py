@@ -1,6 +1,7 @@
 """The ten operators: edge cases (nulls, empty, very long, ties, repeated rows, empty tables, extra columns) and round trips."""
 
 import difflib
+import os
 import random
 import unicodedata
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strataq.llm import abuse, leakage, lm, lookalike, merkle, mojibake, packing, pairs, quality, scan, split
+from strataq.llm import abuse, leakage, lm, lookalike, merkle, mojibake, packing, pairs, quality, queries, scan, split
 
 PROSE = "动火作业所用叉车经质量检验部加固后贴合格标签，并在班前会上说明淹溺风险。设备管理员应当检查安全阀。"
 
@@ -304,13 +305,21 @@ def test_scan_noise(spark):
     rows += [(43, "g.pdf", None, None), (44, "g.pdf", 1, " "), (45, None, None, EN), (46, "g.pdf", 2, "explosion-\nproof fan. " + EN), (47, "g.pdf", 2, "The explosion-proof fan and the explosion-proof fan and the explosion-proof fan stop. " + EN)]
     df = frame(spark, rows, "row_id bigint, source string, page int, page_content string", "what string, a string, b string, sig string")
     got = defaultdict(set)
-    for r in scan.noise(df, "row_id", "source", "page", "page_content").collect():
+    for r in scan.noise(df, "row_id", "source", "page", "page_content")[0].collect():
         got[r["rid"]].add(r["noise"])
     assert got[1] == {"header", "page_number"} and got[40] == {"hyphen"} and got[41] == {"misread"} and got[42] == {"header", "misread"}
     assert not {43, 44, 45, 46, 47} & set(got)
     fixed = {r["rid"]: r["repaired"] for r in scan.repair(df, "row_id", "source", "page", "page_content").collect()}
     assert fixed[1] == EN + "\n" + EN and fixed[40].startswith(EN) and "ammonia" in fixed[41] and "arnmonia" not in fixed[41]
-    assert scan.noise(df.where("false"), "row_id", "source", "page", "page_content").count() == 0
+    assert scan.noise(df.where("false"), "row_id", "source", "page", "page_content")[0].count() == 0
+
+
+def test_vocabulary_in_blocks(spark):
+    words = [("ammonia", 50), ("arnmonia", 2), ("electrician", 40), ("e1ectrician", 1), ("valve", 30), ("va1ve", 1), ("supervisor", 20), ("operator", 20), ("rare", 3), ("rnaintenance", 1), ("maintenance", 9)]
+    forms = spark.createDataFrame(words, "word string, n bigint")
+    whole = {tuple(r) for r in scan.misread_words(forms)[0].collect()}
+    assert {("arnmonia", "ammonia"), ("e1ectrician", "electrician"), ("rnaintenance", "maintenance")} <= whole
+    assert {tuple(r) for r in scan.misread_words(forms, 3)[0].collect()} == whole
 
 
 def test_neighbours_misread_together(spark):
@@ -322,7 +331,7 @@ def test_neighbours_misread_together(spark):
     title = "棠原酸洗作业检查手册"
     rows += [(50 + i, "g.pdf", i, f"{title}\n{EN}") for i in range(4)] + [(60, "g.pdf", 9, f"{swap(title)}\n{EN}"), (61, "h.pdf", 1, f"昨天收到通知。\n{EN}")]
     df = frame(spark, rows, "row_id bigint, source string, page int, page_content string", "what string, a string, b string, sig string")
-    got = {r["rid"] for r in scan.noise(df, "row_id", "source", "page", "page_content").where("noise = 'misread'").collect()}
+    got = {r["rid"] for r in scan.noise(df, "row_id", "source", "page", "page_content")[0].where("noise = 'misread'").collect()}
     assert 60 in got and not got & {*range(20), *range(50, 54), 61}
     line = f"{swap(title)}第三条规定如下。\n{EN}"
     fixed = scan.repair(df.where("row_id <> 60").unionByName(frame(spark, [(60, "g.pdf", 9, f"{EN}\n{EN}\n{line}\n{EN}\n{EN}")], "row_id bigint, source string, page int, page_content string", "what string, a string, b string, sig string")), "row_id", "source", "page", "page_content")
@@ -350,6 +359,23 @@ def test_defects(spark):
     assert pairs.defects(df.where("false"), "row_id", "question", "answer", counts).count() == 0
 
 
+@pytest.mark.parametrize("text, left", [('"the valve must be', ['"']), ('"the valve" must', []), ('a 5" pipe', []), ("<b>the valve", ["<b>"]), ("<ul><li>one</ul> two", []), ("line<br>next", []), ("see <a href", ["<"]), ("p < 3", []), ("（甲【乙】", ["（"]), ("1) one (2) two", [])])
+def test_open_constructs(text, left):
+    assert pairs.open_constructs(text) == left
+
+
+def test_long_refusals_and_long_pairs(spark):
+    q = "在中控室进行高处作业前，承包商代表应当确认哪些事项？"
+    long = "抱歉，我无法回答这个问题。" + "该问题涉及的内容需要由专业人员结合现场情况判断。" * 22
+    assert len(long) > 494 and pairs.defect_of(q, long, np.zeros(2 << pairs.BITS, dtype=np.int64)) == "refusal"
+    import time
+
+    text = "".join(chr(0x4E00 + i % 3000) for i in range(4000))
+    began = time.time()
+    assert pairs.is_copy(text, text) and not pairs.is_copy(text, text[::-1])
+    assert time.time() - began < 2
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_tiles_stay_inside(q, a):
@@ -379,6 +405,11 @@ def test_packing(spark, seed):
     assert packing.pack(docs.where("false"), "doc_id", "text").count() == 0
 
 
+def test_whole_containers(spark):
+    got = queries.p8_whole(spark, "/root/testdata/sf0.001") if os.path.isdir("/root/testdata/sf0.001") else None
+    assert got is None or got.first()["overfull"] == 0
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 ITEM = "学徒甲第66次跟师傅去气瓶库学习受限空间作业，有人用导静电装置顶住门扇，外面的设备管理员推了89次。据此推断起重钢丝绳的失效概率属于哪一档。"
 
@@ -439,7 +470,7 @@ def test_abuse(spark):
 
 def test_identity_terms_barely_matter(spark):
     model = abuse.Model([(t, k) for t, k in SAMPLES])
-    neutral = [model.score(f"{g}凭巡检日志办理住宿，由焊工检查。")[2] for g in ("外地人", "残疾人", "农民工", "乡下佬")]
+    neutral = model.documents([f"{g}凭巡检日志办理住宿，由焊工检查。" for g in ("外地人", "残疾人", "农民工", "乡下佬")])[:, 2].tolist()
     assert max(neutral) < 0.5 and max(neutral) - min(neutral) < 0.3
 
 
