@@ -289,11 +289,11 @@ def misread_words(forms: DataFrame, block: int | None = None) -> tuple[DataFrame
 
 
 def edge_lines(text: str) -> list[tuple[int, str]]:
-    """(index, line) of the first two and last two lines that aren't blank."""
+    """(index, line) of the first three and last three lines that aren't blank."""
     lines = text.split("\n")
     at = range(len(lines))
-    first = list(islice((i for i in at if lines[i] and not lines[i].isspace()), 2))
-    last = list(islice((i for i in reversed(at) if lines[i] and not lines[i].isspace()), 2))
+    first = list(islice((i for i in at if lines[i] and not lines[i].isspace()), 3))
+    last = list(islice((i for i in reversed(at) if lines[i] and not lines[i].isspace()), 3))
     return [(i, lines[i].translate(_UNSEEN) if _UNSEEN_CHAR.search(lines[i]) else lines[i]) for i in sorted({*first, *last})]
 
 
@@ -490,7 +490,7 @@ def noise(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_co
 def repair(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_col: str) -> DataFrame:
     """(rid, repaired): pages of running prose without page furniture, words joined and put right, reflowed."""
     seen, pairs, words, contexts, again, _ = learn(pages, id_col, source_col, page_col, text_col)
-    drop = headers(seen, pairs).groupBy("rid").agg(F.collect_set("a").alias("drop"))  # at most four lines a page
+    drop = headers(seen, pairs).groupBy("rid").agg(F.collect_set("a").alias("drop"))  # at most six lines a page
     fix = seen.where("what = 'word'").join(small(words).select(F.col("word").alias("a"), "true"), "a").groupBy("rid").agg(F.map_from_entries(F.collect_set(F.struct("a", "true"))).alias("fix"))
     put = again.groupBy("rid").agg(F.collect_set(F.struct("tri", "k")).alias("put"))
     good = set(pairs)
