@@ -256,8 +256,8 @@ def _halves(text: str, a: int, z: int, model: lm.Bigrams) -> Iterator[tuple[int,
         yield from _halves(text, (a + z) // 2, z, model)
 
 
-#: True encodings whose byte pairs are counted over the corpus.
-TRUE = ("utf-8", "gb18030", "cp950", "cp932", "cp1251", "koi8-r")
+#: True encodings whose byte pairs are always counted over the corpus; those of the other classes where such a class shows.
+TRUE, RARE = ("utf-8", "gb18030"), ("cp950", "cp932", "cp1251", "koi8-r")
 #: Wrong pages that hold two bytes a character: their characters are read as row and cell codes, two symbols each.
 _TWO_BYTE = ("gb18030", "cp950", "cp932", "cp949")
 #: Stands for a lost character among row and cell codes.
@@ -337,7 +337,9 @@ def _counted(x: list[str], y: list[str], n: list[int]) -> tuple[str, np.ndarray]
 
 def byte_bigrams(counts: np.ndarray, enc: str) -> np.ndarray:
     """Adjacent bytes of the corpus in an encoding; pairs of ASCII, which say nothing about a cipher, aside."""
-    i = TRUE.index(enc)
+    if len(counts) < lm.size_of((*TRUE, *RARE)) and enc in RARE:
+        return np.zeros((256, 256))
+    i = (*TRUE, *RARE).index(enc)
     m = counts[lm.SIZE + (i << 16) : lm.SIZE + (i + 1 << 16)].reshape(256, 256).astype(float)
     m[:128, :128] = 0
     return m
@@ -390,11 +392,17 @@ def learn_cipher(syms: str, m: np.ndarray, counts: np.ndarray, alphabets: list)
         return None
     ends = m.sum(0) + m.sum(1)
     best: tuple[float, tuple[str, str] | None] = (0.0, None)
-    candidates = [(enc, [chr(c) for c in range(256)], byte_bigrams(counts, enc)) for enc in TRUE if enc not in ("cp1251", "koi8-r")]
+    held = {ord(s) for s in syms if s < "\x80"}
+    candidates = [(enc, [chr(c) for c in range(256)], byte_bigrams(counts, enc)) for enc in TRUE]
     for name, letters, bigrams in [*candidates, *(("", a[1], a[2]) for a in alphabets)]:
-        if not bigrams.any() or len(free) > len(letters) - 128:
+        # Letters that the corpus doesn't use, and ASCII that the source doesn't show, stand for nothing here.
+        seen = [k for k in range(len(letters)) if (k in held if k < 128 else bigrams[k].any() or bigrams[:, k].any())]
+        if len(free) > len(seen) - len(held):
             continue
-        post, fit = cipher.learn(m, bigrams, _pinned(syms), 128, rounds=60, restarts=4)
+        letters, bigrams = [letters[k] for k in seen], bigrams[np.ix_(seen, seen)]
+        place = {c: k for k, c in enumerate(letters)}
+        pinned = np.array([place[s] if s < "\x80" else -1 for s in syms])
+        post, fit = cipher.learn(m, bigrams, pinned, len(held), rounds=60, restarts=4)
         table = post.argmax(0)
         known = (m * (bigrams[table][:, table] > 0)).sum() / max(1.0, m.sum())
         plain = "".join(letters[k] for k in table)
@@ -534,10 +542,10 @@ def classes(found: DataFrame, rounds: int = 2) -> DataFrame:
     return best.where("k > 0").select("rid", "source", "field", "start", "stop", "obs", F.element_at(names, F.col("k").cast("int") + 1).alias("cls"), F.element_at("ll", 1).alias("clean"))
 
 
-def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], counts: np.ndarray | None = None) -> DataFrame:
+def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], counts: np.ndarray | None = None, fill: bool = True) -> DataFrame:
     """(rid, field, start, stop, cls, plain) of the stretches that read better deciphered by a learned table than as they stand.
 
-    counts: those of lm.count_corpus with the encodings TRUE. cls is the class, or `cipher` for a table learned from nothing.
+    counts: those of lm.count_corpus with the encodings TRUE. fill: whether units that lost a byte are guessed in plain. cls is the class, or `cipher` for a table learned from nothing.
     """
     counts = lm.count_corpus(df, fields[:1], TRUE) if counts is None else counts
     id_type = df.schema[id_col].dataType.simpleString()
@@ -546,11 +554,14 @@ def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], coun
     every = materialise(found)
     unknown = every.where("ll is null").select("rid", "source", "field", "start", "stop", "obs", F.lit("").alias("cls"), F.lit(0.0).alias("clean"))
     asked = materialise(classes(every.where("ll is not null")).unionByName(unknown))
+    rare = [c for c in CLASSES if c in _SWAP and _SWAP[c][2][0] in RARE]
+    if asked.where(F.col("cls").isin(rare)).take(1):
+        counts = np.concatenate([counts, lm.count_corpus(df, fields[:1], RARE)[lm.SIZE :]])
     pooled, own = learn_tables(asked, counts)
     tabled = asked.withColumn("base", F.regexp_replace("cls", "-twice$", "")).join(small(own.withColumnRenamed("cls", "base")), ["source", "base"], "left").where("cls <> '' or src is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, letters = lm.Bigrams(counts), _letter_table(counts)
+        model, letters = lm.Bigrams(counts), _letter_table(counts) if fill else {}
         shared = {c: dict(zip(map(ord, t[0]), t[1])) for c, t in pooled.items()}
         for b in batches:
             keep, plains, names = [], [], []
@@ -562,7 +573,7 @@ def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], coun
                     table = dict(zip(map(ord, src), dst)) if src else shared.get(base, {})
                     rough = read_symbols(symbols(obs, base), cls, table)
                     better = log_likelihood(rough, model) > clean
-                    plain = filled(rough, cls, model, letters) if better else obs
+                    plain = filled(rough, cls, model, letters) if better and fill else rough
                 else:
                     plain = obs.translate(dict(zip(map(ord, src), dst)))
                     if enc:
@@ -581,7 +592,7 @@ def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], coun
 
 def affected(df: DataFrame, id_col: str, source_col: str, fields: list[str], counts: np.ndarray | None = None) -> DataFrame:
     """Distinct (rid, field) of the fields that hold a wrongly decoded stretch."""
-    return decided(df, id_col, source_col, fields, counts).select("rid", "field").distinct()
+    return decided(df, id_col, source_col, fields, counts, fill=False).select("rid", "field").distinct()
 
 
 def _letter_table(counts: np.ndarray) -> dict[bytes, list[tuple[str, int]]]:
