@@ -54,8 +54,8 @@ def add_counts(total: np.ndarray, texts: list[str], encodings: tuple[str, ...])
     if not texts:
         return
     c = codes("\x00".join(texts))
-    total[:SIZE] += np.bincount(char_bucket(c).astype(np.int64), minlength=SIZE)
-    total[:SIZE] += np.bincount(pair_bucket(c[:-1], c[1:]).astype(np.int64), minlength=SIZE)
+    total[:SIZE] += np.bincount(char_bucket(c).view(np.int64), minlength=SIZE)
+    total[:SIZE] += np.bincount(pair_bucket(c[:-1], c[1:]).view(np.int64), minlength=SIZE)
     whole = "\n".join(texts) if encodings else ""
     for i, enc in enumerate(encodings):
         raw = np.frombuffer(whole.encode(enc, "ignore"), dtype=np.uint8).astype(np.int64)

@@ -326,13 +326,12 @@ def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(seen.values(), pa.int64())], names=["source", "cls", "x", "y", "n"])
 
 
-def _counted(x: list[str], y: list[str], n: list[int]) -> tuple[str, np.ndarray]:
-    """The symbols in order, and the matrix of their pair counts."""
-    syms = "".join(sorted({*x, *y}))
-    at = {s: i for i, s in enumerate(syms)}
+def _counted(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[str, np.ndarray]:
+    """The symbols in order, and the matrix of their pair counts; x and y are code points."""
+    syms = np.unique(np.concatenate([x, y]))
     m = np.zeros((len(syms), len(syms)))
-    np.add.at(m, ([at[s] for s in x], [at[s] for s in y]), n)
-    return syms, m
+    np.add.at(m, (np.searchsorted(syms, x), np.searchsorted(syms, y)), n)
+    return "".join(map(chr, syms.tolist())), m
 
 
 def byte_bigrams(counts: np.ndarray, enc: str) -> np.ndarray:
@@ -414,20 +413,28 @@ def learn_cipher(syms: str, m: np.ndarray, counts: np.ndarray, alphabets: list)
     return best[1]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, list, list, list]]:
-    """Runs of one (source, cls) in sorted pair rows."""
-    key, x, y, n = None, [], [], []
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of one (source, cls) in sorted pair rows; symbols as code points."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(parts: list[pa.RecordBatch]) -> tuple[str, str, np.ndarray, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(parts)
+        at = lambda k: lm.codes("".join(t.column(k).to_pylist()))
+        return t.column(0)[0].as_py(), t.column(1)[0].as_py(), at(2), at(3), t.column(4).to_numpy()
+
     for b in batches:
-        for s, c, p, q, k in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if (s, c) != key:
-                if key:
-                    yield (*key, x, y, n)
-                key, x, y, n = (s, c), [], [], []
-            x.append(p)
-            y.append(q)
-            n.append(k)
-    if key:
-        yield (*key, x, y, n)
+        if not b.num_rows:
+            continue
+        source, cls = (b.column(k).dictionary_encode().indices.to_numpy() for k in (0, 1))
+        cuts = [0, *(np.flatnonzero((source[1:] != source[:-1]) | (cls[1:] != cls[:-1])) + 1).tolist(), b.num_rows]
+        for a, z in zip(cuts, cuts[1:]):
+            part = b.slice(a, z - a)
+            if held and (held[-1].column(0)[0] != part.column(0)[0] or held[-1].column(1)[0] != part.column(1)[0]):
+                yield joined(held)
+                held = []
+            held.append(part)
+    if held:
+        yield joined(held)
 
 
 _TABLE = "source string, cls string, enc string, src string, dst string"
@@ -445,7 +452,7 @@ def learn_tables(stretches: DataFrame, counts: np.ndarray) -> tuple[dict[str, tu
     mean: dict[str, float] = {}
     everywhere = pairs.where("cls <> ''").groupBy("cls", "x", "y").agg(F.sum("n").alias("n")).toPandas()
     for cls, g in everywhere.groupby("cls"):
-        syms, m = _counted(g["x"].tolist(), g["y"].tolist(), g["n"].tolist())
+        syms, m = _counted(lm.codes("".join(g["x"])), lm.codes("".join(g["y"])), g["n"].to_numpy())
         pooled[cls] = (syms, learn_page(syms, m, cls, counts))
         mean[cls] = float((m * np.log(_joint(pooled[cls][1], byte_bigrams(counts, _SWAP[cls][2][0])))).sum() / max(1.0, m.sum()))
 
@@ -453,17 +460,18 @@ def learn_tables(stretches: DataFrame, counts: np.ndarray) -> tuple[dict[str, tu
         alphabets = _alphabets(counts)
         bigrams = {c: byte_bigrams(counts, _SWAP[c][2][0]) for c in pooled}
         log = {c: np.log(_joint(t[1], bigrams[c])) for c, t in pooled.items()}
-        place = {c: {s: i for i, s in enumerate(t[0])} for c, t in pooled.items()}
+        place = {c: lm.codes(t[0]) for c, t in pooled.items()}
         out = []
         for source, cls, x, y, n in _groups(batches):
             if not cls:
-                found = learn_cipher(*_counted(x, y, n), counts, alphabets)
+                syms, m = _counted(x, y, n)
+                found = learn_cipher(syms, m, counts, alphabets)
                 if found:
-                    out.append((source, cls, found[0], "".join(sorted({*x, *y})), found[1]))
+                    out.append((source, cls, found[0], syms, found[1]))
                 continue
             at = place[cls]
-            shared = float(np.dot(log[cls][[at[s] for s in x], [at[s] for s in y]], n))
-            if mean[cls] * sum(n) - shared > OWN_COST:  # as the pairs of all sources fit, there is something to gain
+            shared = float(np.dot(log[cls][np.searchsorted(at, x), np.searchsorted(at, y)], n))
+            if mean[cls] * n.sum() - shared > OWN_COST:  # as the pairs of all sources fit, there is something to gain
                 syms, m = _counted(x, y, n)
                 table = dict(zip(map(ord, pooled[cls][0]), pooled[cls][1]))
                 own = learn_page(syms, m, cls, counts, table)
@@ -554,9 +562,13 @@ def decided(df: DataFrame, id_col: str, source_col: str, fields: list[str], coun
     every = materialise(found)
     unknown = every.where("ll is null").select("rid", "source", "field", "start", "stop", "obs", F.lit("").alias("cls"), F.lit(0.0).alias("clean"))
     asked = materialise(classes(every.where("ll is not null")).unionByName(unknown))
-    rare = [c for c in CLASSES if c in _SWAP and _SWAP[c][2][0] in RARE]
-    if asked.where(F.col("cls").isin(rare)).take(1):
-        counts = np.concatenate([counts, lm.count_corpus(df, fields[:1], RARE)[lm.SIZE :]])
+    shown = {_SWAP[r[0]][2][0] for r in asked.select("cls").distinct().collect() if r[0] in _SWAP}  # at most the classes
+    rare = tuple(e for e in RARE if e in shown)
+    if rare:
+        counts = np.concatenate([counts, np.zeros(len(RARE) << 16, dtype=np.int64)])
+        extra = lm.count_corpus(df, fields[:1], rare)[lm.SIZE :].reshape(len(rare), -1)
+        for e, row in zip(rare, extra):
+            counts[lm.SIZE + ((*TRUE, *RARE).index(e) << 16) :][: 1 << 16] = row
     pooled, own = learn_tables(asked, counts)
     tabled = asked.withColumn("base", F.regexp_replace("cls", "-twice$", "")).join(small(own.withColumnRenamed("cls", "base")), ["source", "base"], "left").where("cls <> '' or src is not null")
 

@@ -65,10 +65,12 @@ _PAGE_BESIDE = re.compile(rf"^\s*(?:(?P<h1>\S.*?)(?:\s+{_PAGE_SHAPE}|\s*\|\s+{_D
 _PAGE_MISREAD = re.compile(r"(?:第|共|[Pp][ao]g[ec]|\s[o0]f)\s*\d*[lOОISBZ|!]+\d*(?!\w)|\d[lOОISBZ]|[lOОISBZ]\d|(?<!\w)[lOОISBZ]+\s*/\s*\d|\d\s*/\s*[lOОISBZ]+(?!\w)")
 _UNSEEN = {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)} | {c: " " for c in (0xA0, 0x2007, 0x2009, 0x202F, 0x3000)}
 _UNSEEN_CHAR = re.compile("[\u00a0\u00ad\u2007\u2009\u200b-\u200f\u202f\u2060\u3000\ufeff]")
-#: A page number leaves one of these at an end of the line.
-_NUMBER_ENDS = re.compile(r"^\s*[—–\-·•~第P\dlOISBZivxc|!]|[—–\-·•~页贝\dlOОISBZivxc|!]\s*$")
+#: A page number leaves one of these at the start or the end of the line.
+_NUMBER_FIRST, _NUMBER_LAST = frozenset("—–-·•~第P0123456789lOISBZivxc|!"), frozenset("—–-·•~页贝0123456789lOОISBZivxc|!")
+#: A digit beside what it is misread as; without it no number is misread.
+_NEAR_DIGIT = re.compile(r"\d\.?[lOISBZ|!]|[lOISBZ|!]\.?\d")
 _HEADING = re.compile(r"^\s*(?:第\s*[一二三四五六七八九十百零〇0-9lO]+\s*[章节条篇]|\d+(?:\.\d+)*[)）.、\s]|[|【（(□■●◆▲·•*①-⑳])")
-_SENTENCE_END = re.compile(r"[。；！？，、;!?]\s*$|[a-z]{2}[.,;]\s*$")
+_SENTENCE_MARKS = frozenset("。；！？，、;!?")
 _HAN_GAP = re.compile("(?<=[一-鿿，。；：！？、（）])[ \n]+(?=[一-鿿，。；：！？、（）])")
 _M21 = (1 << 21) - 1
 
@@ -297,9 +299,16 @@ def edge_lines(text: str) -> list[tuple[int, str]]:
     return [(i, lines[i].translate(_UNSEEN) if _UNSEEN_CHAR.search(lines[i]) else lines[i]) for i in sorted({*first, *last})]
 
 
+def ends_sentence(line: str) -> bool:
+    """Whether a line ends in a mark of a sentence, a point or comma only after two letters."""
+    t = line.rstrip()
+    return t[-1:] in _SENTENCE_MARKS if t[-1:] not in (".", ",") else len(t) > 2 and t[-2].isascii() and t[-2].islower() and t[-3].isascii() and t[-3].islower()
+
+
 def without_page_number(line: str) -> tuple[str, bool]:
     """The line without a printed page number, and whether it had one."""
-    if not _NUMBER_ENDS.search(line):
+    bare = line.strip()
+    if not bare or bare[0] not in _NUMBER_FIRST and bare[-1] not in _NUMBER_LAST:
         return line, False
     if _PAGE_ALONE.match(line):
         return "", True
@@ -328,13 +337,13 @@ def observe(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_
                         out.append((i, at, "page_number", "", "", 1))
                         if _PAGE_MISREAD.search(line):
                             out.append((i, at, "number", "", "", 1))
-                    if len(rest.strip()) >= 4 and not _HEADING.match(rest) and not _SENTENCE_END.search(rest):
+                    if len(rest.strip()) >= 4 and not ends_sentence(rest) and not _HEADING.match(rest):
                         out.append((i, at, "line", rest.strip(), "", int(prose)))
                 if not prose:
                     continue
                 if _MAYBE_BREAK.search(text) and any((m[1] + "-" + m[2]) not in solid for m in _BREAK.finditer(text)):
                     out.append((i, at, "hyphen", "", "", 1))
-                if _NUMBER.search(text):
+                if _NEAR_DIGIT.search(text) and _NUMBER.search(text):
                     out.append((i, at, "number", "", "", 1))
                 out += [(i, at, "word", w, "", 1) for w in set(_TOKEN.findall(joined(text))) if w not in solid and len(w) >= 4]
                 proses.append((i, at, text))
@@ -406,13 +415,13 @@ def restored(pages: DataFrame, id_col: str, text_col: str, forms: DataFrame, pai
 
     marked = np.zeros(1 << _BITS, dtype=bool)
     marked[best.where(better).select("tri").mapInArrow(buckets, "bucket bigint").distinct().toArrow()["bucket"].to_numpy()] = True  # at most 2^_BITS rows
-    packed, true = np.packbits(marked), _true_codes(pairs)
+    packed, true, confused = np.packbits(marked), _true_codes(pairs), frozenset(a for a, _ in pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.unpackbits(packed).astype(bool)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            flat = [_HAN_GAP.sub("", t) for t in texts]
+            texts = [t if t and not confused.isdisjoint(t) else "" for t in b.column(1).to_pylist()]
+            flat = [_HAN_GAP.sub("", t) if t else "" for t in texts]
             ends = np.cumsum([len(t) + 3 for t in flat])
             c = np.concatenate([[0, 0], lm.codes("\x00\x00\x00".join(flat) + "\x00\x00\x00").astype(np.int64), [0, 0]])
             at = np.flatnonzero(true[np.minimum(c, 0xFFFF)])
@@ -427,7 +436,7 @@ def restored(pages: DataFrame, id_col: str, text_col: str, forms: DataFrame, pai
             k, j = np.nonzero(whole[:, odd])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(page[j])), pa.array(at[odd[j]]), pa.array(k.astype(np.int32)), pa.array(tri[k, odd[j]])], names=["rid", "place", "k", "tri"])
 
-    asked = pages.where(F.col(text_col).rlike("[" + "".join(a for a, _ in pairs) + "]")).select(F.col(id_col), F.col(text_col))
+    asked = pages.select(F.col(id_col), F.col(text_col))
     # The place is one in its batch; a page stands in one batch only.
     votes = asked.mapInArrow(run, f"rid {id_type}, place bigint, k int, tri bigint").join(best, "tri")
     own = better & F.expr("shiftright(mask, k) & 1 = 1")
