@@ -185,12 +185,20 @@ class Contexts:
         c = lm.codes("\x00\x00\x00".join(flat) + "\x00\x00\x00").astype(np.int64)
         pad = np.concatenate([[0, 0], c, [0, 0]])
         p2, p1, c0, n1, n2 = pad[:-4], pad[1:-3], pad[2:-2], pad[3:-1], pad[4:]
-        left, mid, right = self._look("left", p2 << 21 | p1), self._look("mid", p1 << 21 | n1), self._look("right", n1 << 21 | n2)
+        # Where one context expects the character that stands there, the others needn't be looked up.
+        at = np.flatnonzero((c0 >= 0x4E00) & (c0 <= 0x9FFF))
+        mid = self._look("mid", p1[at] << 21 | n1[at])
+        keep = mid != c0[at]
+        at, mid = at[keep], mid[keep]
+        right = self._look("right", n1[at] << 21 | n2[at])
+        keep = right != c0[at]
+        at, mid, right = at[keep], mid[keep], right[keep]
+        left = self._look("left", p2[at] << 21 | p1[at])
         likely = np.where(mid > 0, mid, np.where(right > 0, right, left))
-        odd = (c0 >= 0x4E00) & (c0 <= 0x9FFF) & (likely >= 0x4E00) & (likely <= 0x9FFF) & (left != c0) & (mid != c0) & (right != c0)
-        at = np.flatnonzero(odd)
-        votes = (left[at] == likely[at]).astype(int) + (mid[at] == likely[at]) + (right[at] == likely[at])
-        yield from zip(np.searchsorted(ends, at, "right").tolist(), c0[at].tolist(), likely[at].tolist(), votes.tolist())
+        keep = (left != c0[at]) & (likely >= 0x4E00) & (likely <= 0x9FFF)
+        at, mid, right, left, likely = at[keep], mid[keep], right[keep], left[keep], likely[keep]
+        votes = (left == likely).astype(int) + (mid == likely) + (right == likely)
+        yield from zip(np.searchsorted(ends, at, "right").tolist(), c0[at].tolist(), likely.tolist(), votes.tolist())
 
 
 class Trie:
@@ -308,7 +316,7 @@ def ends_sentence(line: str) -> bool:
 def without_page_number(line: str) -> tuple[str, bool]:
     """The line without a printed page number, and whether it had one."""
     bare = line.strip()
-    if not bare or bare[0] not in _NUMBER_FIRST and bare[-1] not in _NUMBER_LAST:
+    if not bare or bare[0] not in _NUMBER_FIRST and bare[-1] not in _NUMBER_LAST and not bare[0].isdigit() and not bare[-1].isdigit():
         return line, False
     if _PAGE_ALONE.match(line):
         return "", True
