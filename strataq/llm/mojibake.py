@@ -247,9 +247,9 @@ def scored_parts(text: str, model: lm.Bigrams) -> Iterator[tuple[int, int, list[
 
 
 def _halves(text: str, a: int, z: int, model: lm.Bigrams) -> Iterator[tuple[int, int, list[float] | None]]:
-    """Parts of a stretch that changes its encoding somewhere inside one script, halved down to 12 characters."""
+    """Parts of a stretch that changes its encoding somewhere inside one script, halved down to 24 characters."""
     ll = class_scores(text[a:z], model)
-    if ll or z - a < 24:
+    if ll or z - a < 48:
         yield a, z, ll
     else:
         yield from _halves(text, a, (a + z) // 2, model)
@@ -401,6 +401,10 @@ def learn_cipher(syms: str, m: np.ndarray, counts: np.ndarray, alphabets: list)
         letters, bigrams = [letters[k] for k in seen], bigrams[np.ix_(seen, seen)]
         place = {c: k for k, c in enumerate(letters)}
         pinned = np.array([place[s] if s < "\x80" else -1 for s in syms])
+        # A short run shows whether the language could know the pairs at all.
+        table = cipher.learn(m, bigrams, pinned, len(held), rounds=20, restarts=1)[0].argmax(0)
+        if (m * (bigrams[table][:, table] > 0)).sum() < 0.6 * m.sum():
+            continue
         post, fit = cipher.learn(m, bigrams, pinned, len(held), rounds=60, restarts=4)
         table = post.argmax(0)
         known = (m * (bigrams[table][:, table] > 0)).sum() / max(1.0, m.sum())
