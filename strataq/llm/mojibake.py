@@ -419,26 +419,29 @@ def learn_cipher(syms: str, m: np.ndarray, counts: np.ndarray, alphabets: list)
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of one (source, cls) in sorted pair rows; symbols as code points."""
-    held: list[pa.RecordBatch] = []
+    key: tuple[str, str] | None = None
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def joined(parts: list[pa.RecordBatch]) -> tuple[str, str, np.ndarray, np.ndarray, np.ndarray]:
-        t = pa.Table.from_batches(parts)
-        at = lambda k: lm.codes("".join(t.column(k).to_pylist()))
-        return t.column(0)[0].as_py(), t.column(1)[0].as_py(), at(2), at(3), t.column(4).to_numpy()
+    def joined() -> tuple[str, str, np.ndarray, np.ndarray, np.ndarray]:
+        x, y, n = held[0] if len(held) == 1 else (np.concatenate(c) for c in zip(*held))
+        return *key, x, y, n
 
     for b in batches:
         if not b.num_rows:
             continue
-        source, cls = (b.column(k).dictionary_encode().indices.to_numpy() for k in (0, 1))
-        cuts = [0, *(np.flatnonzero((source[1:] != source[:-1]) | (cls[1:] != cls[:-1])) + 1).tolist(), b.num_rows]
+        source, cls = b.column(0).dictionary_encode(), b.column(1).dictionary_encode()
+        s, c = source.indices.to_numpy(), cls.indices.to_numpy()
+        names, kinds = source.dictionary.to_pylist(), cls.dictionary.to_pylist()
+        x, y, n = lm.codes("".join(b.column(2).to_pylist())), lm.codes("".join(b.column(3).to_pylist())), b.column(4).to_numpy()
+        cuts = [0, *(np.flatnonzero((s[1:] != s[:-1]) | (c[1:] != c[:-1])) + 1).tolist(), b.num_rows]
         for a, z in zip(cuts, cuts[1:]):
-            part = b.slice(a, z - a)
-            if held and (held[-1].column(0)[0] != part.column(0)[0] or held[-1].column(1)[0] != part.column(1)[0]):
-                yield joined(held)
-                held = []
-            held.append(part)
+            if (names[s[a]], kinds[c[a]]) != key:
+                if held:
+                    yield joined()
+                key, held = (names[s[a]], kinds[c[a]]), []
+            held.append((x[a:z], y[a:z], n[a:z]))
     if held:
-        yield joined(held)
+        yield joined()
 
 
 _TABLE = "source string, cls string, enc string, src string, dst string"
