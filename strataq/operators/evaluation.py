@@ -105,9 +105,9 @@ def percent(c: Column, digits: int = 1) -> Column:
 
 
 def delta_text(base: Column, new: Column) -> Column:
-    """0.500 -> 0.625  (Δ+0.125 ↑); an arrow from 1e-9 on."""
+    """0.500 -> 0.625  (Δ+0.125 ↑); an arrow from 1e-9 on; null if either is."""
     d = new - base
-    return F.format_string("%.3f -> %.3f  (Δ%+.3f %s)", base, new, d, F.when(d > 1e-9, "↑").when(d < -1e-9, "↓").otherwise("="))
+    return F.when(d.isNotNull(), F.format_string("%.3f -> %.3f  (Δ%+.3f %s)", base, new, d, F.when(d > 1e-9, "↑").when(d < -1e-9, "↓").otherwise("=")))
 
 
 def is_daily_limit(messages: Column) -> Column:
