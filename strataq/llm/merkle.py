@@ -103,7 +103,7 @@ def copy_pairs(df: DataFrame, id_col: str, content_col: str) -> DataFrame:
     good = ids.join(hinted, "digest") if hinted is not table else salted_join(ids, table, "digest", F.col("rid"))
     pairs = good.where("rid <> keep_id").select("keep_id", F.col("rid").alias("copy_id"))
     # Groups of one digest but several structures: as good as never, so their structures may be keys.
-    mixed = hashed.join(checked.where("not same").select("digest"), "digest")
+    mixed = hashed.join(small(checked.where("not same").select("digest")), "digest")
     first = mixed.groupBy("digest", "canon").agg(F.min("rid").alias("keep_id"))
     again = mixed.join(first, ["digest", "canon"]).where("rid <> keep_id").select("keep_id", F.col("rid").alias("copy_id"))
     return pairs.unionByName(again).distinct()
