@@ -1,12 +1,13 @@
 """Problem 5: statistics of each document's text, and whether it is prose, a list, a table or junk.
 
 Statistics are counted per document (numpy and compiled patterns in Arrow batches) with the share of common character
-pairs taken from the whole corpus. Exact ranks per language come from one range-partitioned sort of the distinct
-values with their counts: each partition sums up its values, offsets are the totals of the partitions before it. A
-profile of a kind names statistics and, for each, a level; the level's quantile is the share of the language's pages
-at least as unusual. A page meets a profile if none of its tails is larger than those of the levels; its outlier score
-for the profile is then the -ln of the smallest tail of what sets the profile apart, and of all profiles it meets the one with the highest score gives
-the kind. Prose is what meets none. Only pages that meet a profile are looked up; ranks count all pages.
+pairs taken from the whole corpus. Exact ranks per language come from one range-partitioned sort of every page's values
+of every statistic: each partition numbers its rows, offsets are the totals of the partitions before it. A profile of a
+kind names statistics and, for each, a level; the level's quantile is the share of the language's pages at least as
+unusual. A page meets a profile if none of its tails is larger than those of the levels (which is so if no value is more
+usual than its level). Its outlier score for a profile combines the tails of all that sets the profile apart by their
+geometric mean, as a mean of -ln; of all profiles it meets the one with the highest score gives the kind. Prose is what
+meets none.
 
 Defined results: null and blank texts have no statistics and no kind; ties share one rank (the tail includes them);
 a language with few documents has exact ranks too, over those documents; of equal scores the first profile counts.
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataq.common import materialise, salted_join, small
+from strataq.common import materialise
 from strataq.llm import lm
 from strataq.llm.mojibake import USUAL
 
@@ -164,78 +165,111 @@ def measure(df: DataFrame, id_col: str, text_col: str, counts: np.ndarray | None
     return df.select(F.col(id_col).alias("rid"), text_col).mapInArrow(run, f"rid {id_type}, lang string, " + ", ".join(f"{s} double" for s in STATS))
 
 
+#: The most usual value a bounded statistic can have, with its sign: all documents are at least as unusual, so its tail is 1.
+_BOUND = {("variety", -1): -1.0, ("odd_share", 1): 0.0, ("common_share", -1): -1.0, ("symbol_ratio", 1): 0.0, ("item_share", 1): 0.0, ("cell_share", 1): 0.0, ("letter_share", -1): -1.0, ("layout", -1): -1.0}
+
+
 def _levels() -> dict[tuple[str, int], float]:
-    """(statistic, sign): the least unusual level of any profile, as value * sign."""
-    out: dict[tuple[str, int], float] = {}
-    for _, stats in PROFILES.values():
-        for stat, (sign, level) in stats.items():
-            out[stat, sign] = min(out.get((stat, sign), np.inf), sign * level)
-    return out
+    """(statistic, sign) of all profiles: the least value * sign that is sorted; below lie only values whose tail is 1."""
+    return {(s, sign): float(np.nextafter(_BOUND[s, sign], np.inf)) if (s, sign) in _BOUND else -np.inf for _, stats in PROFILES.values() for s, (sign, _) in stats.items()}
 
 
 def _name(stat: str, sign: int) -> str:
     return ("+" if sign > 0 else "-") + stat
 
 
-def _signed(stat: str, sign: int) -> Column:
-    return F.struct(F.lit(_name(stat, sign)).alias("stat"), (F.col(stat) * sign + 0.0).alias("value"))  # no negative zero
+def _under(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to rows in order of stat, lang and value how many rows of the partition with that stat and lang have a smaller value."""
+    key, value, count, under = None, 0.0, 0, 0  # of the last row; rows of its key so far, and those below its value
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        lang = b.column(1).dictionary_encode()
+        stat, code, v = b.column(0).to_numpy(), lang.indices.to_numpy(), b.column(2).to_numpy()
+        names = lang.dictionary.to_pylist()
+        new_key = np.append(True, (stat[1:] != stat[:-1]) | (code[1:] != code[:-1]))
+        new_run = new_key | np.append(True, v[1:] != v[:-1])
+        at = np.arange(n)
+        out = np.maximum.accumulate(np.where(new_run, at, 0)) - np.maximum.accumulate(np.where(new_key, at, 0))
+        if (stat[0], names[code[0]]) == key:  # the key of the batch before goes on
+            same = np.cumsum(new_key) == 1
+            out[same] += count
+            if v[0] == value:
+                out[np.cumsum(new_run) == 1] = under
+        else:
+            count = 0
+        start = int(np.flatnonzero(new_key)[-1])
+        count, key, value, under = (count if start == 0 else 0) + n - start, (stat[-1], names[code[-1]]), v[-1], int(out[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "under"])
+
+
+def ranked(stats: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(stat, lang, value, the columns carried, tail) of every document and statistic: the exact share of the language's documents at least as unusual.
+
+    stat is the number in _levels(), value is multiplied by the sign. One sort by ranges of (stat, lang, value, rid), so
+    that a value that most documents share is spread over partitions; offsets are the totals of the partitions before,
+    and a value that runs over several partitions starts where it does in the first of them.
+    """
+    each = F.array_compact(F.array(*[F.when(F.col(s) * sign >= least, F.struct(F.lit(i).alias("stat"), (F.col(s) * sign + 0.0).alias("value"))) for i, ((s, sign), least) in enumerate(_levels().items())]))  # no negative zero
+    rows = stats.select("lang", "rid", *carried, F.explode(each).alias("x")).select("x.stat", "lang", "x.value", "rid", *carried)
+    order = ["stat", "lang", "value", "rid"]
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sorted_rows.schema.fields)
+    placed = materialise(sorted_rows.mapInArrow(_under, shape + ", under bigint"))
+    # A row for each statistic, language and partition.
+    edges = materialise(placed.groupBy("stat", "lang", "part").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.max("under").alias("hi_under")))
+    group = W.partitionBy("stat", "lang")
+    edges = edges.withColumn("before", F.sum("n").over(group.orderBy("part")) - F.col("n")).withColumn("of", F.sum("n").over(group))
+    ends = edges.select("stat", "lang", F.col("hi").alias("lo"), F.col("part").alias("earlier"), (F.col("before") + F.col("hi_under")).alias("start"))
+    spans = edges.join(ends, ["stat", "lang", "lo"]).where("earlier < part").groupBy("stat", "lang", "part").agg(F.min("start").alias("start"))
+    docs = stats.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))  # one row a language
+    known = edges.select("stat", "lang", "part", "lo", "before", "of").join(F.broadcast(spans), ["stat", "lang", "part"], "left").join(F.broadcast(docs), "lang")
+    below = F.when(F.col("value") == F.col("lo"), F.coalesce("start", "before")).otherwise(F.col("before") + F.col("under"))
+    return placed.join(F.broadcast(known), ["stat", "lang", "part"]).select("stat", "lang", "value", "rid", *carried, ((F.col("of") - below) / F.col("docs")).alias("tail"))
 
 
 def tail_table(stats: DataFrame) -> DataFrame:
-    """(stat, lang, value, tail): exact share of the language's documents at least as unusual as value, from the levels on.
+    """(stat, lang, value, tail): exact share of the language's documents at least as unusual as value, for every value there is.
 
-    stat has its sign before it, and value is multiplied by the sign.
+    stat has its sign before it, and value is multiplied by the sign. The most usual value possible has no row: its tail is 1.
     """
-    each = F.array_compact(F.array(*[F.when(F.col(s) * sign >= least, _signed(s, sign)) for (s, sign), least in _levels().items()]))
-    counted = stats.select("lang", F.explode(each).alias("x")).groupBy("x.stat", "lang", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    # The most unusual first: what comes before is at least as unusual.
-    order = ["stat", "lang", F.col("value").desc()]
-    placed = materialise(counted.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
-    totals = placed.groupBy("stat", "lang", "part").agg(F.sum("n").alias("total"))  # partitions x statistics x languages
-    offsets = totals.select("stat", "lang", "part", (F.sum("total").over(W.partitionBy("stat", "lang").orderBy("part")) - F.col("total")).alias("before"))
+    names = F.array(*[F.lit(_name(s, sign)) for s, sign in _levels()])
+    return ranked(stats).select(F.get(names, F.col("stat")).alias("stat"), "lang", "value", "tail").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, total = None, 0
-        for b in batches:
-            out = []
-            for key, n in zip(zip(*(b.column(i).to_pylist() for i in (0, 1, 4))), b.column(3).to_pylist()):
-                total = n if key != last else total + n
-                last = key
-                out.append(total)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "upto"])
-
-    local = placed.mapInArrow(run, "stat string, lang string, value double, n bigint, part int, upto bigint")
-    docs = stats.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))  # one row a language
-    ranked = local.join(F.broadcast(offsets), ["stat", "lang", "part"]).join(F.broadcast(docs), "lang")
-    return ranked.select("stat", "lang", "value", ((F.col("before") + F.col("upto")) / F.col("docs")).alias("tail"))
 
+def scores(stats: DataFrame, every: bool = False) -> DataFrame:
+    """(rid, score_list, score_table, score_junk, kind) of the documents that meet a profile, or of all; stats is materialised.
 
-def scores(stats: DataFrame) -> DataFrame:
-    """(rid, score_list, score_table, score_junk, kind) of the documents that meet a profile; stats is materialised."""
-    tails = materialise(tail_table(stats))
-    met = []
-    for name, (_, needs) in PROFILES.items():
+    A profile's score is the mean of -ln tail over the statistics that set it apart (the geometric mean of its tails, so
+    that none is favoured for having more of them); a kind's is the best of its profiles. Of the profiles a document
+    meets, the one with the best score gives the kind.
+    """
+    number = {key: i for i, key in enumerate(_levels())}
+    met = F.lit(0)
+    for p, (_, needs) in enumerate(PROFILES.values()):
         ok = F.lit(True)
         for stat, (sign, level) in needs.items():
             ok = ok & (F.col(stat) * sign >= sign * level)
-        met.append(F.when(ok, F.array(*[F.struct(F.lit(name).alias("profile"), _signed(s, sign).alias("at")) for s, (sign, _) in needs.items() if s != GATE])))
-    asked = stats.select("rid", "lang", F.explode(F.flatten(F.array_compact(F.array(*met)))).alias("x")).select("rid", "lang", "x.profile", "x.at.*")
-    # Half of all pages may share one value (no sentence, say): such keys are salted unless the table is small.
-    keyed, table = asked.withColumn("k", F.concat_ws("|", "stat", "lang", F.col("value").cast("string"))), tails.select(F.concat_ws("|", "stat", "lang", F.col("value").cast("string")).alias("k"), (-F.log("tail")).alias("u"))
-    hinted = small(table)
-    scored = keyed.join(hinted, "k") if hinted is not table else salted_join(keyed, table, "k", F.col("rid"))
-    best = scored.groupBy("rid", "profile").agg(F.max("u").alias("score"))
-    kind = F.coalesce(*[F.when(F.col("profile") == p, F.lit(k)) for p, (k, _) in PROFILES.items()])
-    order = F.coalesce(*[F.when(F.col("profile") == p, F.lit(-i)) for i, p in enumerate(PROFILES)])
-    named = best.select("rid", "score", kind.alias("kind"), order.alias("no"))
-    columns = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(f"score_{k}") for k in KINDS]
-    return named.groupBy("rid").agg(*columns, F.max_by("kind", F.struct("score", "no")).alias("kind"))
+        met = met + F.when(ok, 1 << p).otherwise(0)
+    marked = stats.withColumn("met", met)
+    tails = ranked(marked, ("met",))
+    if not every:  # the ranks count all documents; those that meet no profile have no kind
+        tails = tails.where("met > 0")
+    u, score = -F.log("tail"), {}
+    for p, (name, (_, needs)) in enumerate(PROFILES.items()):
+        own = [number[s, sign] for s, (sign, _) in needs.items() if s != GATE]
+        score[name] = (F.sum(F.when(F.col("stat").isin(own), u).otherwise(0.0)) / len(own)).alias(f"p{p}")
+    each = tails.groupBy("rid", "met").agg(*score.values())
+    best = F.array_max(F.array(*[F.when(F.col("met").bitwiseAND(1 << p) > 0, F.struct(F.col(f"p{p}").alias("score"), F.lit(-p).alias("no"), F.lit(kind).alias("kind"))) for p, (kind, _) in enumerate(PROFILES.values())]))
+    of_kind = [F.greatest(F.lit(0.0), *[F.col(f"p{p}") for p, (kind, _) in enumerate(PROFILES.values()) if kind == k]).alias(f"score_{k}") for k in KINDS]
+    return each.select("rid", *of_kind, best["kind"].alias("kind"))
 
 
 def kinds(df: DataFrame, id_col: str, text_col: str, counts: np.ndarray | None = None) -> DataFrame:
-    """(rid, lang, statistics, score_list, score_table, score_junk, kind) of every non-blank text; prose has no score."""
+    """(rid, lang, statistics, score_list, score_table, score_junk, kind) of every non-blank text; a page without an unusual value has scores of 0."""
     stats = materialise(measure(df, id_col, text_col, counts))
-    joined = stats.join(scores(stats), "rid", "left")
+    joined = stats.join(scores(stats, every=True), "rid", "left")
     return joined.select(*stats.columns, *[F.coalesce(f"score_{k}", F.lit(0.0)).alias(f"score_{k}") for k in KINDS], F.coalesce("kind", F.lit("prose")).alias("kind"))
 
 

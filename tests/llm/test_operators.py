@@ -1,5 +1,6 @@
 """The ten operators: edge cases (nulls, empty, very long, ties, repeated rows, empty tables, extra columns) and round trips."""
 
+import bisect
 import difflib
 import os
 import random
@@ -263,6 +264,40 @@ def test_scores_choose_among_the_profiles_a_page_meets(spark):
         assert {r["rid"]: r["kind"] for r in quality.scores(spark.createDataFrame(rows, cols)).collect()} == {0: kind}
 
 
+def test_every_value_is_ranked_across_partitions(spark):
+    """Values that no level asks for have exact tails too, and one that most pages share runs over several partitions."""
+    rng = random.Random(5)
+    rows = [(i, rng.choice(("zh", "zh", "en")), *[rng.choice((0.0, 0.0, 0.25, rng.random())) for _ in quality.STATS]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "rid bigint, lang string, " + ", ".join(f"{s} double" for s in quality.STATS))
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows are put into one partition
+    try:
+        got = quality.ranked(df).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
+    want, at = {}, {s: 2 + i for i, s in enumerate(quality.STATS)}
+    for i, ((s, sign), least) in enumerate(quality._levels().items()):
+        for lang in ("zh", "en"):
+            own = sorted(r[at[s]] * sign for r in rows if r[1] == lang)
+            want |= {(i, r[0]): (len(own) - bisect.bisect_left(own, r[at[s]] * sign)) / len(own) for r in rows if r[1] == lang and r[at[s]] * sign >= least}
+    assert {(r["stat"], r["rid"]): r["tail"] for r in got} == pytest.approx(want) and len(got) == len(want)
+    assert {r["value"] for r in quality.tail_table(df).where("stat = '+mean_word'").collect()} == {r[at["mean_word"]] for r in rows}
+
+
+def test_all_tails_of_a_profile_are_combined(spark):
+    """One rare statistic of a profile doesn't outweigh that its other one is usual."""
+    base = dict.fromkeys(quality.STATS, 0.0) | {"common_share": 1.0, "variety": 1.0, "letter_share": 1.0, "sentence_rate": 2.0}
+    both = base | {"sentence_rate": 0.0, "symbol_ratio": 0.5, "cell_share": 1.0, "layout": 1.0, "lead": -0.5}
+    cols = "rid bigint, lang string, " + ", ".join(f"{s} double" for s in quality.STATS)
+    # tails of page 0: symbols 20 of 100; cells 10 of 100 and lead 90 of 100
+    other = lambda i: base | {"symbol_ratio": 0.6 if i < 20 else 0.0, "cell_share": 1.0 if i < 10 else 0.0, "lead": -0.5 if i < 90 else 0.5}
+    rows = [(0, "zh", *both.values())] + [(i, "zh", *other(i).values()) for i in range(1, 100)]
+    df = spark.createDataFrame(rows, cols)
+    (got,) = quality.scores(df).collect()
+    assert got["kind"] == "junk" and got["score_junk"] == pytest.approx(-np.log(0.2)) and got["score_table"] == pytest.approx(-np.log(0.1 * 0.9) / 2)
+    assert {r["rid"]: r["score_junk"] for r in quality.scores(df, every=True).collect()}[5] == pytest.approx(-np.log(0.19))
+
+
 def test_variety_reads_the_whole_text():
     assert quality._variety("".join(chr(0x4E00 + i) for i in range(200)) + "ab" * 500_000) < 0.12
     assert quality._variety("".join(chr(0x4E00 + i % 997) for i in range(5000))) == 1.0
