@@ -72,6 +72,80 @@ def _column_purity(lines: list[str]) -> float:
     return best - whole
 
 
+def flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of the texts, a NUL after each; where each starts, and its length."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    return lm.codes("\x00".join(texts) + "\x00"), np.cumsum(sizes + 1) - sizes - 1, sizes
+
+
+#: Characters of texts that are counted at once.
+BLOCK = 1 << 20
+
+
+def blocks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about BLOCK characters."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= BLOCK:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
+def _members(pattern: re.Pattern) -> np.ndarray:
+    """Which code points below 0x10000 are matched by the pattern of one character; a last False for the others."""
+    out = np.zeros(0x10001, dtype=bool)
+    out[[m.start() for m in pattern.finditer("".join(map(chr, range(0x10000))))]] = True
+    return out
+
+
+_IS_SPACE, _IS_SYMBOL = _members(re.compile(r"\s")), _members(_SYMBOL)
+
+
+def _within(mask: np.ndarray, by: int) -> np.ndarray:
+    """mask moved by so many places to the right, or to the left if negative."""
+    out = np.zeros_like(mask)
+    if by > 0:
+        out[by:] = mask[:-by]
+    else:
+        out[:by] = mask[-by:]
+    return out
+
+
+def _sentences(c: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where sentences end: a full-width mark after five characters without a break, an ASCII mark straight after a word.
+
+    Five with the mark; the ASCII mark comes before a space, a quotation mark, a bracket or the end. Texts as flat() gives them.
+    """
+    wide = (c == 0x3002) | (c == 0xFF01) | (c == 0xFF1F) | (c == 0xFF1B)
+    stop = wide | (c == 10)
+    out = wide.copy()
+    for k in range(1, 5):
+        out &= ~_within(stop, k)
+    lower = (c >= 97) & (c <= 122)
+    end = np.zeros(len(c), dtype=bool)
+    end[starts + sizes] = True
+    after = _IS_SPACE[np.minimum(c, 0x10000)] | (c == 34) | (c == 0x201D) | (c == 41) | (c == 0x2019) | end
+    out |= ((c == 46) | (c == 33) | (c == 63)) & _within(lower, 1) & _within(lower, 2) & _within(after, -1)
+    for k in range(4):  # four characters have to stand before a wide mark
+        at = (starts + k)[sizes > k]
+        out[at] &= ~wide[at]
+    return out
+
+
+def prose_flags(texts: list[str]) -> np.ndarray:
+    """Whether each text has sentences enough, and few unusual characters."""
+    out = []
+    for part in blocks(texts):
+        c, starts, sizes = flat(part)
+        marks = np.add.reduceat(_sentences(c, starts, sizes).astype(np.int64), starts)
+        odd = np.add.reduceat((~_USUAL[np.minimum(c, 0x10000)]).astype(np.int64), starts) - 1  # the NUL after each
+        out.append((sizes > 0) & (marks * 100 >= 0.3 * sizes) & (odd / np.maximum(sizes, 1) <= 0.25))
+    return np.concatenate(out) if out else np.zeros(0, dtype=bool)
+
+
 def _counted(texts: list[str], common: np.ndarray) -> np.ndarray:
     """Per text: Han, kana, Cyrillic, unusual characters; pairs of two characters of words, and how many of them are common."""
     c = lm.codes("\x00".join(texts) + "\x00")

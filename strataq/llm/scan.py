@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strataq.common import materialise, small
 from strataq.llm import lm
-from strataq.llm.quality import _SENTENCE, _USUAL
+from strataq.llm.quality import blocks, prose_flags
 
 #: Entries of context tables need this share of all counts (and an absolute least count).
 SHARE = 2e-6
@@ -47,6 +47,8 @@ RARER = 3
 #: Log of how many times more common the trigrams around a character have to be with the learned pairs put back.
 EVIDENCE = 2.0
 _BITS = 22
+#: Trigrams a worker holds before it counts them.
+HELD = 1 << 21
 
 # What optical recognition takes for what (seen form, true form).
 CONFUSED = (("rn", "m"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("1", "l"), ("!", "i"), ("|", "l"), ("0", "o"), ("c", "e"), ("e", "c"), ("5", "s"), ("8", "b"), ("i", "l"), ("l", "i"), ("h", "b"), ("b", "h"), ("f", "t"), ("n", "u"), ("u", "n"), ("9", "g"), ("6", "b"))
@@ -76,11 +78,7 @@ _M21 = (1 << 21) - 1
 
 
 def is_prose(text: str) -> bool:
-    n = len(text)
-    if not n or len(_SENTENCE.findall(text)) * 100 < 0.3 * n:
-        return False
-    c = lm.codes(text)
-    return float((~_USUAL[np.minimum(c, 0x10000)]).mean()) <= 0.25
+    return bool(prose_flags([text])[0])
 
 
 def _wide(c: np.ndarray) -> np.ndarray:
@@ -113,15 +111,25 @@ def count_forms(pages: DataFrame, text_col: str, encodings: tuple[str, ...] = ()
         words: Counter = Counter()
         keys, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         total = np.zeros(lm.size_of(encodings), dtype=np.int64)
+        held: list[np.ndarray] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            both, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
+            return both, np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+
         for b in batches:
             filled = [t for t in b.column(0).to_pylist() if t]
             lm.add_counts(total, filled, encodings)
-            texts = [t for t in filled if is_prose(t)]
-            for t in texts:
-                words.update(words_of(t))
-            k, n = np.unique(trigram_keys(texts), return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+            for part in blocks([t for t, ok in zip(filled, prose_flags(filled).tolist()) if ok]):
+                for t in part:
+                    words.update(words_of(t))
+                held.append(trigram_keys(part))
+                if sum(map(len, held)) > max(HELD, 2 * len(keys)):
+                    keys, counts = merged()
+        if held:
+            keys, counts = merged()
         at = np.flatnonzero(total)
         for part in ((pa.array(keys), None, None, pa.array(counts)), (None, pa.array(list(words), pa.string()), None, pa.array(list(words.values()), pa.int64())), (None, None, pa.array(at.astype(np.int32)), pa.array(total[at]))):
             yield pa.RecordBatch.from_arrays([pa.nulls(len(part[3]), kind) if x is None else x for x, kind in zip(part, (pa.int64(), pa.string(), pa.int32(), pa.int64()))], names=["tri", "word", "bucket", "n"])
@@ -334,10 +342,10 @@ def observe(pages: DataFrame, id_col: str, source_col: str, page_col: str, text_
             ids, sources, numbers = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
             out: list[tuple] = []
             proses: list[tuple] = []
-            for i, text in enumerate(b.column(3).to_pylist()):
+            texts = [t or "" for t in b.column(3).to_pylist()]
+            for i, (text, prose) in enumerate(zip(texts, prose_flags(texts).tolist())):
                 if not text or text.isspace():
                     continue
-                prose = is_prose(text)
                 at = numbers[i] if numbers[i] is not None else -zlib.crc32(text.encode("utf-8", "replace")) - 1
                 for _, line in edge_lines(text):
                     rest, numbered = without_page_number(line)
@@ -438,7 +446,8 @@ def restored(pages: DataFrame, id_col: str, text_col: str, forms: DataFrame, pai
             whole = np.stack([w[at - k] & w[at - k + 1] & w[at - k + 2] for k in range(3)])
             odd = np.flatnonzero((whole & hit[_bucket(tri)]).any(axis=0))
             page = np.searchsorted(ends, at[odd] - 2, "right")
-            prose = {i: is_prose(texts[i]) for i in set(page.tolist())}
+            asked = np.unique(page).tolist()
+            prose = dict(zip(asked, prose_flags([texts[i] for i in asked]).tolist()))
             keep = np.array([prose[i] for i in page.tolist()], dtype=bool)
             odd, page = odd[keep], page[keep]
             k, j = np.nonzero(whole[:, odd])

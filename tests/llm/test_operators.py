@@ -4,6 +4,7 @@ import bisect
 import difflib
 import os
 import random
+import re
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -298,6 +299,25 @@ def test_all_tails_of_a_profile_are_combined(spark):
     assert {r["rid"]: r["score_junk"] for r in quality.scores(df, every=True).collect()}[5] == pytest.approx(-np.log(0.19))
 
 
+_SENTENCE = re.compile(r"[。！？；](?<=[^\n。！？；]{4}[。！？；])|[.!?](?<=[a-z]{2}[.!?])(?=[\s\"”)’]|\Z)")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab.9。！\n\x00 é中😀\"’|$", min_size=1, max_size=40), min_size=1, max_size=5))
+def test_prose_of_blocks_is_that_of_each_text(texts):
+    odd = [sum(not quality._USUAL[min(ord(c), 0x10000)] for c in t) / len(t) for t in texts]
+    assert quality.prose_flags(texts).tolist() == [len(_SENTENCE.findall(t)) * 100 >= 0.3 * len(t) and o <= 0.25 for t, o in zip(texts, odd)]
+    assert quality.prose_flags([]).tolist() == [] and quality.prose_flags(["", *texts])[1:].tolist() == quality.prose_flags(texts).tolist()
+
+
+def test_large_texts_are_counted_in_blocks(monkeypatch):
+    texts = [PROSE * k for k in (1, 40, 2, 3, 90, 1)]
+    whole = quality.prose_flags(texts).tolist()
+    monkeypatch.setattr(quality, "BLOCK", 1000)
+    parts = list(quality.blocks(texts))
+    assert len(parts) > 2 and [t for p in parts for t in p] == texts and quality.prose_flags(texts).tolist() == whole
+
+
 def test_variety_reads_the_whole_text():
     assert quality._variety("".join(chr(0x4E00 + i) for i in range(200)) + "ab" * 500_000) < 0.12
     assert quality._variety("".join(chr(0x4E00 + i % 997) for i in range(5000))) == 1.0
