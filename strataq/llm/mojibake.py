@@ -143,6 +143,20 @@ def log_likelihood(text: str, model: lm.Bigrams, clean: bool = False) -> float:
 _WIDE = re.compile("[\u0370-\u03ff\u0e00-\u0e7f\u1100-\u11ff\u2460-\uffff]")
 
 
+_PLAUSIBLE = np.ones(0x10001, dtype=bool)
+_PLAUSIBLE[[ord(c) for c in USUAL | _PLAIN]] = False
+_PLAUSIBLE[[*range(0xC0, 0x100), *range(0x410, 0x450), 0x401, 0x451]] = True
+
+
+def plausible(texts: list[str | None]) -> np.ndarray:
+    """Which texts hold a character that every match of TRIGGER needs: an unusual one, an accented or a Cyrillic letter."""
+    sizes = np.fromiter((len(t or "") + 1 for t in texts), dtype=np.int64, count=len(texts))
+    if not len(sizes):
+        return np.zeros(0, dtype=bool)
+    c = lm.codes("\n".join(t or "" for t in texts) + "\n")
+    return np.logical_or.reduceat(_PLAUSIBLE[np.minimum(c, 0x10000)], np.cumsum(sizes) - sizes)
+
+
 def stretches(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of parts worth a try, between marks that garbling can't leave: any trigger but a few rare Han."""
     if not TRIGGER.search(text):
@@ -175,7 +189,8 @@ for _c in USUAL:
     _GAIN[ord(_c)] = _c > "\x7f" and _c not in "①②③④⑤⑥⑦⑧⑨⑩●■◆▲□※○★"
 #: Mean log-probability that the gained characters need; typographic marks and accented letters are rare by themselves.
 _GAINED_LOGP, _MARK_LOGP = -8.5, -14.5
-_MARKS = np.array([ord(c) for c in "“”‘’–—…°±²³·•éöüÅÑåäÉÖÜñèà"])
+_MARKS = np.zeros(0x10001, dtype=bool)
+_MARKS[[ord(c) for c in "“”‘’–—…°±²³·•éöüÅÑåäÉÖÜñèà"]] = True
 
 
 def class_scores(obs: str, model: lm.Bigrams) -> list[float] | None:
@@ -197,13 +212,14 @@ def class_scores(obs: str, model: lm.Bigrams) -> list[float] | None:
             out.append(-1e9)
             continue
         c = lm.codes(text)
-        gain = _GAIN[np.minimum(c, 0x10000)]
+        low = np.minimum(c, 0x10000)
+        gain = _GAIN[low]
         n = int(gain.sum())
         if not n or lost > 2 * n:
             out.append(-1e9)
             continue
         s = np.where(c == 0xFFFD, _BAD_LOGP, model.scores(text, _KNOWN))
-        good = text != obs and s[gain].mean() > (_MARK_LOGP if np.isin(c[gain], _MARKS).all() else _GAINED_LOGP)
+        good = text != obs and s[gain].mean() > (_MARK_LOGP if _MARKS[low[gain]].all() else _GAINED_LOGP)
         out.append(float(s.sum()) + _BAD_LOGP * missing if good else -1e9)
     # Bytes replaced before they were decoded again: the replacement sign itself, as such or written out.
     signs = sum(obs.count(x) for x in "锟斤拷\ufffd")
@@ -518,7 +534,9 @@ def _score_batches(fields: list[str], counts: np.ndarray):
             out: list[list] = [[], [], [], [], [], [], []]
             ids, sources = b.column(0), b.column(1)
             for k, field in enumerate(fields):
-                for i, text in enumerate(b.column(2 + k).to_pylist()):
+                texts = b.column(2 + k).to_pylist()
+                for i in np.flatnonzero(plausible(texts)).tolist():
+                    text = texts[i]
                     if text:
                         for a, z, ll in _whole(scored_parts(text, model)):
                             if ll or _is_cipher_text(text, a, z):

@@ -323,6 +323,15 @@ def test_variety_reads_the_whole_text():
     assert quality._variety("".join(chr(0x4E00 + i % 997) for i in range(5000))) == 1.0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.text("aZ é×ÂБё中锟\ufffdÀÿ—’·\n😀1", max_size=12), max_size=6))
+def test_texts_with_a_trigger_are_plausible(texts):
+    """A text that is passed over without a search holds no trigger, whatever stands beside it."""
+    got = mojibake.plausible(texts).tolist()
+    assert len(got) == len(texts) and all(ok or not mojibake.TRIGGER.search(t or "") for ok, t in zip(got, texts))
+    assert mojibake.plausible([PROSE, None, "", "abc", "é"]).tolist() == [False, False, False, False, True]
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 def test_trie_automaton_is_complete():
     rng = random.Random(4)
