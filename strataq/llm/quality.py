@@ -29,14 +29,11 @@ from strataq.llm import lm
 from strataq.llm.mojibake import USUAL
 
 _END = re.compile(r"[。；！？.!?;…：:][\"”’）)\]]?[ \t]*(?:\n|\Z)")
-#: Ends of sentences: a full-width mark after five characters without a break, an ASCII mark straight after a word.
-_SENTENCE = re.compile(r"[。！？；](?<=[^\n。！？；]{4}[。！？；])|[.!?](?<=[a-z]{2}[.!?])(?=[\s\"”)’]|\Z)")
 _MARKER = re.compile(r"(?m)^[ \t　]*(?:[（(〔]?[一二三四五六七八九十百]+[)）、.．]|[（(]?\d{1,3}(?:[.．]\d{1,3})*[)）、.．:]?[ \t　]|[（(]?\d{1,3}[)）、.．](?!\d)|[（(]?[a-zA-Z]{1,4}[)）.]|[□■●◆▲※○★·•▪◦*–—①-⑳>»☐-])[ \t　]*[^\s|][^\n|]*$")
 _DOTS = re.compile(r"(?m)(?:\.{3,}|…+|(?:\. ?\.? ?){3,}|·{3,}|_{3,}|\t+)[ \t]*\d+[ \t]*$")
 _CELLS = re.compile(r"(?m)^(?:[^\n|]*\|[^\n|]*\|[^\n]*|[^\n\t]*\t[^\n]*|[^\n]*\S {3,}\S[^\n]*)$")
 _VALUE = re.compile(r"(?m)^[ \t]*(?:[+±-]?\d[\d.,:/-]*|[—–/-]|[A-Za-zμΩ℃°/³²%]{1,6}|[待查合格不]{2,3})[ \t]*$")
-_WORD = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ]+|[0-9]+(?:\.[0-9]+)?")
-_LETTERS = re.compile(r"\b[A-Za-zÀ-ɏ][a-zà-ɏ]+\b|[㐀-鿿぀-ヿЀ-ӿ]+")
+_LATIN = re.compile(r"\b[A-Za-zÀ-ɏ][a-zà-ɏ]+\b")
 _LONG_WORD = re.compile(r"\S{30,}")
 _SYMBOL = re.compile(r"[^\w\s，。；：！？、（）,.;:!?()\"'“”‘’%℃°±³²/-]")
 _USUAL = np.zeros(0x10001, dtype=bool)
@@ -146,55 +143,87 @@ def prose_flags(texts: list[str]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=bool)
 
 
+def _words(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a word or number starts, and the characters of words and numbers; a number takes one point and the digits after it."""
+    letter = (c >= 65) & (c <= 90) | (c >= 97) & (c <= 122) | (c >= 0xC0) & (c <= 0x24F) | (c >= 0x400) & (c <= 0x4FF)
+    digit = (c >= 48) & (c <= 57)
+    begins, inside = letter & ~_within(letter, 1), letter | digit
+    runs = np.flatnonzero(digit & ~_within(digit, 1))
+    if len(runs):
+        ends = np.flatnonzero(digit & ~_within(digit, -1)) + 1
+        linked = np.append(False, (c[ends[:-1]] == 46) & (ends[:-1] + 1 == runs[1:]))
+        i = np.arange(len(runs))
+        second = (i - np.maximum.accumulate(np.where(linked, 0, i))) % 2 == 1
+        begins[runs[~second]] = True
+        inside[runs[second] - 1] = True
+    return begins, inside
+
+
 def _counted(texts: list[str], common: np.ndarray) -> np.ndarray:
-    """Per text: Han, kana, Cyrillic, unusual characters; pairs of two characters of words, and how many of them are common."""
-    c = lm.codes("\x00".join(texts) + "\x00")
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    starts = ends - [len(t) + 1 for t in texts]
+    """Per text: Han, kana, Cyrillic, unusual characters; pairs of two characters of words, and how many of them are common;
+    words and numbers, and their characters; ends of sentences, symbols, letters of scripts without case or Cyrillic, Latin letters; variety."""
+    if not texts:
+        return np.zeros((0, 13))
+    c, starts, sizes = flat(texts)
     a, b = c[:-1], c[1:]
     digits = (a >= 48) & (a < 58) & (b >= 46) & (b < 58)
     inner = (a > 32) & (b > 32) & ~digits
     seen = inner & common[lm.pair_bucket(a, b).astype(np.int64)]
     pad = lambda x: np.append(x, False)
-    odd = ~_USUAL[np.minimum(c, 0x10000)] & (c != 0)
-    masks = ((c >= 0x3400) & (c <= 0x9FFF), (c >= 0x3040) & (c < 0x3100), (c >= 0x400) & (c < 0x500), odd, pad(inner), pad(seen))
-    return np.stack([np.add.reduceat(m.astype(np.int64), starts) for m in masks], 1) if len(texts) else np.zeros((0, 6), dtype=np.int64)
+    low = np.minimum(c, 0x10000)
+    odd = ~_USUAL[low] & (c != 0)
+    begins, inside = _words(c)
+    han, kana, cyrillic = (c >= 0x3400) & (c <= 0x9FFF), (c >= 0x3040) & (c < 0x3100), (c >= 0x400) & (c < 0x500)
+    latin = (c >= 65) & (c <= 90) | (c >= 97) & (c <= 122) | (c >= 0xC0) & (c <= 0x24F)
+    symbol = _IS_SYMBOL[low]
+    for i in np.flatnonzero(c > 0xFFFF):
+        symbol[i] = bool(_SYMBOL.match(chr(c[i])))
+    symbol[starts + sizes] = False  # the NUL after each
+    masks = (han, kana, cyrillic, odd, pad(inner), pad(seen), begins, inside, _sentences(c, starts, sizes), symbol, han | kana | cyrillic, latin)
+    return np.column_stack([*(np.add.reduceat(m.astype(np.int64), starts) for m in masks), _varieties(c, starts, sizes)])
 
 
 #: Characters of a window within which pairs are compared, and the pairs that make a window fully varied.
 WINDOW, VARIED = 400, 120
 
 
+def _varieties(c: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Distinct adjacent pairs over the pairs there are (VARIED at most), as the mean of all windows of each text."""
+    windows = np.maximum(1, -(-(sizes - 1) // WINDOW))
+    base = np.cumsum(windows) - windows
+    text = np.repeat(np.arange(len(sizes)), sizes + 1)
+    i = np.arange(len(c)) - starts[text]
+    pair = np.flatnonzero(i < sizes[text] - 1)
+    key = (base[text[pair]] + i[pair] // WINDOW) << 42 | c[pair].astype(np.int64) << 21 | c[pair + 1]
+    key.sort()
+    distinct = np.bincount((key[np.append(True, key[1:] != key[:-1])] if len(key) else key) >> 42, minlength=int(windows.sum()))
+    of = np.repeat(np.arange(len(sizes)), windows)
+    at = (np.arange(len(of)) - base[of]) * WINDOW
+    length = np.minimum(WINDOW + 1, sizes[of] - at)
+    keep = (at == 0) | (length >= WINDOW // 4)  # others are too short to say anything by themselves
+    share = np.minimum(1.0, np.maximum(1, distinct) / np.maximum(1, np.minimum(length - 1, VARIED)))
+    return np.bincount(of[keep], share[keep]) / np.bincount(of[keep])
+
+
 def _variety(text: str) -> float:
-    """Distinct adjacent pairs over the pairs there are (VARIED at most), as the mean of all windows of the text."""
-    shares = []
-    for at in range(0, max(1, len(text) - 1), WINDOW):
-        part = text[at : at + WINDOW + 1]
-        if at and len(part) < WINDOW // 4:  # too short to say anything by itself
-            break
-        most = max(1, min(len(part) - 1, VARIED))
-        shares.append(min(1.0, max(1, len(set(zip(part, part[1:])))) / most))
-    return sum(shares) / len(shares)
+    return float(_varieties(*flat([text]))[0])
 
 
 def statistics(text: str, common: np.ndarray, counted: np.ndarray | None = None) -> tuple:
     """lang and the statistics of a non-blank text, in the order of STATS; counted: its row of _counted."""
-    han, kana, cyrillic, odd, inner, seen = (int(x) for x in (_counted([text], common)[0] if counted is None else counted))
+    *counts, variety = (_counted([text], common)[0] if counted is None else counted).tolist()
+    han, kana, cyrillic, odd, inner, seen, n_latin, latin, sentences, symbols, letters, cased = map(int, counts)
     n = len(text)
     lines = [x for x in text.split("\n") if x and not x.isspace()]
     k = max(1, len(lines))
-    words = _WORD.findall(text)
-    latin = sum(map(len, words))
     lang = "ja" if kana * 4 > han and kana else "zh" if han * 3 >= latin and han else "ru" if cyrillic * 2 > latin else "en"
-    n_words = len(words) + han + kana
+    n_words = n_latin + han + kana
     share = seen / inner if inner else 0.0
-    sentences = len(_SENTENCE.findall(text))
     items = len(_MARKER.findall(text)) if k > 1 else 0  # one line is no list
     dots = len(_DOTS.findall(text)) if ".." in text or "……" in text or ". ." in text or "\t" in text else 0
     cells = len(_CELLS.findall(text)) if sentences * 60 < n else sum(x.count("|") > 1 for x in lines) if "|" in text else 0
     if sentences * 100 < n and cells * 2 < k and k >= 3:  # one count of separators down the page
-        for sep in (",(?! )", "[;；]"):
-            each = [len(re.findall(sep, x)) for x in lines]
+        for each in ([x.count(",") - x.count(", ") for x in lines], [x.count(";") + x.count("；") for x in lines]):
             top = max(set(each), key=each.count) if each else 0
             if top and each.count(top) >= 0.8 * k:
                 cells = each.count(top)
@@ -210,10 +239,10 @@ def statistics(text: str, common: np.ndarray, counted: np.ndarray | None = None)
     if n_words < 3 or not han and _LONG_WORD.search(text):
         mean_word = max(mean_word, n / max(1, len(text.split())))
     solid = max(1, n - text.count(" ") - text.count("\n") - text.count("\t"))
-    letters = sum(map(len, _LETTERS.findall(text))) / solid
+    letters = (letters + (sum(map(len, _LATIN.findall(text))) if cased else 0)) / solid
     item_share, cell_share = min(1.0, max(items, dots) / k), min(1.0, cells / k)
-    return (lang, float(n), float(n_words), float(len(lines)), mean_word, len(_SYMBOL.findall(text)) / n, len(_END.findall(text)) / k, share, 100.0 * sentences / n,
-            item_share, cell_share, values / k, _variety(text), odd / n, min(1.0, letters), max(item_share, cell_share), item_share - cell_share)
+    return (lang, float(n), float(n_words), float(len(lines)), mean_word, symbols / n, len(_END.findall(text)) / k, share, 100.0 * sentences / n,
+            item_share, cell_share, values / k, variety, odd / n, min(1.0, letters), max(item_share, cell_share), item_share - cell_share)
 
 
 def common_pairs(counts: np.ndarray) -> np.ndarray:
@@ -230,8 +259,7 @@ def measure(df: DataFrame, id_col: str, text_col: str, counts: np.ndarray | None
         for b in batches:
             texts = b.column(1).to_pylist()
             keep = [i for i, t in enumerate(texts) if t and not t.isspace()]
-            counted = _counted([texts[i] for i in keep], common)
-            rows = [statistics(texts[i], common, counted[j]) for j, i in enumerate(keep)]
+            rows = [statistics(t, common, row) for part in blocks([texts[i] for i in keep]) for t, row in zip(part, _counted(part, common))]
             cols = [pa.array([r[0] for r in rows], pa.string())] + [pa.array([r[j + 1] for r in rows], pa.float64()) for j in range(len(STATS))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), *cols], names=["rid", "lang", *STATS])
 

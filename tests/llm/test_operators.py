@@ -300,6 +300,19 @@ def test_all_tails_of_a_profile_are_combined(spark):
 
 
 _SENTENCE = re.compile(r"[。！？；](?<=[^\n。！？；]{4}[。！？；])|[.!?](?<=[a-z]{2}[.!?])(?=[\s\"”)’]|\Z)")
+_WORD = re.compile(r"[A-Za-zÀ-ɏЀ-ӿ]+|[0-9]+(?:\.[0-9]+)?")
+_LETTERS = re.compile(r"\b[A-Za-zÀ-ɏ][a-zà-ɏ]+\b|[㐀-鿿぀-ヿЀ-ӿ]+")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab.9。！\n\x00 é×Б中あ😀𠀀\"’|—…Z_$", min_size=1, max_size=40), min_size=1, max_size=5))
+def test_blocks_count_what_patterns_find(texts):
+    """Texts counted together, one after the other, give what the patterns find in each of them alone."""
+    got = quality._counted(texts, np.ones(1 << lm.PAIR_BITS, dtype=bool))
+    for t, row in zip(texts, got):
+        words = _WORD.findall(t)
+        assert row[6:10].tolist() == [len(words), sum(map(len, words)), len(_SENTENCE.findall(t)), len(quality._SYMBOL.findall(t))]
+        assert row[10] + sum(map(len, quality._LATIN.findall(t))) == sum(map(len, _LETTERS.findall(t)))
 
 
 @settings(max_examples=300, deadline=None)
